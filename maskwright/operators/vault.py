@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import patterns as P
-from maskwright.functions.spans import pieces, replace_spans
+from maskwright.functions.spans import NO_SPANS, pieces, replace_spans
 from maskwright.functions.sql import lit
 from maskwright.functions.tokens import find_tokens, format_token
 from maskwright.operators.skew import join_hot, number_rows
@@ -86,7 +86,7 @@ def redact(
     replacement, so they are detected once and kept in the shared folder.
     """
     dirty = cut_lineage(texts.where("size(spans) > 0"))
-    clean = texts.where("size(spans) = 0")
+    clean = texts.where("size(spans) = 0").withColumn("spans", F.expr(NO_SPANS))
     found = dirty.selectExpr(id_column, *[c for c in [*scope, *order] if c != id_column], _SPAN_ROWS)
     vault = assign_tokens(found, scope, [*order, "start"], unicode_values)
     tokens = attach_tokens(found, vault, scope, [id_column, "start"], unicode_values)

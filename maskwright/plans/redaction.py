@@ -277,7 +277,7 @@ def answers_with_values(spark, folder):
 def _scan_sql(source: str, ids: str) -> str:
     kinds = (("EMAIL", P.SCAN_EMAIL, "true"), ("PAN", P.SCAN_PAN, "true"), ("INTL_PHONE", P.SCAN_PHONE, "true"), ("CARD", P.SCAN_CARD, C.is_card("text")))
     return " UNION ALL ".join(
-        f"SELECT {ids}, '{k}' AS kind, start AS at, \"end\" - start AS length FROM ({C.find(source, ids, p)}) WHERE {keep}"
+        f"SELECT {ids}, '{k}' AS kind, start AS position, \"end\" - start AS length FROM ({C.find(source, ids, p)}) WHERE {keep}"
         for k, p, keep in kinds
     )
 
@@ -285,12 +285,12 @@ def _scan_sql(source: str, ids: str) -> str:
 _PAYLOAD = "(SELECT doc_id AS text_id, '{\"text\":' || to_json(text) || '}' AS text FROM documents)"
 
 
-@query("leak_scan", f"SELECT text_id, kind, CAST(at AS BIGINT) AS at, CAST(length AS BIGINT) AS length FROM ({_scan_sql(_PAYLOAD, 'text_id')})")
+@query("leak_scan", f"SELECT text_id, kind, CAST(position AS BIGINT) AS position, CAST(length AS BIGINT) AS length FROM ({_scan_sql(_PAYLOAD, 'text_id')})")
 def leak_scan(spark, folder):
     """What the raw documents would leak, by kind and position."""
     docs = table(spark, folder, "documents").selectExpr("doc_id AS text_id", "text")
     return leaks.findings(docs, ["text_id"], ["text"]).selectExpr(
-        "text_id", "kind", "cast(at AS bigint) AS at", "cast(length AS bigint) AS length"
+        "text_id", "kind", "cast(position AS bigint) AS position", "cast(length AS bigint) AS length"
     )
 
 
