@@ -1,6 +1,6 @@
 """Everything registered, in one place."""
 
-from maskwright.plans import redaction  # noqa: F401
+from maskwright.plans import redaction, scoring  # noqa: F401
 from maskwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
