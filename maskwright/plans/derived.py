@@ -48,3 +48,80 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").selectExpr(
         "doc_id AS text_id", "source AS scope_id", "doc_id AS seq", "text"
     )
+
+
+def select(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return frame.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
+
+
+def as_sql(columns: dict[str, str], source: str) -> str:
+    return "(SELECT " + ", ".join(f'{sql} AS "{name}"' for name, sql in columns.items()) + f" FROM {source})"
+
+
+# Steps: twenty consecutive events are one task, so a task is bounded whatever the data.
+STEP = {
+    "task_id": "cast(floor(event_id / 20) AS bigint)",
+    "cycle": "event_id % 20",
+    "ts": "ts",
+    "kind": "event_type",
+    "state": "event_type",
+    "site": "'https://s' || cast(user_id % 3 AS string) || '.example'",
+    "page": "'https://s' || cast(user_id % 3 AS string) || '.example/p'",
+    "verified": "user_id % 3 <> 0",
+    "note": "CASE WHEN user_id % 3 <> 0 THEN 'now it is checked' ELSE 'the page did not change; was so' END",
+    "change": "CASE WHEN user_id % 4 = 1 AND event_id % 20 > 0 THEN 'appeared: text' END",
+    "refused": "user_id % 7 = 0",
+    "action": (
+        "CASE WHEN event_type = 'view' THEN '{\"type\":\"wait\",\"ms\":500}' "
+        "WHEN event_type = 'signup' THEN '{\"type\":\"type\",\"target\":\"e1\",\"value\":\"<PII:' || "
+        "CASE user_id % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'CARD' WHEN 2 THEN 'NAME' ELSE 'PHONE' END || ':' || cast(user_id % 2 + 1 AS string) || '>\"}' "
+        "ELSE '{\"target\":\"e' || cast(user_id % 2 + 1 AS string) || '\",\"reason\":\"r' || cast(event_id AS string) || '\",\"type\":\"click\"}' END"
+    ),
+    "label": "CASE WHEN user_id % 5 = 0 THEN '' ELSE 'Field ' || cast(user_id % 5 AS string) END",
+}
+STEPS_SQL = as_sql(STEP, "events")
+
+
+def steps(spark: SparkSession, folder: str) -> DataFrame:
+    return select(table(spark, folder, "events"), STEP)
+
+
+# Views and elements: an order is a view of its lines; twenty orders are one task.
+VIEW = {
+    "view_id": "o_orderkey",
+    "task_id": "cast(floor(o_orderkey / 20) AS bigint)",
+    "cycle": "o_orderkey % 20",
+    "page": "'https://shop.example/' || o_orderstatus",
+    "origin": "'https://shop.example'",
+    "path_template": "'/' || o_orderstatus",
+    "title": "'Orders ' || o_orderpriority",
+    "vh": "cast(600 AS double)",
+}
+ORDINAL = "cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS bigint)"
+LINE = {
+    "view_id": "l_orderkey",
+    "ordinal": ORDINAL,
+    "role": "CASE l_returnflag WHEN 'A' THEN 'button' WHEN 'N' THEN 'text' ELSE 'image' END",
+    "label": "CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE 'Item ' || cast(l_partkey % 5 AS string) || CASE WHEN l_suppkey % 9 = 0 THEN ' with a name far too long to be a label' ELSE '' END END",
+    "value": "CASE WHEN l_suppkey % 3 = 0 THEN 'Qty ' || cast(cast(l_quantity AS bigint) AS string) END",
+    "offscreen": "l_linestatus = 'F'",
+    "source": "CASE WHEN l_partkey % 4 = 0 THEN 'vision' ELSE 'dom' END",
+    "x": "cast(cast(l_quantity AS bigint) * 10 AS double)",
+    "y": "cast(l_partkey % 1800 - 600 AS double)",
+    "w": "cast(l_suppkey % 40 * 10 AS double)",
+    "h": "cast(l_partkey % 20 * 10 AS double)",
+}
+VIEWS_SQL = as_sql(VIEW, "orders")
+LINES_SQL = as_sql(LINE, "lineitem")
+
+
+def views(spark: SparkSession, folder: str) -> DataFrame:
+    return select(table(spark, folder, "orders"), VIEW)
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Element rows with their boxes."""
+    return select(table(spark, folder, "lineitem"), LINE).selectExpr(
+        "*", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox", "if(offscreen, array('offscreen'), array()) AS state",
+        "concat('e', ordinal + 1) AS id",
+    )
