@@ -61,12 +61,15 @@ def chunk_words(texts: DataFrame, size: int = P.MAX_WORDS, id_column: str = "tex
     )
 
 
-def decode_word_scores(scores: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+def decode_word_scores(
+    scores: DataFrame, threshold: float, keys: list[str], labels: Sequence[str] = P.NAME_LABELS
+) -> DataFrame:
     """Word scores to spans: a start and an end above the cutoff with every word between at or above it.
 
     ``scores``: keys (text and chunk), word_no, label, and the logits s_start,
     s_end, s_inside. A chunk holds at most 256 words, so its arrays are
-    bounded. A span's score is the lowest it rests on; overlaps go to the best.
+    bounded. A span's score is the lowest it rests on; overlaps go to the best,
+    equal scores to the label asked for first.
     """
     sig = {k: f"1 / (1 + exp(-s_{k}))" for k in ("start", "end", "inside")}
     per_label = scores.groupBy(*keys, "label").agg(
@@ -92,7 +95,7 @@ def decode_word_scores(scores: DataFrame, threshold: float, keys: list[str]) ->
     )
     per_chunk = spans.groupBy(*keys).agg(
         F.expr(
-            "array_sort(collect_list(struct(-score AS worst, label AS label_order, start_word AS start_word, "
+            f"array_sort(collect_list(struct(-score AS worst, array_position(array({lits(labels)}), label) AS label_order, start_word AS start_word, "
             "end_word AS end_word, score AS score, label AS label)))"
         ).alias("found")
     )
