@@ -31,7 +31,8 @@ class TaskFeed(StatefulProcessor):
     """Keeps what is known of each task: the latest value of a field wins, an absent one keeps the old.
 
     One small row of state per task; its events are not kept. A timer marks
-    the task disconnected after six seconds without any message.
+    the task disconnected once the feed's clock is six seconds past its last
+    message, and lets a finished task's state go.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,7 +64,7 @@ class TaskFeed(StatefulProcessor):
         self.task.update((events, steps, prompt, completion, model, latency, finished, seen, goal, page))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + DISCONNECTED_MS)
+        self.handle.registerTimer(seen + DISCONNECTED_MS)
         yield self._row(key, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -85,10 +86,10 @@ class TaskFeed(StatefulProcessor):
         pass
 
 
-def task_feed(events: DataFrame) -> DataFrame:
-    """The state of each task after every batch that touches it (update mode)."""
-    return events.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskFeed(), outputStructType=FEED, outputMode="Update", timeMode="ProcessingTime"
+def task_feed(events: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """The state of each task after every batch that touches it (update mode). The feed's clock is ``sent_at``."""
+    return events.withWatermark("sent_at", lateness).groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=TaskFeed(), outputStructType=FEED, outputMode="Update", timeMode="EventTime"
     )
 
 
