@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from maskwright.functions import patterns as P
-from maskwright.functions.spans import NO_SPANS, SPAN_TYPE, find, resolve_overlaps, span
+from maskwright.functions.spans import NO_SPANS, SPAN_TYPE, find, resolve_overlaps, span, without_marks
 from maskwright.functions.sql import fresh, let, lit, lookup
 
 
@@ -29,7 +29,7 @@ class Detector:
     must_hold: str = "digit"
 
     def candidates(self, text: str, priority: int) -> str:
-        found = find(text, lit(P.java(self.pattern)), self.gate(text), labels=self.needs_label)
+        found = find(text, lit(P.java(self.pattern)), self.gate(text), labels=self.needs_label, clean=True)
         m = fresh("m")
         if self.keep is not None:
             found = f"filter({found}, {m} -> {self.keep(m + '.text', m + '.label')})"
@@ -110,14 +110,18 @@ def candidates(text: str, detectors: Sequence[Detector] = ALL) -> str:
     Detectors are grouped by the character every match of theirs must hold, so
     a text with no digit and no "@" costs two cheap tests.
     """
-    groups: dict[str, list[str]] = {}
-    for priority, detector in enumerate(detectors):
-        groups.setdefault(detector.must_hold, []).append(detector.candidates(text, priority))
-    found = [
-        f"if(coalesce({MUST_HOLD[holds](text)}, false), concat({', '.join(columns)}), {NO_SPANS})"
-        for holds, columns in groups.items()
-    ]
-    return f"concat({', '.join(found)})"
+
+    def bank(t: str) -> str:
+        groups: dict[str, list[str]] = {}
+        for priority, detector in enumerate(detectors):
+            groups.setdefault(detector.must_hold, []).append(detector.candidates(t, priority))
+        found = [
+            f"if(coalesce({MUST_HOLD[holds](t)}, false), concat({', '.join(columns)}), {NO_SPANS})"
+            for holds, columns in groups.items()
+        ]
+        return f"concat({', '.join(found)})"
+
+    return let(without_marks(text), bank)
 
 
 def detect(text: str, detectors: Sequence[Detector] = ALL) -> str:

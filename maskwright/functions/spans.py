@@ -14,8 +14,10 @@ MARK = "\u0001"
 FOUND_TYPE = "array<struct<start:int,end:int,text:string,label:string>>"
 SPAN_TYPE = "array<struct<start:int,end:int,category:string,source:string,confidence:double,priority:int,text:string>>"
 NO_SPANS = f"cast(array() AS {SPAN_TYPE})"
-# Longest piece list whose running lengths are summed in one fold; longer ones are summed block by block.
+# Entries whose running lengths are summed in one fold.
 BLOCK = 256
+# Up to this many pieces, a start is simply the length of what comes before it.
+FEW = 33
 
 
 def _running(lengths: str) -> str:
@@ -24,43 +26,48 @@ def _running(lengths: str) -> str:
 
 
 def running_lengths(lengths: str) -> str:
-    """Sum of the lengths before each entry. Near linear in the input, however long it is."""
+    """Sum of the lengths before each entry. Near linear in the input, however long it is: summed block by block."""
+    b, block, i, s, t, a, n = (fresh(x) for x in ("b", "block", "i", "s", "t", "a", "n"))
 
-    def blocked(whole: str) -> str:
-        b, block, i, s, t, a, n = (fresh(x) for x in ("b", "block", "i", "s", "t", "a", "n"))
-        blocks = (
-            f"transform(sequence(0, cast(floor((size({whole}) - 1) / {BLOCK}) AS int)), "
-            f"{b} -> slice({whole}, {b} * {BLOCK} + 1, {BLOCK}))"
+    def shifted(v: str) -> str:
+        inner = let(
+            f"get({v}.base, {i})",
+            lambda base: f"transform(slice({_running(block)}, 1, size({block})), {s} -> {s} + {base})",
         )
+        return f"flatten(transform({v}.blocks, ({block}, {i}) -> {inner}))"
 
-        def shifted(v: str) -> str:
-            inner = let(
-                f"get({v}.base, {i})",
-                lambda base: f"transform(slice({_running(block)}, 1, size({block})), {s} -> {s} + {base})",
-            )
-            return f"flatten(transform({v}.blocks, ({block}, {i}) -> {inner}))"
+    def with_base(v: str) -> str:
+        totals = f"transform({v}, {t} -> aggregate({t}, 0, ({a}, {n}) -> {a} + {n}))"
+        return let(f"named_struct('blocks', {v}, 'base', {_running(totals)})", shifted)
+
+    def blocks(whole: str) -> str:
+        return let(
+            f"transform(sequence(0, cast(floor((size({whole}) - 1) / {BLOCK}) AS int)), "
+            f"{b} -> slice({whole}, {b} * {BLOCK} + 1, {BLOCK}))",
+            with_base,
+        )
 
-        def with_base(v: str) -> str:
-            totals = f"transform({v}, {t} -> aggregate({t}, 0, ({a}, {n}) -> {a} + {n}))"
-            return let(f"named_struct('blocks', {v}, 'base', {_running(totals)})", shifted)
+    return let(lengths, blocks)
 
-        return let(blocks, with_base)
 
-    return let(lengths, lambda v: f"if(size({v}) <= {BLOCK}, {_running(v)}, {blocked(v)})")
+def without_marks(text: str) -> str:
+    """The text free of the mark its pieces are cut at; same length."""
+    return f"if(contains({text}, {lit(MARK)}), translate({text}, {lit(MARK)}, {lit(chr(0xFFFD))}), {text})"
 
 
-def pieces(text: str, pattern: str) -> str:
+def pieces(text: str, pattern: str, clean: bool = False) -> str:
     """The text cut around every match: literal, match, literal, ... ``pattern`` is SQL text."""
-    clean = f"if(contains({text}, {lit(MARK)}), translate({text}, {lit(MARK)}, {lit(chr(0xFFFD))}), {text})"
-    return f"split(regexp_replace({clean}, {pattern}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
+    whole = text if clean else without_marks(text)
+    return f"split(regexp_replace({whole}, {pattern}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
 
 
-def find(text: str, pattern: str, gate: str | None = None, labels: bool = False) -> str:
+def find(text: str, pattern: str, gate: str | None = None, labels: bool = False, clean: bool = False) -> str:
     """Every match of ``pattern`` in ``text``: array of start, end, text and, if asked, the label before it.
 
     ``gate`` is a cheap test that must hold for any match to exist; texts that
     fail it never reach the pattern. The label of a match is the 48 characters
-    before it, cut after the last digit in them.
+    before it, cut after the last digit in them. ``clean``: the text is known
+    to hold no mark.
     """
 
     def label_of(p: str, i: str) -> str:
@@ -70,20 +77,24 @@ def find(text: str, pattern: str, gate: str | None = None, labels: bool = False)
         return f"regexp_replace({before}, {lit(r'^[\s\S]*[0-9]')}, '')"
 
     def matches(p: str) -> str:
-        i, n = fresh("i"), fresh("n")
+        i, k, n, at = fresh("i"), fresh("k"), fresh("n"), fresh("at")
+        odd = f"sequence(1, greatest(size({p}) - 2, 1), 2)"
+        near = f"transform({odd}, {i} -> length(array_join(slice({p}, 1, {i}), '')))"
+        sums = running_lengths(f"transform({p}, {n} -> length({n}))")
+        far = f"filter({sums}, ({n}, {i}) -> {i} % 2 = 1)"
 
         def each(q: str) -> str:
+            here = f"({k} * 2 + 1)"
             one = (
-                f"named_struct('start', get({q}.s, {i}), 'end', get({q}.s, {i}) + length(get({q}.p, {i})), "
-                f"'text', get({q}.p, {i}), 'label', {label_of(q + '.p', i)})"
+                f"named_struct('start', {at}, 'end', {at} + length(get({q}.p, {here})), "
+                f"'text', get({q}.p, {here}), 'label', {label_of(q + '.p', here)})"
             )
-            return f"transform(sequence(1, greatest(size({q}.p) - 2, 1), 2), {i} -> {one})"
+            return f"transform({q}.s, ({at}, {k}) -> {one})"
 
-        starts = running_lengths(f"transform({p}, {n} -> length({n}))")
-        return let(f"named_struct('p', {p}, 's', {starts})", each)
+        return let(f"named_struct('p', {p}, 's', if(size({p}) <= {FEW}, {near}, {far}))", each)
 
     empty = f"cast(array() AS {FOUND_TYPE})"
-    found = let(pieces(text, pattern), lambda p: f"if(size({p}) < 3, {empty}, {matches(p)})")
+    found = let(pieces(text, pattern, clean), lambda p: f"if(size({p}) < 3, {empty}, {matches(p)})")
     if gate is None:
         return f"coalesce({found}, {empty})"
     return f"if(coalesce({gate}, false), {found}, {empty})"

@@ -47,3 +47,8 @@ def lookup(table: dict[str, str], key: str) -> str:
     """A fixed table as a CASE expression; NULL for an unknown key."""
     arms = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in table.items())
     return f"(CASE {key} {arms} END)"
+
+
+def once(value: str) -> str:
+    """The same value, but never copied below a filter that uses it: an expensive column is evaluated one time per row."""
+    return f"if(spark_partition_id() >= 0, {value}, NULL)"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from maskwright.functions import patterns as P
 from maskwright.functions.spans import NO_SPANS, pieces, replace_spans
-from maskwright.functions.sql import lit
+from maskwright.functions.sql import lit, once
 from maskwright.functions.tokens import find_tokens, format_token
 from maskwright.operators.skew import join_hot, number_rows
 from maskwright.session import cut_lineage
@@ -85,6 +85,7 @@ def redact(
     written twice. Texts with spans are needed by the vault and by the
     replacement, so they are detected once and kept in the shared folder.
     """
+    texts = texts.withColumn("spans", F.expr(once("spans")))
     dirty = cut_lineage(texts.where("size(spans) > 0"))
     clean = texts.where("size(spans) = 0").withColumn("spans", F.expr(NO_SPANS))
     found = dirty.selectExpr(id_column, *[c for c in [*scope, *order] if c != id_column], _SPAN_ROWS)

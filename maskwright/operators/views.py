@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.detectors import candidates, candidates_in_context, field_spans, normalize_ocr
+from maskwright.functions.detectors import candidates_in_context, field_spans, normalize_ocr
 from maskwright.functions.spans import SPAN_TYPE, resolve_overlaps
 from maskwright.functions.sql import let
 from maskwright.functions.urls import url_template
@@ -132,7 +132,7 @@ def detect_view_texts(texts: DataFrame, names: str | None = None) -> DataFrame:
     """Resolved spans of each text: the field's own word first, else patterns in context, with names if given."""
     from maskwright.operators.entities import extend_address
 
-    patterns = f"if(coalesce(context, '') = '', {candidates('text')}, {candidates_in_context('text', 'context')})"
+    patterns = candidates_in_context("text", "context")
     if names:
         patterns = f"concat({patterns}, coalesce({names}, cast(array() AS {SPAN_TYPE})))"
     found = let(resolve_overlaps(patterns), lambda v: extend_address("text", v)) if names else resolve_overlaps(patterns)

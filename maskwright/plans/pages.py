@@ -9,7 +9,7 @@ from maskwright.functions.detectors import detect_in_context
 from maskwright.operators import entities, names, views as view_ops
 from maskwright.plans import checks as C
 from maskwright.plans.derived import LINES_SQL, VIEWS_SQL, as_sql, documents, lines, select, views
-from maskwright.plans.registry import query, table
+from maskwright.plans.registry import query, spread, table
 from maskwright.sources import html
 
 # --- pages to elements ---------------------------------------------------------
@@ -141,7 +141,7 @@ _FORM_VAULT = f"vault AS ({C.vault('spans', 'task_id', 'cycle, ordinal, part')})
 
 
 def _forms(spark, folder):
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
     shown = orders.selectExpr(
         "o_orderkey AS view_id", "o_custkey AS task_id", "o_orderkey AS cycle", "'Mail of c' || cast(o_custkey AS string) || '@example.com' AS title",
         "'https://shop.example/order/' || cast(o_orderkey + 1000 AS string) AS url",
@@ -301,7 +301,7 @@ _NAMES_SQL = as_sql(_NAMES, "orders")
 
 
 def _named(spark, folder):
-    return select(table(spark, folder, "orders"), _NAMES)
+    return select(spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")), _NAMES)
 
 
 @query("cue_texts", f"SELECT DISTINCT text FROM {_NAMES_SQL} WHERE view_id % 5 IN (0, 2)")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from maskwright.functions.detectors import detect
 from maskwright.functions.spans import replace_spans
+from maskwright.functions.sql import once
 from maskwright.functions.tokens import format_token
 from maskwright.operators import vault as tokens
 from maskwright.operators.skew import number_rows
@@ -36,8 +37,9 @@ def redact_batch(batch: DataFrame, number: int, vault_path: str, order: list[str
     again after a lost executor overwrites just that.
     """
     spark = batch.sparkSession
-    dirty = cut_lineage(batch.withColumn("spans", F.expr(detect("text"))).where("size(spans) > 0"))
-    clean = batch.withColumn("spans", F.expr(detect("text"))).where("size(spans) = 0")
+    detected = batch.withColumn("spans", F.expr(once(detect("text"))))
+    dirty = cut_lineage(detected.where("size(spans) > 0"))
+    clean = detected.where("size(spans) = 0")
     found = dirty.selectExpr("text_id", "scope_id", *order, tokens._SPAN_ROWS)
     keyed = tokens.value_key(found, "text")
     first = keyed.groupBy("scope_id", "category", "value_key").agg(
