@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import candidates, field_category, rlike
 from maskwright.functions.spans import NO_SPANS, find, resolve_overlaps, span
-from maskwright.functions.sql import fresh, lit
+from maskwright.functions.sql import fresh, lit, once
 from maskwright.operators.entities import NAME_PRIORITY
 from maskwright.operators.skew import join_salted
 from maskwright.operators.views import neighbour_label
@@ -73,7 +73,7 @@ def email_names(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, value, category`` of names spelled out by addresses in the texts."""
     from maskwright.functions.detectors import EMAIL
 
-    found = texts.selectExpr(*keys, f"explode({candidates('text', (EMAIL,))}) AS s")
+    found = texts.selectExpr(*keys, f"explode({once(candidates('text', (EMAIL,)))}) AS s")
     return found.selectExpr(*keys, f"{name_from_email('s.text')} AS value", "'NAME' AS category").where("value IS NOT NULL")
 
 

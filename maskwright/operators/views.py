@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import candidates_in_context, field_spans, normalize_ocr
 from maskwright.functions.spans import SPAN_TYPE, resolve_overlaps
-from maskwright.functions.sql import let
+from maskwright.functions.sql import let, once
 from maskwright.functions.urls import url_template
 from maskwright.operators import vault as tokens
 
@@ -136,7 +136,7 @@ def detect_view_texts(texts: DataFrame, names: str | None = None) -> DataFrame:
     if names:
         patterns = f"concat({patterns}, coalesce({names}, cast(array() AS {SPAN_TYPE})))"
     found = let(resolve_overlaps(patterns), lambda v: extend_address("text", v)) if names else resolve_overlaps(patterns)
-    return texts.withColumn("spans", F.expr(f"coalesce({field_spans('text', 'input_type', 'autocomplete')}, {found})"))
+    return texts.withColumn("spans", F.expr(once(f"coalesce({field_spans('text', 'input_type', 'autocomplete')}, {found})")))
 
 
 def redact_view(

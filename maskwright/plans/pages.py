@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import detect_in_context
+from maskwright.functions.sql import once
 from maskwright.operators import entities, names, views as view_ops
 from maskwright.plans import checks as C
 from maskwright.plans.derived import LINES_SQL, VIEWS_SQL, as_sql, documents, lines, select, views
@@ -121,7 +122,7 @@ _SHIFTED = f"(SELECT text_id, CASE WHEN context IS NULL THEN text ELSE context |
 def context_spans(spark, folder):
     """Values that are private only after the label of the element before them."""
     texts = select(table(spark, folder, "orders"), _CTX)
-    found = texts.selectExpr("text_id", f"explode({detect_in_context('text', 'context')}) AS s")
+    found = texts.selectExpr("text_id", f"explode({once(detect_in_context('text', 'context'))}) AS s")
     return found.selectExpr("text_id", "cast(s.start AS bigint) AS start", "cast(s.end AS bigint) AS `end`", "s.category AS category", "s.text AS text")
 
 

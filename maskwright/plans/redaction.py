@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import detectors as D
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import candidates, detect, detect_one, normalize_ocr
+from maskwright.functions.sql import once
 from maskwright.functions.tokens import find_tokens, missing_answers, parse_token, segments
 from maskwright.functions.urls import host_of, navigation_allowed, url_template
 from maskwright.operators import leaks, vault
@@ -25,7 +26,7 @@ def _one_kind(name: str, kind: str, source, source_sql: str):
 
     @query(name, sql)
     def run(spark, folder):
-        texts = source(spark, folder).selectExpr("text_id", f"explode({detect_one('text', kind)}) AS s")
+        texts = source(spark, folder).selectExpr("text_id", f"explode({once(detect_one('text', kind))}) AS s")
         return texts.selectExpr("text_id", *_SPAN)
 
 
@@ -47,7 +48,7 @@ _one_kind("other_id_spans", "other", records, RECORDS_SQL)
     f"SELECT text_id, start, \"end\", category, text FROM ({C.candidates(RECORDS_SQL, 'text_id', (D.DOB,))})",
 )
 def dob_spans(spark, folder):
-    found = records(spark, folder).selectExpr("text_id", f"explode({candidates('text', (D.DOB,))}) AS s")
+    found = records(spark, folder).selectExpr("text_id", f"explode({once(candidates('text', (D.DOB,)))}) AS s")
     return found.selectExpr("text_id", *_SPAN)
 
 
@@ -58,7 +59,7 @@ FROM ({C.candidates(RECORDS_SQL, 'text_id')}) GROUP BY ALL""",
 )
 def candidate_counts(spark, folder):
     """Every candidate of every detector before overlaps are resolved."""
-    found = records(spark, folder).selectExpr(f"explode({candidates('text')}) AS s")
+    found = records(spark, folder).selectExpr(f"explode({once(candidates('text'))}) AS s")
     return found.groupBy(F.col("s.category").alias("category"), F.col("s.priority").alias("priority")).agg(
         F.count("*").alias("n"), F.expr("sum(s.end - s.start)").alias("chars")
     )
@@ -66,13 +67,13 @@ def candidate_counts(spark, folder):
 
 @query("record_spans", C.resolved(RECORDS_SQL, "text_id"))
 def record_spans(spark, folder):
-    found = records(spark, folder).selectExpr("text_id", f"explode({detect('text')}) AS s")
+    found = records(spark, folder).selectExpr("text_id", f"explode({once(detect('text'))}) AS s")
     return found.selectExpr("text_id", *_SPAN)
 
 
 @query("document_spans", C.resolved(DOCUMENTS_SQL, "text_id"))
 def document_spans(spark, folder):
-    found = documents(spark, folder).selectExpr("text_id", f"explode({detect('text')}) AS s")
+    found = documents(spark, folder).selectExpr("text_id", f"explode({once(detect('text'))}) AS s")
     return found.selectExpr("text_id", *_SPAN)
 
 
@@ -128,7 +129,7 @@ def field_spans(spark, folder):
 # --- tokens and redaction -------------------------------------------------
 
 def _detected(spark, folder, source):
-    return source(spark, folder).withColumn("spans", F.expr(detect("text")))
+    return source(spark, folder).withColumn("spans", F.expr(once(detect("text"))))
 
 
 def _cte(source_sql: str) -> str:

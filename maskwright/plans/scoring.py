@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as D
 from maskwright.functions.spans import find
-from maskwright.functions.sql import lit
+from maskwright.functions.sql import lit, once
 from maskwright.operators import score, vault
 from maskwright.functions.detectors import detect
 from maskwright.plans import checks as C
@@ -27,7 +27,7 @@ LOOKALIKE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 def truth_items(docs):
     found = None
     for category, pattern, place in TRUTH:
-        part = docs.selectExpr("text_id AS page", f"explode({find('text', lit(pattern))}) AS m").selectExpr(
+        part = docs.selectExpr("text_id AS page", f"explode({once(find('text', lit(pattern)))}) AS m").selectExpr(
             "page", f"'{category}' AS category", "m.text AS value", f"'{place}' AS place"
         )
         found = part if found is None else found.unionByName(part)
@@ -38,7 +38,7 @@ def truth_items(docs):
 
 
 def lookalikes(docs):
-    found = docs.selectExpr("text_id AS page", f"explode({find('text', lit(LOOKALIKE))}) AS m").selectExpr("page", "m.text AS value")
+    found = docs.selectExpr("text_id AS page", f"explode({once(find('text', lit(LOOKALIKE)))}) AS m").selectExpr("page", "m.text AS value")
     return found.distinct().withColumn("miss_no", F.expr("row_number() OVER (PARTITION BY page ORDER BY value) - 1"))
 
 
