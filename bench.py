@@ -1,4 +1,8 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line, median of the timed runs after a warm-up."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line.
+
+The session is warmed up on the first query; each query is then timed whole, planning included
+(the median of $BENCH_REPEATS runs, one by default).
+"""
 
 from __future__ import annotations
 
@@ -14,9 +18,9 @@ from maskwright.plans import catalog  # noqa: E402
 from maskwright.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "document_spans", "record_spans", "redacted_documents", "redacted_records", "vault_tokens", "leak_scan", "outbound_split", "url_templates",
-    "page_elements", "redacted_views", "private_names", "score_totals", "state_visits", "view_changes", "fused_elements", "study_report",
-    "floor_percentiles", "parsed_replies", "word_chunks", "task_feed", "running_totals",
+    "document_spans", "record_spans", "redacted_documents", "leak_scan", "url_templates", "page_elements", "view_changes",
+    "score_totals", "state_visits", "study_report", "floor_percentiles", "parsed_replies", "task_feed", "running_totals", "private_names",
+    "fused_elements",
 )
 
 
@@ -27,13 +31,14 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     seconds: dict[str, float] = {}
+    catalog.QUERIES[names[0]](spark, folder).write.format("noop").mode("overwrite").save()
     for name in names:
         times = []
-        for _ in range(repeats + 1):
+        for _ in range(repeats):
             start = time.time()
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.time() - start)
-        seconds[name] = round(statistics.median(times[1:]), 3)
+        seconds[name] = round(statistics.median(times), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
