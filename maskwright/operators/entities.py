@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import rlike
 from maskwright.functions.spans import NO_SPANS, SPAN_TYPE, find, span
-from maskwright.functions.sql import fresh, let, lit, lits, lookup
+from maskwright.functions.sql import fresh, let, lit, lits, lookup, once
 
 ENTITY_TYPE = "array<struct<start:int,end:int,label:string,score:double,text:string>>"
 # Names come after every pattern when they cover exactly the same span.
@@ -52,12 +52,14 @@ def split_words(text: str) -> str:
 
 def chunk_words(texts: DataFrame, size: int = P.MAX_WORDS, id_column: str = "text_id") -> DataFrame:
     """One row per piece of at most ``size`` words; offsets stay those of the whole text."""
-    words = texts.selectExpr(id_column, f"{split_words('text')} AS words")
+    words = texts.selectExpr(id_column, f"{once(split_words('text'))} AS words")
     b = fresh("b")
+    chunks = (
+        f"transform(sequence(0, cast(floor((size(words) - 1) / {size}) AS int)), {b} -> slice(words, {b} * {size} + 1, {size}))"
+    )
     return words.where("size(words) > 0").selectExpr(
         id_column,
-        f"posexplode(transform(sequence(0, cast(floor((size(words) - 1) / {size}) AS int)), "
-        f"{b} -> slice(words, {b} * {size} + 1, {size}))) AS (chunk, words)",
+        f"posexplode({once(chunks)}) AS (chunk, words)",
     )
 
 

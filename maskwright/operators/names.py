@@ -119,7 +119,7 @@ def known_in(texts: DataFrame, known: DataFrame) -> DataFrame:
     i, n = fresh("i"), fresh("n")
     last = f"get(words, {i} + {n} - 1).end"
     grams = (
-        words.withColumn("words", F.expr(find("text", lit(_RUN))))
+        words.withColumn("words", F.expr(once(find("text", lit(_RUN)))))
         .where("size(words) > 0")
         .selectExpr(
             "text_id", "task_id", "view_seq", "text",

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.sql import fresh, let, lit, lits, lookup
+from maskwright.functions.sql import fresh, let, lit, lits, lookup, once
 
 # Tags without content, tags never rendered, and tags whose start closes an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,11 +339,12 @@ def html_elements(pages: DataFrame) -> DataFrame:
     numbered = f"transform(nodes, ({x}, {i}) -> named_struct('node', {i}, 'n', {x}))"
     kept = parse_pages(pages).selectExpr(
         "view_id", "transform(nodes, x -> x.parent) AS parents",
-        f"filter({numbered}, {k} -> {is_relevant(k + '.n')}) AS kept",
+        once(f"filter({numbered}, {k} -> {is_relevant(k + '.n')})") + " AS kept",
     )
+    told = f"transform(kept, {k} -> get(transform(array({k}.n), {n} -> {let(role_of, described)}), 0))"
     rows = kept.selectExpr(
         "view_id", "parents", "transform(kept, x -> x.node) AS kept_nodes",
-        f"posexplode(transform(kept, {k} -> get(transform(array({k}.n), {n} -> {let(role_of, described)}), 0))) AS (ordinal, e)",
+        f"posexplode({once(told)}) AS (ordinal, e)",
     )
     # The nearest kept ancestor: walk up the parents.
     up = (
