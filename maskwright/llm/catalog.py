@@ -1,6 +1,6 @@
 """Every query of this package, in one place."""
 
-from maskwright.llm import lines, sharding  # noqa: F401
+from maskwright.llm import lines, mixing, sharding  # noqa: F401
 from maskwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
