@@ -42,5 +42,7 @@ def is_training(doc_id: Column) -> Column:
 
 def fair_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Bound the batches that go to Python by bytes as well as by rows: a few very long texts cannot fill a worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1") in ("-1", str(2**63 - 1), str(2**31 - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > megabytes << 20:
+        spark.conf.set(key, str(megabytes << 20))
