@@ -51,6 +51,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs).drop("n_docs")
     )
+    shared = cut_lineage(shared)  # a table of its own: broadcast where it is small, else a join whose hot lines Spark splits
     lost = hashes.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = lost.groupBy("doc_id", "row", F.floor(F.col("line") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, line % 64)")).alias("bits")
