@@ -1,6 +1,6 @@
 """Every query of this package, in one place."""
 
-from maskwright.llm import decontaminate, lines, mixing, passages, sharding, simhash, urls  # noqa: F401
+from maskwright.llm import decontaminate, lines, mixing, neighbours, passages, sharding, simhash, urls  # noqa: F401
 from maskwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
