@@ -13,8 +13,8 @@ different sizes.
 
 Rates become whole copies on the histogram too: the fractions are added up in
 order of size and each whole step gives one more copy (an error of at most
-about one document), then single copies are moved where that brings a source
-nearer to its target. Last, a group's copies are dealt to its documents in
+about the largest document), then copies of some sizes are added or taken where
+that brings a source nearer to its target. Last, a group's copies are dealt to its documents in
 order of a hash of their ids.
 
 Defined results: a null or empty text has size 0 and one copy; a null source is
@@ -40,8 +40,8 @@ WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 #: Newton steps end when every source is within this part of its target; the bracket halves at worst, so this many suffice.
 TOLERANCE, MAX_STEPS = 1e-9, 100
-#: Single copies are moved this often at most.
-REPAIRS = 4
+#: Rounds in which copies of one size are added to or taken from a source, each time the size that brings it nearest.
+REPAIRS = 8
 #: Documents of one source and size are ranked in this many parts.
 PARTS = 64
 
@@ -81,7 +81,7 @@ def source_sizes(hist: DataFrame) -> DataFrame:
     before = before.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
     at = F.row_number().over(W.partitionBy("part").orderBy(F.asc_nulls_last("source")))
     return ranged.withColumn("at", at).join(F.broadcast(before), "part").select(
-        "key", "source", "source_size", "least", (F.col("squares") / F.col("source_size")).alias("scale"),
+        "key", "source", "source_size", "least", F.try_divide("squares", "source_size").alias("scale"),
         (F.col("before") + F.col("at") - 1).alias("place"),
     )
 
@@ -137,7 +137,7 @@ def multipliers(hist: DataFrame, sources: DataFrame) -> DataFrame:
             F.when(off < 0, F.col("multiplier")).otherwise(F.col("low")).alias("low"),
             F.when(off > 0, F.col("multiplier")).otherwise(F.col("high")).alias("high"),
         )
-        newton = F.col("multiplier") - F.col("off") / F.col("slope")
+        newton = F.col("multiplier") - F.try_divide("off", "slope")
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         met = F.abs("off") <= F.col("target") * TOLERANCE
         tilts = cut_lineage(stepped.select(
@@ -162,13 +162,16 @@ def copies_by_size(hist: DataFrame, sources: DataFrame, tilts: DataFrame) -> Dat
     groups = cut_lineage(rounded.select("key", "size", "n", "target", F.least("copies", F.col("n") * MAX_COPIES).cast("long").alias("copies")))
     for _ in range(REPAIRS):
         off = groups.groupBy("key").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off"))
-        after = F.abs(F.col("off") + F.when(F.col("off") > 0, -F.col("size")).otherwise(F.col("size")))
-        room = F.when(F.col("off") > 0, F.col("copies") > 0).otherwise(F.col("copies") < F.col("n") * MAX_COPIES)
-        best = (
-            groups.join(off, "key").where((F.col("size") > 0) & room & (after < F.abs("off")))
-            .groupBy("key").agg(F.min_by(F.struct("size", F.when(F.col("off") > 0, -1).otherwise(1).alias("step")), F.struct(after, "size")).alias("best"))
+        room = F.when(F.col("off") > 0, F.col("copies")).otherwise(F.col("n") * MAX_COPIES - F.col("copies"))
+        moved = F.least(room, F.greatest(F.lit(1), F.try_divide(F.abs("off"), "size").cast("long")))
+        best = cut_lineage(
+            groups.join(off, "key").where("size > 0").withColumn("moved", moved).withColumn("after", F.abs(F.abs("off") - F.col("moved") * F.col("size")))
+            .where((F.col("moved") > 0) & (F.col("after") < F.abs("off")))
+            .groupBy("key").agg(F.min_by(F.struct("size", (F.col("moved") * -F.signum("off")).cast("long").alias("step")), F.struct("after", "size")).alias("best"))
             .select("key", "best.size", "best.step")
         )
+        if best.isEmpty():
+            break
         groups = cut_lineage(groups.join(best, ["key", "size"], "left").select(
             "key", "size", "n", "target", (F.col("copies") + F.coalesce("step", F.lit(0))).alias("copies")
         ))
@@ -198,13 +201,15 @@ def mixed(docs: DataFrame, repeat: bool = True) -> DataFrame:
     by = ["doc_id", "key", "same"]
     taken = copies.groupBy(*by).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
     taken = taken.select(*[F.col(c).alias(f"_{c}") for c in by], "_all", "_rows")
-    mine = [docs["doc_id"].eqNullSafe(F.col("_doc_id")), source_key(docs["source"]) == F.col("_key"), F.xxhash64(docs["text"]) == F.col("_same")]
-    joined = docs.join(taken, mine[0] & mine[1] & mine[2])
+    whole = docs.select(  # the caller's columns travel as one, so their names cannot clash
+        F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs["doc_id"].alias("doc_id"), source_key(docs["source"]).alias("key"), F.xxhash64(docs["text"]).alias("same")
+    )
+    joined = whole.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("same") == F.col("_same")))
     at = F.row_number().over(W.partitionBy("_doc_id", "_key", "_same").orderBy(F.lit(0)))  # equal rows: any order will do
-    own = joined.withColumn("_at", at).withColumn("_copies", F.expr("_all div _rows + IF(_at <= _all % _rows, 1, 0)").cast("int")).where("_copies > 0")
+    own = joined.withColumn("at", at).withColumn("n", F.expr("_all div _rows + IF(at <= _all % _rows, 1, 0)").cast("int")).where("n > 0")
     if repeat:
-        return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
-    return own.select(*docs.columns, F.col("_copies").alias("copies"))
+        return own.select("whole", F.explode(F.sequence(F.lit(1), "n"))).select("whole.*")
+    return own.select("whole.*", F.col("n").alias("copies"))
 
 
 @query("op5_source_mix")

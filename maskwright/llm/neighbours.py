@@ -100,7 +100,7 @@ class Index:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Index:
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    return Index(np.array([r.vector for r in picked], float).reshape(len(picked), -1))
+    return Index(np.array([r.vector for r in picked], float) if picked else np.empty((0, 1)))
 
 
 def build(rows: DataFrame, index: Index, segment: int = SEGMENT) -> DataFrame:

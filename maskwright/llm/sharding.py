@@ -14,9 +14,8 @@ then move only into the new shard, and none between the old ones.
 
 Defined results: a null key is a key of its own (all such rows go to one
 shard); a null text has no bytes (size 1, crc32 0); repeated rows each get
-their own slot; an empty table gives an empty table; columns the caller has
-beside ``key`` and ``text`` are untouched by :func:`place` and absent from
-:func:`assigned`.
+their own slot; an empty table gives an empty table; :func:`place` keeps the caller's columns (one
+of the new column's name is replaced), :func:`assigned` does not read them.
 """
 
 from __future__ import annotations
