@@ -20,7 +20,7 @@ from maskwright.session import local_session  # noqa: E402
 HEADLINE = (
     "document_spans", "record_spans", "redacted_documents", "leak_scan", "url_templates", "page_elements", "view_changes",
     "score_totals", "state_visits", "study_report", "floor_percentiles", "parsed_replies", "task_feed", "running_totals", "private_names",
-    "fused_elements",
+    "fused_elements", "redacted_views", "word_chunks",
 )
 
 

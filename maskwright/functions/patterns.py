@@ -117,6 +117,8 @@ NAME_THRESHOLD = 0.6
 NOT_NAMES = ("aadhaar", "aadhar", "uidai")
 MAX_WORDS = 256
 WORD = r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^%S%]"
+# The same for Python, whose word characters are letters, numbers and _ of any script.
+PYTHON_WORD = r"\w+(?:[-_]\w+)*|[^" + SPACE + "]"
 BUSINESS_WORD = r"%L%(?:clinic|branch|hospital|bank|restaurant|store)%R%"
 STREET_WORD = (
     r"(?:road|rd|street|st|lane|ln|marg|nagar|colony|layout|avenue|ave|cross|main|circle|chowk|gali|bazaar"

@@ -7,6 +7,8 @@ end-exclusive and count code points, as Spark's own string functions do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from maskwright.functions.patterns import LABEL_WINDOW
 from maskwright.functions.sql import fresh, let, lit
 
@@ -16,6 +18,8 @@ SPAN_TYPE = "array<struct<start:int,end:int,category:string,source:string,confid
 NO_SPANS = f"cast(array() AS {SPAN_TYPE})"
 # Entries whose running lengths are summed in one fold.
 BLOCK = 256
+# Results appended one by one in a fold.
+FOLD_BLOCK = 64
 # Up to this many pieces, a start is simply the length of what comes before it.
 FEW = 33
 
@@ -113,6 +117,33 @@ def span(start: str, end: str, category: str, source: str, confidence: str, prio
     )
 
 
+def in_blocks(items: str, state: str, kept: str, step: Callable[[str, str], str], last: Callable[[str], str] | None = None) -> str:
+    """A fold that appends to ``kept`` (its type) as it goes, in near linear time however long ``items`` is.
+
+    Appending copies what is already there, so a block's results are appended one by one, and whole blocks to the end.
+    ``step`` takes the names of the fold (with fields ``state`` and ``kept``) and of the item, and gives the next fold.
+    ``last``: an array, made of the final state, that ends the result.
+    """
+    a, b, x, v, n, done = (fresh(p) for p in ("a", "b", "x", "v", "n", "done"))
+    inner = (
+        f"aggregate({b}, named_struct('state', {a}.state, 'kept', cast(array() AS {kept})), ({v}, {x}) -> {step(v, x)})"
+    )
+    after = let(inner, lambda d: f"named_struct('state', {d}.state, 'kept', concat({a}.kept, array({d}.kept)))")
+
+    def folded(whole: str) -> str:
+        blocks = (
+            f"transform(sequence(0, cast(floor((size({whole}) - 1) / {FOLD_BLOCK}) AS int)), "
+            f"{n} -> slice({whole}, {n} * {FOLD_BLOCK} + 1, {FOLD_BLOCK}))"
+        )
+        end = f"flatten({done}.kept)" if last is None else f"concat(flatten({done}.kept), {last(done + '.state')})"
+        return (
+            f"aggregate({blocks}, named_struct('state', {state}, 'kept', cast(array() AS array<{kept}>)), "
+            f"({a}, {b}) -> {after}, {done} -> {end})"
+        )
+
+    return let(items, folded)
+
+
 def resolve_overlaps(spans: str) -> str:
     """Keep the earliest, then longest, then first-listed of overlapping spans.
 
@@ -121,28 +152,31 @@ def resolve_overlaps(spans: str) -> str:
     """
 
     def fold(v: str) -> str:
-        s, a, x = fresh("s"), fresh("a"), fresh("x")
+        s = fresh("s")
         ordered = (
             f"array_sort(transform({v}, {s} -> named_struct("
             f"'at', {s}.start, 'far', -{s}.end, 'p', {s}.priority, 's', {s})))"
         )
-        return (
-            f"aggregate({ordered}, named_struct('last', -1, 'kept', {NO_SPANS}), ({a}, {x}) -> "
-            f"if({x}.at >= {a}.last, named_struct('last', -{x}.far, 'kept', concat({a}.kept, array({x}.s))), {a}), "
-            f"{a} -> {a}.kept)"
+        return in_blocks(
+            ordered, "-1", SPAN_TYPE,
+            lambda a, x: f"if({x}.at >= {a}.state, named_struct('state', -{x}.far, 'kept', concat({a}.kept, array({x}.s))), {a})",
         )
 
     return let(spans, lambda v: f"if(size({v}) < 2, cast({v} AS {SPAN_TYPE}), {fold(v)})")
 
 
 def replace_spans(text: str, replacements: str) -> str:
-    """Swap each replacement's range for its token. ``replacements``: sorted, disjoint, with start, end, token."""
+    """Swap each replacement's range for its token. ``replacements``: sorted, disjoint, with start, end, token.
+
+    A NULL token fails the job: joining the pieces would silently drop it and the text before it.
+    """
 
     def build(v: str) -> str:
         s, i = fresh("s"), fresh("i")
+        token = f"coalesce({s}.token, raise_error('a span without a token: its category is not one of the known'))"
         part = let(
             f"coalesce(get({v}.r, {i} - 1).end, 0)",
-            lambda before: f"concat(substring({v}.t, {before} + 1, {s}.start - {before}), {s}.token)",
+            lambda before: f"concat(substring({v}.t, {before} + 1, {s}.start - {before}), {token})",
         )
         return (
             f"if(size({v}.r) > 0, concat(array_join(transform({v}.r, ({s}, {i}) -> {part}), ''), "

@@ -22,7 +22,7 @@ def parse_token(token: str) -> str:
 
 
 def format_token(category: str, number: str) -> str:
-    """The only place a token is built. NULL for a negative number or an unknown category."""
+    """The only place a token is built. NULL for a negative number or an unknown category (replacing a span by it fails loudly)."""
     known = ", ".join(lit(c) for c in P.CATEGORIES)
     return f"if({number} >= 0 AND {category} IN ({known}), concat('<PII:', {category}, ':', {number}, '>'), NULL)"
 

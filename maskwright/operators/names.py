@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from maskwright.functions import patterns as P
 from maskwright.functions.detectors import candidates, field_category, rlike
 from maskwright.functions.spans import NO_SPANS, find, resolve_overlaps, span
 from maskwright.functions.sql import fresh, lit, once
+from maskwright.functions.urls import url_template
+from maskwright.operators import vault as tokens
 from maskwright.operators.entities import NAME_PRIORITY
 from maskwright.operators.skew import join_salted
-from maskwright.operators.views import neighbour_label
+from maskwright.operators.views import detect_view_texts, neighbour_label, view_texts
 
 GOAL_SEQ = -1
 
@@ -115,7 +119,7 @@ def known_in(texts: DataFrame, known: DataFrame) -> DataFrame:
         f"regexp_extract(key, {lit(r'[^\p{L}\p{N}]*$')}, 0) AS trail",
     ).where("core <> ''")
     sizes = k.groupBy("task_id").agg(F.expr(f"array_sort(collect_set(regexp_count(core, {lit(_RUN)})))").alias("sizes"))
-    words = texts.select("text_id", "task_id", "view_seq", "text").join(sizes, "task_id")
+    words = join_salted(texts.select("text_id", "task_id", "view_seq", "text"), sizes, ["task_id"], ["text_id"])
     i, n = fresh("i"), fresh("n")
     last = f"get(words, {i} + {n} - 1).end"
     grams = (
@@ -166,14 +170,8 @@ def name_spans(chosen: str, known: str) -> str:
     )
 
 
-def policy(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """``texts`` with their name spans under the whole policy.
-
-    ``texts``: task_id, view_seq, view_id, text_id, text_order, text, where a
-    goal is a view with view_seq -1 and mode all. ``entities``: text_id, found
-    (spans). ``extra``: values known from fields and addresses, as for
-    ``learn_names``. Names are learned before the same view is redacted.
-    """
+def choose_and_learn(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``texts`` with the finder's ``chosen`` spans, the names each task knows): see :func:`policy`."""
     flagged = texts.join(personal, "view_id", "left").join(entities, "text_id", "left")
     chosen = flagged.withColumn(
         "chosen",
@@ -184,14 +182,62 @@ def policy(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: Da
     values = chosen.selectExpr("task_id", "view_seq", "1L + text_order AS learn_order", "explode(chosen) AS s").selectExpr(
         "task_id", "view_seq", "learn_order", "s.text AS value", "s.category AS category"
     )
-    if extra is not None:
-        values = values.unionByName(extra)
-    known = learn_names(values)
-    seen = known_in(texts, known).withColumnRenamed("spans", "known")
+    return chosen.drop("found"), learn_names(values if extra is None else values.unionByName(extra))
+
+
+def with_names(chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """The chosen spans, and each known value wherever it stands from the view on that learned it, as ``names``."""
+    seen = known_in(chosen, known).withColumnRenamed("spans", "known")
     joined = chosen.join(seen, "text_id", "left")
-    return joined.withColumn(
-        "names", F.expr(name_spans("chosen", f"coalesce(known, {NO_SPANS})"))
-    ).drop("found", "chosen", "known")
+    return joined.withColumn("names", F.expr(name_spans("chosen", f"coalesce(known, {NO_SPANS})"))).drop("chosen", "known")
+
+
+def policy(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """``texts`` with their name spans under the whole policy.
+
+    ``texts``: task_id, view_seq, view_id, text_id, text_order, text, where a
+    goal is a view with view_seq -1 and mode all. ``entities``: text_id, found
+    (spans). ``extra``: values known from fields and addresses, as for
+    ``learn_names``. Names are learned before the same view is redacted.
+    """
+    return with_names(*choose_and_learn(texts, personal, entities, extra))
+
+
+def redact_private(
+    views: DataFrame, elements: DataFrame, goals: DataFrame, late: DataFrame, finder: Callable[[str], str], faces: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(redacted texts, view paths without known names, vault): all that leaves for a task, in one plan.
+
+    ``views``: view_id, task_id, view_seq, title, url. ``elements``: theirs. ``goals``: task_id, text; read before any
+    view, every name in them private. ``late``: view_id, part, text of what comes after a view was read (answers,
+    extracted values): names known by then are hidden in them. ``finder``: SQL for the entity spans of a text; for a
+    model, join its spans to the texts and pass a column. Failed finders are the caller's: see :func:`fail_closed`.
+    """
+    own = views.selectExpr("cast(view_id AS string) AS view_id", "task_id", "view_seq", "title", "url")
+    parts = elements.withColumn("view_id", F.expr("cast(view_id AS string)"))
+    none = "cast(NULL AS string)"
+    bare = f"{none} AS context", f"{none} AS input_type", f"{none} AS autocomplete"
+    after = late.selectExpr("cast(view_id AS string) AS view_id", "2147483647 AS ordinal", "part", "1 AS part_order", "text", *bare)
+    shown = view_texts(own, parts).unionByName(after).join(own.select("view_id", "task_id", "view_seq"), "view_id")
+    asked = goals.selectExpr(
+        "concat('goal|', task_id) AS view_id", "0 AS ordinal", "'goal' AS part", "0 AS part_order", "text", *bare, "task_id",
+        f"cast({GOAL_SEQ} AS bigint) AS view_seq",
+    )
+    texts = shown.withColumn("view_seq", F.expr("cast(view_seq AS bigint)")).unionByName(asked).where("text IS NOT NULL").selectExpr(
+        "*", "concat_ws('|', view_id, ordinal, part) AS text_id", "cast(ordinal AS bigint) * 4 + part_order AS text_order"
+    )
+    # What an address or a field spells out is learned before the names of the same view.
+    spelled = email_names(texts, ["task_id", "view_seq"]).unionByName(
+        field_names(texts.where("part = 'value'").withColumnRenamed("text", "value"), ["task_id", "view_seq"])
+    ).withColumn("learn_order", F.lit(0).cast("bigint"))
+    personal = personal_views(texts.where("part NOT IN ('goal', 'after', 'extract')"), parts, faces)
+    found = texts.selectExpr("text_id", f"{finder('text')} AS found")
+    chosen, learned = choose_and_learn(texts, personal, found, spelled)
+    spans = detect_view_texts(with_names(chosen, learned), "names").drop("names", "personal")
+    redacted, vault = tokens.redact(spans, ["task_id"], ["view_seq", "text_order"], bucket_rows=1)
+    urls = own.selectExpr("view_id AS url_id", "task_id", "cast(view_seq AS bigint) AS view_seq", f"{url_template('url')} AS u")
+    paths = hide_names_in_path(urls.selectExpr("url_id", "task_id", "view_seq", "u.path_template AS path_template"), learned)
+    return redacted, paths.withColumnRenamed("url_id", "view_id"), vault
 
 
 def fail_closed(rows: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:

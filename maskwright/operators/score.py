@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.spans import MARK, find, pieces, running_lengths
+from maskwright.functions.spans import MARK, find, in_blocks, pieces, running_lengths
 from maskwright.functions.sql import fresh, let, lit, lits
 from maskwright.operators.skew import join_salted
 
@@ -144,12 +144,18 @@ def score_items(items: DataFrame, places: DataFrame) -> DataFrame:
 
 def _union_ranges(ranges: str) -> str:
     """Sorted, merged ranges (touching ones join)."""
-    a, r = fresh("a"), fresh("r")
-    empty = "cast(array() AS array<struct<start:int,end:int>>)"
-    return (
-        f"aggregate(array_sort({ranges}), {empty}, ({a}, {r}) -> CASE WHEN size({a}) > 0 AND {r}.start <= element_at({a}, -1).end "
-        f"THEN concat(slice({a}, 1, size({a}) - 1), array(named_struct('start', element_at({a}, -1).start, "
-        f"'end', greatest(element_at({a}, -1).end, {r}.end)))) ELSE concat({a}, array({r})) END)"
+
+    def step(f: str, r: str) -> str:
+        grown = f"named_struct('start', {f}.state.start, 'end', greatest({f}.state.end, {r}.end))"
+        closed = f"if({f}.state.start < 0, {f}.kept, concat({f}.kept, array({f}.state)))"
+        return (
+            f"if({r}.start <= {f}.state.end, named_struct('state', {grown}, 'kept', {f}.kept), "
+            f"named_struct('state', named_struct('start', {r}.start, 'end', {r}.end), 'kept', {closed}))"
+        )
+
+    return in_blocks(
+        f"array_sort({ranges})", "named_struct('start', -1, 'end', -1)", "array<struct<start:int,end:int>>", step,
+        lambda state: f"if({state}.start < 0, cast(array() AS array<struct<start:int,end:int>>), array({state}))",
     )
 
 

@@ -77,31 +77,33 @@ def attach_tokens(
 
 
 def redact(
-    texts: DataFrame, scope: list[str], order: list[str], unicode_values: bool = True, id_column: str = "text_id"
+    texts: DataFrame, scope: list[str], order: list[str], unicode_values: bool = True, id_column: str = "text_id",
+    bucket_rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(redacted texts, vault). ``texts`` holds ``text`` and its resolved ``spans``.
 
-    Texts without a span pass straight through: they are never shuffled or
-    written twice. Texts with spans are needed by the vault and by the
-    replacement, so they are detected once and kept in the shared folder.
+    The detectors run once: what they find is kept in the shared folder as
+    narrow rows (spans, no texts) of the texts that have any. The texts are
+    read a second time without their ``spans``, so no detection is part of
+    that plan, and meet what replaces their spans; a text that is not among
+    those rows is clean.
     """
-    texts = texts.withColumn("spans", F.expr(once("spans")))
-    dirty = cut_lineage(texts.where("size(spans) > 0"))
-    clean = texts.where("size(spans) = 0").withColumn("spans", F.expr(NO_SPANS))
-    found = dirty.selectExpr(id_column, *[c for c in [*scope, *order] if c != id_column], _SPAN_ROWS)
-    vault = assign_tokens(found, scope, [*order, "start"], unicode_values)
+    keys = [id_column, *[c for c in dict.fromkeys([*scope, *order]) if c != id_column]]
+    hits = cut_lineage(texts.select(*keys, F.expr(once("spans")).alias("spans")).where("size(spans) > 0"))
+    found = hits.selectExpr(*keys, _SPAN_ROWS)
+    vault = assign_tokens(found, scope, [*order, "start"], unicode_values, bucket_rows)
     tokens = attach_tokens(found, vault, scope, [id_column, "start"], unicode_values)
     per_text = tokens.groupBy(id_column).agg(
         F.expr("array_sort(collect_list(struct(start, end, token)))").alias("replacements")
     )
-    swapped = dirty.join(per_text, id_column).selectExpr(
-        *texts.columns, "replacements", f"{replace_spans('text', 'replacements')} AS redacted"
+    attached = hits.select(id_column, "spans").join(per_text, id_column)
+    none = "cast(array() AS array<struct<start:int,end:int,token:string>>)"
+    redacted = texts.drop("spans").join(attached, id_column, "left").selectExpr(
+        *[f"coalesce(spans, {NO_SPANS}) AS spans" if c == "spans" else f"`{c}`" for c in texts.columns],
+        f"coalesce(replacements, {none}) AS replacements",
+        f"if(replacements IS NULL, text, {replace_spans('text', 'replacements')}) AS redacted",
     )
-    untouched = clean.selectExpr(
-        *texts.columns, "cast(array() AS array<struct<start:int,end:int,token:string>>) AS replacements",
-        "text AS redacted",
-    )
-    return swapped.unionByName(untouched), vault
+    return redacted, vault
 
 
 def redaction_counts(texts: DataFrame, by: list[str]) -> DataFrame:
@@ -134,7 +136,10 @@ def resolve_tokens(
     pattern = lit(P.TOKEN)
     with_tokens = texts.where(f"{text} rlike {pattern}")
     used = with_tokens.selectExpr(id_column, *[c for c in scope if c != id_column], f"explode(array_distinct({find_tokens(text)})) AS token")
-    known = join_hot(used, vault, [*scope, "token"], ["first_value"], "uses", [id_column])
+    # The hottest tokens are those these texts use most, whatever the texts that filled the vault used.
+    wanted = used.groupBy(*scope, "token").agg(F.count("*").alias("_here"))
+    asked = vault.select(*scope, "token", "first_value").join(wanted, [*scope, "token"])
+    known = join_hot(used, asked, [*scope, "token"], ["first_value"], "_here", [id_column])
     per_text = known.groupBy(id_column).agg(
         F.expr("map_from_entries(collect_list(struct(token, first_value)) FILTER (WHERE first_value IS NOT NULL))").alias("values"),
         F.expr("array_sort(collect_list(token) FILTER (WHERE first_value IS NULL))").alias("unknown"),

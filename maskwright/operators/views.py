@@ -150,7 +150,7 @@ def redact_view(
     """
     texts = detect_view_texts(view_texts(views, elements)).join(views.select("view_id", scope, order), "view_id")
     keyed = texts.withColumn("text_id", F.expr("concat_ws('|', view_id, ordinal, part)"))
-    done, vault = tokens.redact(keyed, [scope], [order, "ordinal", "part_order"])
+    done, vault = tokens.redact(keyed, [scope], [order, "ordinal", "part_order"], bucket_rows=1)  # each cycle is numbered by itself
     wide = done.where("part <> 'title'").groupBy("view_id", "ordinal").agg(
         *[F.expr(f"any_value(redacted) FILTER (WHERE part = '{p}')").alias(f"_{p}") for p in ("label", "value", "hint")]
     )

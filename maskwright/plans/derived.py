@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.plans.registry import spread, table
+from maskwright.plans.registry import table
 
 
 def pad(value: str, width: int) -> str:
@@ -38,7 +38,7 @@ DOCUMENTS_SQL = "(SELECT doc_id AS text_id, source AS scope_id, doc_id AS seq, t
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    narrow = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    narrow = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return narrow.selectExpr(
         "o_orderkey AS text_id", "o_custkey AS scope_id", "o_orderkey AS seq", f"{RECORD_TEXT} AS text"
     )

@@ -47,11 +47,13 @@ def task_feed(spark, folder):
 @query(
     "liveness_gaps",
     """SELECT user_id, ts + INTERVAL 6 HOUR AS disconnected_at, nxt AS back_at FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events)
-WHERE epoch_ms(nxt) - epoch_ms(ts) > 21600000""",
+WHERE epoch_ms(coalesce(nxt, (SELECT max(ts) FROM events))) - epoch_ms(ts) > 21600000""",
 )
 def liveness_gaps(spark, folder):
-    """Silences per user of over six hours (the feed's rule, on a slower clock); a hot user is cut by the day."""
-    gaps = feed.liveness(_events(spark, folder), "user_id", 6 * 3600 * 1000, "cast(floor(unix_seconds(sent_at) / 86400) AS bigint)")
+    """Silences per user of over six hours (the feed's rule, on a slower clock), up to the last message of all; a hot user is cut by the day."""
+    events = _events(spark, folder)
+    until = events.agg(F.expr("unix_micros(max(sent_at))")).first()[0] or 0
+    gaps = feed.liveness(events, "user_id", 6 * 3600 * 1000, "cast(floor(unix_seconds(sent_at) / 86400) AS bigint)", f"timestamp_micros({until})")
     return gaps.selectExpr("user_id", "cast(disconnected_at AS timestamp_ntz) AS disconnected_at", "cast(back_at AS timestamp_ntz) AS back_at")
 
 
@@ -116,16 +118,17 @@ def described_counts(spark, folder):
 
 
 @query(
-    "audit_documents",
+    "audit_rows",
     f"""WITH e AS {_EVENT_SQL}
-SELECT task_id, CAST(floor(seq / 8) AS BIGINT) AS part, 'goal of ' || task_id AS redacted_goal, CAST(count(*) AS BIGINT) AS n, string_agg(type, ' ' ORDER BY seq) AS types FROM e GROUP BY ALL""",
+SELECT task_id, CAST(seq AS BIGINT) AS seq, type, CAST(NULL AS VARCHAR) AS redacted_goal FROM e
+UNION ALL SELECT DISTINCT task_id, CAST(-1 AS BIGINT), 'goal', 'goal of ' || task_id FROM e""",
 )
-def audit_documents(spark, folder):
-    """Each task's events in order, in documents of bounded size, with the redacted goal."""
+def audit_rows(spark, folder):
+    """Each task's redacted goal and its events, a row each."""
     events = _events(spark, folder).select("task_id", "seq", "type", "page")
     goals = events.select("task_id").distinct().selectExpr("task_id", "concat('goal of ', task_id) AS redacted_goal")
-    return files.audit_documents(events, goals, max_events=8).selectExpr(
-        "task_id", "part", "redacted_goal", "cast(n AS bigint) AS n", "array_join(transform(events, e -> get_json_object(e, '$.type')), ' ') AS types"
+    return files.audit_rows(events, goals).selectExpr(
+        "task_id", "seq", "get_json_object(event, '$.type') AS type", "get_json_object(event, '$.redacted_goal') AS redacted_goal"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import boxes as B
 from maskwright.operators import boxes, budget, outputs, study
+from maskwright.plans import checks as C
 from maskwright.plans.derived import LINES_SQL, lines
 from maskwright.plans.registry import query, table
 
@@ -292,20 +293,23 @@ def run_records(spark, folder):
 
 _SOURCE = (
     "'const a = 1; // localStorage' || chr(10) || '/* sentry' || chr(10) || 'gtag */ ' || CASE WHEN doc_id % 2 = 0 THEN 'console.log(' || cast(doc_id AS string) || ')' ELSE 'log.info()' END "
-    "|| chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'localStorage.x = \"https://h.example\"' ELSE '' END || chr(10) || substr(text, 1, 0) || CASE WHEN doc_id % 5 = 0 THEN 'import posthog' ELSE '' END"
+    "|| chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'localStorage.x = \"https://h.example\"' ELSE '' END || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'import posthog' ELSE '' END || chr(10) || coalesce(text, '')"
 )
+# A rule of its own for what real texts hold.
+_TEXT_RULES = (*study.SOURCE_RULES, ("no-address", "^src/", r"[A-Za-z0-9]@[A-Za-z0-9]"))
 
 
 @query(
     "rule_hits",
-    """SELECT 'apps/extension/lib/f' || doc_id || '.ts' AS file, CAST(ln AS BIGINT) AS line, rule FROM (
- SELECT doc_id, 2 AS ln, 'no-raw-console' AS rule FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 3, 'no-persistence' FROM documents WHERE doc_id % 3 = 0
- UNION ALL SELECT doc_id, 4, 'no-telemetry' FROM documents WHERE doc_id % 5 = 0)""",
+    f"""WITH f AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({_SOURCE}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '(?m)(^|[^:])//.*$', '\\1', 'g'), chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line FROM f)
+ SELECT 'src/lib/f' || doc_id || '.ts' AS file, CAST(line AS BIGINT) AS line, r.rule FROM l
+ JOIN (VALUES {', '.join(f"('{n}', {C.sq(p)})" for n, _, p in _TEXT_RULES)}) r(rule, pattern) ON regexp_matches(l.t, r.pattern)""",
 )
 def rule_hits(spark, folder):
-    """Source rules over one file per document, comments stripped first."""
-    files = table(spark, folder, "documents").selectExpr("'apps/extension/lib/f' || cast(doc_id AS string) || '.ts' AS file", f"{_SOURCE} AS source")
-    return study.rule_scan(files).selectExpr("file", "cast(line AS bigint) AS line", "rule")
+    """Source rules over one file per document with its whole text in it, comments stripped first."""
+    files = table(spark, folder, "documents").selectExpr("'src/lib/f' || cast(doc_id AS string) || '.ts' AS file", f"{_SOURCE} AS source")
+    return study.rule_scan(files, _TEXT_RULES).selectExpr("file", "cast(line AS bigint) AS line", "rule")
 
 
 # --- model output ------------------------------------------------------------

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
 from maskwright.functions.detectors import detect_in_context
-from maskwright.functions.sql import once
+from maskwright.functions.spans import find
+from maskwright.functions.sql import lit, once
 from maskwright.operators import entities, names, views as view_ops
 from maskwright.plans import checks as C
 from maskwright.plans.derived import LINES_SQL, VIEWS_SQL, as_sql, documents, lines, select, views
-from maskwright.plans.registry import query, spread, table
+from maskwright.plans.registry import query, table
 from maskwright.sources import html
 
 # --- pages to elements ---------------------------------------------------------
@@ -142,7 +143,7 @@ _FORM_VAULT = f"vault AS ({C.vault('spans', 'task_id', 'cycle, ordinal, part')})
 
 
 def _forms(spark, folder):
-    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     shown = orders.selectExpr(
         "o_orderkey AS view_id", "o_custkey AS task_id", "o_orderkey AS cycle", "'Mail of c' || cast(o_custkey AS string) || '@example.com' AS title",
         "'https://shop.example/order/' || cast(o_orderkey + 1000 AS string) AS url",
@@ -302,7 +303,7 @@ _NAMES_SQL = as_sql(_NAMES, "orders")
 
 
 def _named(spark, folder):
-    return select(spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")), _NAMES)
+    return select(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), _NAMES)
 
 
 @query("cue_texts", f"SELECT DISTINCT text FROM {_NAMES_SQL} WHERE view_id % 5 IN (0, 2)")
@@ -377,6 +378,40 @@ def hidden_paths(spark, folder):
     return names.hide_names_in_path(urls, _known(spark, folder))
 
 
+# Everything that leaves for a task: a goal for every second customer, each order's view, and what is said after it.
+_GOAL = f"CASE WHEN task_id % 2 = 0 THEN 'Order tea for Q' || {_WHO.replace('o_custkey', 'task_id')} || ' Rao' ELSE 'Read the news' END"
+_AFTER = f"'now it shows Q' || {_WHO} || ' Rao'"
+
+
+@query(
+    "private_views",
+    f"""WITH t AS {_NAMES_SQL},
+k AS (SELECT task_id, min(CASE WHEN task_id % 2 = 0 THEN -1 WHEN view_id % 5 IN (0, 2, 3) THEN view_seq END) AS known_from FROM t GROUP BY task_id),
+x AS (SELECT DISTINCT 'goal|' || task_id AS view_id, 'goal' AS part, task_id, CAST(-1 AS BIGINT) AS view_seq, {_GOAL} AS x FROM t
+ UNION ALL SELECT CAST(view_id AS VARCHAR), 'label', task_id, view_seq, text FROM t
+ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'after', o_custkey, o_orderkey, {_AFTER} FROM orders)
+SELECT view_id, part, CASE WHEN part = 'label' AND regexp_matches(x, '@') THEN regexp_replace(x, 'q[a-j]+[.]rao@example[.]com', '<PII:EMAIL:1>') ELSE
+ CASE WHEN k.known_from <= x.view_seq THEN replace(regexp_replace(x, 'Q[a-j]+ Rao|q[a-j]+  RAO', '<PII:NAME:1>'), '12 Lake View Road', '<PII:ADDRESS:1>') ELSE x END END AS redacted
+FROM x LEFT JOIN k ON k.task_id = x.task_id
+UNION ALL SELECT CAST(t.view_id AS VARCHAR), 'path', CASE WHEN k.known_from <= t.view_seq THEN '/users/{{name}}/orders' ELSE t.path END FROM t LEFT JOIN k ON k.task_id = t.task_id""".replace("{{", "{").replace("}}", "}"),
+)
+def private_views(spark, folder):
+    """Goals, views and later texts under the whole name policy, redacted with one vault; names out of the paths too."""
+    raw = _named(spark, folder)
+    shown = raw.selectExpr("view_id", "task_id", "view_seq", "cast(NULL AS string) AS title", "concat('https://shop.example', path) AS url")
+    nothing = [f"cast(NULL AS string) AS {c}" for c in ("value", "hint", "input_type", "autocomplete")]
+    elements = raw.selectExpr("view_id", "0 AS ordinal", "'text' AS role", "text AS label", *nothing, "'dom' AS source")
+    goals = raw.select("task_id").distinct().selectExpr("task_id", f"{_GOAL} AS text")
+    late = table(spark, folder, "orders").selectExpr("o_orderkey AS view_id", "'after' AS part", f"{_AFTER} AS text")
+    def finder(t):
+        people = find(t, lit("Q[a-j]+ Rao"))
+        person = "m -> named_struct('start', m.start, 'end', m.end, 'label', 'person', 'score', 0.9D, 'text', m.text)"
+        return entities.entity_candidates(f"cast(concat({entities.rule_entities(t)}, transform({people}, {person})) AS {entities.ENTITY_TYPE})")
+
+    done, paths, _ = names.redact_private(shown, elements, goals, late, finder)
+    return done.select("view_id", "part", "redacted").unionByName(paths.selectExpr("view_id", "'path' AS part", "path AS redacted"))
+
+
 @query(
     "held_back",
     "SELECT o_custkey AS task_id, CAST(count(*) AS BIGINT) AS held FROM orders WHERE o_custkey % 9 = 0 GROUP BY 1",

@@ -32,7 +32,15 @@ def _one_kind(name: str, kind: str, source, source_sql: str):
 
 _one_kind("email_spans", "email", documents, DOCUMENTS_SQL)
 _one_kind("card_spans", "card", documents, DOCUMENTS_SQL)
-_one_kind("upi_spans", "upi", documents, DOCUMENTS_SQL)
+_WITH_PAYEE = "text || ' Pay u' || cast(doc_id AS string) || '@okaxis, not pay' || cast(doc_id AS string) || '@example'"
+
+
+def _paying(spark, folder):
+    """Documents, each with one payment address and one that is none at its end."""
+    return documents(spark, folder).withColumn("doc_id", F.col("text_id")).selectExpr("text_id", "scope_id", "seq", f"{_WITH_PAYEE} AS text")
+
+
+_one_kind("upi_spans", "upi", _paying, f"(SELECT doc_id AS text_id, source AS scope_id, doc_id AS seq, {_WITH_PAYEE} AS text FROM documents)")
 _one_kind("phone_spans", "phone", records, RECORDS_SQL)
 _one_kind("pan_spans", "pan", records, RECORDS_SQL)
 _one_kind("ifsc_spans", "ifsc", records, RECORDS_SQL)
@@ -239,14 +247,13 @@ _PLANNED = "'Call <PII:PHONE:1> about <PII:' || if(o_orderkey % 2 = 0, 'EMAIL',
 
 @query(
     "resolved_values",
-    _cte(RECORDS_SQL) + f"""SELECT text_id, resolved, unknown FROM (
- SELECT o.text_id, CASE WHEN b.first_value IS NULL OR a.first_value IS NULL THEN NULL
-   ELSE replace(replace(o.planned, '<PII:PHONE:1>', a.first_value), o.tok, b.first_value) END AS resolved,
-   array_to_string(list_sort(list_filter([CASE WHEN a.first_value IS NULL THEN '<PII:PHONE:1>' END, CASE WHEN b.first_value IS NULL THEN o.tok END], lambda x: x IS NOT NULL)), ' ') AS unknown
- FROM (SELECT o_orderkey AS text_id, o_custkey AS scope_id, {_PLANNED.replace("if(o_orderkey % 2 = 0, 'EMAIL', 'GOV_ID')", "CASE WHEN o_orderkey % 2 = 0 THEN 'EMAIL' ELSE 'GOV_ID' END")} AS planned,
-   '<PII:' || CASE WHEN o_orderkey % 2 = 0 THEN 'EMAIL' ELSE 'GOV_ID' END || ':' || cast(o_orderkey % 5 + 1 AS string) || '>' AS tok FROM orders) o
- LEFT JOIN vault a ON a.scope_id = o.scope_id AND a.token = '<PII:PHONE:1>'
- LEFT JOIN vault b ON b.scope_id = o.scope_id AND b.token = o.tok)""",
+    _cte(RECORDS_SQL) + f""", o AS (SELECT o_orderkey AS text_id, o_custkey AS scope_id, {_PLANNED.replace("if(o_orderkey % 2 = 0, 'EMAIL', 'GOV_ID')", "CASE WHEN o_orderkey % 2 = 0 THEN 'EMAIL' ELSE 'GOV_ID' END")} AS planned,
+   '<PII:' || CASE WHEN o_orderkey % 2 = 0 THEN 'EMAIL' ELSE 'GOV_ID' END || ':' || cast(o_orderkey % 5 + 1 AS string) || '>' AS tok FROM orders),
+j AS (SELECT n.*, v.first_value FROM (SELECT *, tok AS token, 'b' AS w FROM o UNION ALL SELECT *, '<PII:PHONE:1>', 'a' FROM o) n
+ LEFT JOIN vault v ON v.scope_id = n.scope_id AND v.token = n.token),
+g AS (SELECT text_id, max(planned) AS planned, max(tok) AS tok, max(CASE WHEN w = 'a' THEN first_value END) AS a, max(CASE WHEN w = 'b' THEN first_value END) AS b FROM j GROUP BY text_id)
+SELECT text_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN replace(replace(planned, '<PII:PHONE:1>', a), tok, b) END AS resolved,
+ array_to_string(list_sort(list_filter([CASE WHEN a IS NULL THEN '<PII:PHONE:1>' END, CASE WHEN b IS NULL THEN tok END], lambda x: x IS NOT NULL)), ' ') AS unknown FROM g""",
 )
 def resolved_values(spark, folder):
     """Planned values turned back; rows with a token their scope never issued fail and list it."""

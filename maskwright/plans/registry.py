@@ -22,8 +22,3 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """The rows over all cores. For narrow rows about to be made wide and costly: a table of one small file is one task."""
-    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)

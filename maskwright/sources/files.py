@@ -91,20 +91,18 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.partitionBy("section").mode("overwrite").parquet(path)
 
 
-def audit_documents(events: DataFrame, goals: DataFrame, max_events: int = 4096) -> DataFrame:
-    """Documents of each task's events in order, with the redacted goal only.
+def audit_rows(events: DataFrame, goals: DataFrame) -> DataFrame:
+    """The audit of every task: one row for its redacted goal (seq -1), then one for each event. No group is ever gathered.
 
-    A task longer than ``max_events`` events comes as several documents, by
-    part: none is ever larger. ``events``: task_id, seq and the event's
-    fields; ``goals``: task_id, redacted_goal.
+    ``events``: task_id, seq and the event's fields; ``goals``: task_id, redacted_goal.
     """
     fields = [c for c in events.columns if c != "task_id"]
-    parts = events.withColumn("part", F.expr(f"cast(floor(seq / {max_events}) AS bigint)"))
-    packed = parts.groupBy("task_id", "part").agg(F.expr(f"array_sort(collect_list(struct(seq, to_json(struct({', '.join(fields)})) AS event)))").alias("e"))
-    return packed.join(goals, "task_id", "left").selectExpr(
-        "task_id", "part", "redacted_goal", "transform(e, x -> x.event) AS events", "size(e) AS n"
+    return goals.selectExpr("task_id", "-1L AS seq", "to_json(struct('goal' AS type, redacted_goal)) AS event").unionByName(
+        events.selectExpr("task_id", "cast(seq AS bigint) AS seq", f"to_json(struct({', '.join(fields)})) AS event")
     )
 
 
-def write_audit(documents: DataFrame, path: str, day: str = "current_date()") -> None:
-    documents.withColumn("day", F.expr(day)).write.partitionBy("day").mode("append").json(path)
+def write_audit(rows: DataFrame, path: str, day: str = "current_date()") -> None:
+    """One folder a day; within each file a task's rows stand in order, and a long task may fill several files."""
+    ordered = rows.repartitionByRange("task_id", "seq").sortWithinPartitions("task_id", "seq")
+    ordered.withColumn("day", F.expr(day)).write.partitionBy("day").mode("append").json(path)

@@ -112,10 +112,13 @@ def task_feed_batch(events: DataFrame) -> DataFrame:
     )
 
 
-def liveness(events: DataFrame, key: str = "task_id", silence_ms: int = DISCONNECTED_MS, bucket: str | None = None) -> DataFrame:
-    """Gaps longer than the allowed silence between messages of one key. ``bucket`` rises with ``sent_at``."""
+def liveness(events: DataFrame, key: str = "task_id", silence_ms: int = DISCONNECTED_MS, bucket: str | None = None, until: str = "current_timestamp()") -> DataFrame:
+    """Gaps longer than the allowed silence between messages of one key, and after its last one up to ``until`` (then never back).
+
+    ``bucket`` rises with ``sent_at``.
+    """
     seen = ordered(events, [key], "sent_at", {"_next": ("lead", "sent_at")}, bucket)
-    gap = "unix_millis(_next) - unix_millis(sent_at)"
+    gap = f"unix_millis(coalesce(_next, {until})) - unix_millis(sent_at)"
     return seen.where(f"{gap} > {silence_ms}").selectExpr(key, f"sent_at + make_interval(0, 0, 0, 0, 0, 0, {silence_ms / 1000}) AS disconnected_at", "_next AS back_at")
 
 

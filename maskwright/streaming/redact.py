@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,10 +23,13 @@ def read_vault(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VAULT).parquet(path)
 
 
-def _has_vault(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(hadoop) and len(files.listStatus(hadoop)) > 0
+def _known(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """The vault's rows of earlier batches. A vault that does not exist yet is begun with an empty folder."""
+    try:
+        return read_vault(spark, path).where(F.col("batch") < before)
+    except AnalysisException:
+        spark.createDataFrame([], VAULT).drop("batch").write.mode("ignore").parquet(f"{path}/batch=-1")
+        return spark.createDataFrame([], VAULT)
 
 
 def redact_batch(batch: DataFrame, number: int, vault_path: str, order: list[str]) -> DataFrame:
@@ -37,15 +41,13 @@ def redact_batch(batch: DataFrame, number: int, vault_path: str, order: list[str
     again after a lost executor overwrites just that.
     """
     spark = batch.sparkSession
-    detected = batch.withColumn("spans", F.expr(once(detect("text"))))
-    dirty = cut_lineage(detected.where("size(spans) > 0"))
-    clean = detected.where("size(spans) = 0")
-    found = dirty.selectExpr("text_id", "scope_id", *order, tokens._SPAN_ROWS)
+    hits = cut_lineage(batch.select("text_id", "scope_id", *order, F.expr(once(detect("text"))).alias("spans")).where("size(spans) > 0"))
+    found = hits.selectExpr("text_id", "scope_id", *order, tokens._SPAN_ROWS)
     keyed = tokens.value_key(found, "text")
     first = keyed.groupBy("scope_id", "category", "value_key").agg(
         F.expr(f"min(struct({', '.join([*order, 'start'])}, text))").alias("first"), F.count("*").alias("uses")
     )
-    known = read_vault(spark, vault_path).where(F.col("batch") < number) if _has_vault(spark, vault_path) else spark.createDataFrame([], VAULT)
+    known = _known(spark, vault_path, number)
     fresh = first.join(known.select("scope_id", "category", "value_key"), ["scope_id", "category", "value_key"], "left_anti")
     counted = known.groupBy("scope_id", "category").agg(F.max("number").alias("_used"))
     ranked = number_rows(fresh, ["scope_id", "category"], "first", f"cast(floor(first.{order[0]} / {tokens.BUCKET_ROWS}) AS bigint)", "_n")
@@ -58,9 +60,9 @@ def redact_batch(batch: DataFrame, number: int, vault_path: str, order: list[str
     all_known = read_vault(spark, vault_path).where(F.col("batch") <= number)
     attached = tokens.attach_tokens(found, all_known, ["scope_id"], ["text_id", "start"])
     per_text = attached.groupBy("text_id").agg(F.expr("array_sort(collect_list(struct(start, end, token)))").alias("replacements"))
-    swapped = dirty.join(per_text, "text_id").selectExpr("text_id", "scope_id", *order, f"{replace_spans('text', 'replacements')} AS redacted")
-    untouched = clean.selectExpr("text_id", "scope_id", *order, "text AS redacted")
-    return swapped.unionByName(untouched)
+    return batch.join(per_text, "text_id", "left").selectExpr(
+        "text_id", "scope_id", *order, f"if(replacements IS NULL, text, {replace_spans('text', 'replacements')}) AS redacted"
+    )
 
 
 def stream_redact(texts: DataFrame, vault_path: str, out_path: str, checkpoint: str, order: list[str], once: bool = True) -> StreamingQuery:

@@ -6,8 +6,9 @@ import pytest
 
 from maskwright.functions import detectors as D
 from maskwright.functions.detectors import candidates, detect, detect_in_context, detect_one, normalize_ocr
-from maskwright.functions.spans import find, running_lengths
+from maskwright.functions.spans import find, replace_spans, running_lengths
 from maskwright.functions.sql import lit
+from maskwright.operators.score import _union_ranges
 
 CASES = [
     ("mail asha.rao@example.com.", [("EMAIL", "asha.rao@example.com")]),
@@ -131,3 +132,34 @@ def test_a_new_kind_is_one_more_detector(spark):
     plate = D.Detector("plate", "OTHER", 0.8, r"%L%[A-Z]{2}[0-9]{2}[A-Z]{2}[0-9]{4}%R%", lambda t: f"{t} rlike '[A-Z]{{2}}[0-9]'")
     (spans,) = _spans(spark, ["car KA01AB1234, mail a.b@x.com"], detect("text", (*D.ALL, plate)))
     assert [s.text for s in spans] == ["KA01AB1234", "a.b@x.com"]
+
+
+def test_a_kind_without_tokens_is_refused(spark):
+    with pytest.raises(ValueError, match="PLATE"):
+        D.Detector("plate", "PLATE", 0.8, "x", lambda t: "true")
+    missing = "array(named_struct('start', 4, 'end', 8, 'token', cast(NULL AS string)))"
+    with pytest.raises(Exception, match="span without a token"):
+        spark.sql(f"SELECT {replace_spans(lit('car KA01 parked'), missing)}").collect()
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Far more than a block of the folds holds, touching and apart."""
+    text = " ".join(f"a{i}@x.com{',b@y.com' if i % 7 == 0 else ''}" for i in range(3000))
+    (spans,) = _spans(spark, [text], detect("text"))
+    assert [s.text for s in spans] == re.findall(r"[a-z0-9]+@[xy]\.com", text)
+    ranges = [(i * 3 % 1009 * 5, i * 3 % 1009 * 5 + 3 + i % 4) for i in range(2000)]
+    rows = spark.createDataFrame([(ranges,)], "r array<struct<start:int,end:int>>")
+    merged = [[s, e] for s, e in sorted(ranges)[:1]]
+    for s, e in sorted(ranges):
+        if s <= merged[-1][1]:
+            merged[-1][1] = max(e, merged[-1][1])
+        else:
+            merged.append([s, e])
+    assert [[x.start, x.end] for x in rows.selectExpr(f"{_union_ranges('r')} AS u").first().u] == merged
+    as_spans = ", ".join(["'EMAIL' AS category", "'regex' AS source", "1.0D AS confidence", "0 AS priority", "'' AS text"])
+    listed = f"transform(r, x -> struct(x.start AS start, x.end AS end, {as_spans}))"
+    kept = []
+    for s, e in ranges:
+        if not any(s < b and a < e for a, b in kept):
+            kept.append((s, e))
+    assert [(x.start, x.end) for x in rows.selectExpr(f"{D.first_wins(listed)} AS u").first().u] == sorted(kept)
