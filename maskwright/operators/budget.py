@@ -15,6 +15,8 @@ from maskwright.functions.sql import fresh, let, lit, lits
 from maskwright.operators.traces import json_string
 
 # The line that tells a page was cut, and the numbers of notes kept.
+# Fixed value: how a request names the hidden parts of images.
+REGIONS = "Blacked-out image regions: "
 SHORTENED = (
     'This page was too long to send whole: text ending in "…" is cut short, and some elements far from the view are left '
     "out. Open or scroll to an item to read it in full."
@@ -76,9 +78,15 @@ def render_element(e: str) -> str:
     )
 
 
+def without_reason(action: str) -> str:
+    """An action's JSON without its reason: what was done, not why."""
+    member = r'(?<!\\)"reason"\s*:\s*"(?:[^"\\]|\\.)*"'
+    return f"regexp_replace(regexp_replace({action}, {lit(member + r'\s*,\s*')}, ''), {lit(r',?\s*' + member)}, '')"
+
+
 def render_step(s: str, number: str) -> str:
     return (
-        f"concat({number}, '. ', {s}.action, ' -> ', if({s}.verified, 'verified', 'NOT verified'), "
+        f"concat({number}, '. ', {without_reason(s + '.action')}, ' -> ', if({s}.verified, 'verified', 'NOT verified'), "
         f"if(coalesce({s}.note, '') <> '', concat(': ', {s}.note), ''))"
     )
 
@@ -90,7 +98,15 @@ def _not_listed(above: str, below: str) -> str:
     )
 
 
-def render_request(shortened: str = "false") -> str:
+def render_regions(regions: str) -> str:
+    """The line on hidden parts of images. ``regions``: array of category and bbox (x, y, w, h)."""
+    r = fresh("r")
+    box = ", ".join(_number(f"{r}.bbox.{side}") for side in "xywh")
+    each = f"concat({r}.category, ' at [', concat_ws(',', {box}), ']')"
+    return f"if(size({regions}) > 0, concat({lit(REGIONS)}, array_join(transform({regions}, {r} -> {each}), '; '), '\\n'), '')"
+
+
+def render_request(shortened: str = "false", regions: str | None = None) -> str:
     """The whole request as text, from a row of goal, title, origin, path_template, has_query, vw, vh, elements, above,
     below, tokens (array), known_values (map), history (array of action, verified, note)."""
     e, s, i, k = fresh("e"), fresh("s"), fresh("i"), fresh("k")
@@ -106,7 +122,7 @@ def render_request(shortened: str = "false") -> str:
     return (
         f"concat('Goal: ', goal, '\\n\\nPage: ', {json_string('title')}, ' at ', origin, path_template, if(has_query, '?...', ''), "
         f"'\\nViewport: ', {_number('vw')}, 'x', {_number('vh')}, '\\nElements:\\n', {lines}, {_not_listed('above', 'below')}, "
-        f"if({shortened}, {lit(SHORTENED + chr(10))}, ''), "
+        f"if({shortened}, {lit(SHORTENED + chr(10))}, ''), {render_regions(regions) if regions else lit('')}, "
         f"if(size(tokens) > 0, concat('Tokens on this page: ', array_join(tokens, ' '), '\\n'), ''), {values}, "
         f"'\\nHistory, oldest first (element ids refer to the page as it was then):\\n', {steps}, "
         "'\\nReply with the next action as one JSON object.')"

@@ -214,7 +214,8 @@ def totals(items: DataFrame, texts: DataFrame, misses: DataFrame, pages: DataFra
 
     ``items``, ``texts`` and ``misses`` are the outputs of score_items,
     text_scores and near_misses; with ``by`` they carry those columns and one
-    row per group comes out, for comparing runs.
+    row per group comes out, for comparing runs. ``pages``: page, faces_expected,
+    faces_found of the pages that say so; gives the two sums.
     """
     keys = by or []
 
@@ -236,10 +237,15 @@ def totals(items: DataFrame, texts: DataFrame, misses: DataFrame, pages: DataFra
     )
     # One row each (or one per compared run).
     joined = i.join(t, keys).join(m, keys) if keys else i.join(F.broadcast(t), F.lit(True)).join(F.broadcast(m), F.lit(True))
+    faces = []
+    if pages is not None:
+        faces = [f"coalesce({c}, 0L) AS {c}" for c in ("faces_expected", "faces_found")]
+        seen = grouped(pages).agg(F.sum(F.expr("cast(faces_expected AS bigint)")).alias("faces_expected"), F.sum(F.expr("cast(faces_found AS bigint)")).alias("faces_found"))
+        joined = joined.join(seen, keys, "left") if keys else joined.join(F.broadcast(seen), F.lit(True))
     return joined.selectExpr(
         *keys, "pages", "pii", "seen", "caught", "partial", "category_right", f"{_ratio('caught', 'pii')} AS recall",
         f"{_ratio('caught', 'seen')} AS recall_in_text", f"{_ratio('(spans - false_positives)', 'spans')} AS precision", "iou",
-        "spans", "false_positives", "near_misses", "near_misses_hidden", "_over / greatest(1, _outside) AS over_redaction", "unaligned",
+        "spans", "false_positives", "near_misses", "near_misses_hidden", "_over / greatest(1, _outside) AS over_redaction", "unaligned", *faces,
     )
 
 

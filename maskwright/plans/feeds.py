@@ -135,14 +135,15 @@ def audit_rows(spark, folder):
 _TRUTH_JSON = (
     "'{\"page\":\"p' || cast(o_orderkey AS string) || CASE WHEN o_orderkey % 7 = 0 THEN '.htm' ELSE '.html' END || '\",\"about\":\"a\",\"pii\":[{\"category\":\"' || "
     "CASE WHEN o_orderkey % 5 = 0 THEN 'MAIL' ELSE 'EMAIL' END || '\",\"value\":\"v' || cast(o_custkey AS string) || '\",\"where\":\"text\"},"
-    "{\"category\":\"CARD\",\"value\":\"w\",\"where\":\"field\"}],\"notPii\":[\"n' || cast(o_custkey AS string) || '\"],\"faces\":1}'"
+    "{\"category\":\"CARD\",\"value\":\"w\",\"where\":\"field\"}],\"notPii\":[\"n' || cast(o_custkey AS string) || '\"],\"faces\":' || CASE WHEN o_orderkey % 11 = 0 THEN '\"1\"' ELSE '1' END || '}'"
 )
 
 
 @query(
     "truth_tables",
-    """SELECT 'item' AS kind, 'p' || o_orderkey || '.html' AS page, CASE i WHEN 0 THEN 'EMAIL v' || o_custkey ELSE 'CARD w' END AS detail FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0
-UNION ALL SELECT 'look-alike', 'p' || o_orderkey || '.html', 'n' || o_custkey FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0
+    """SELECT 'item' AS kind, 'p' || o_orderkey || '.html' AS page, CASE i WHEN 0 THEN 'EMAIL v' || o_custkey ELSE 'CARD w' END AS detail FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0
+UNION ALL SELECT 'look-alike', 'p' || o_orderkey || '.html', 'n' || o_custkey FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0
+UNION ALL SELECT 'reject', 'f' || o_orderkey, 'faces' FROM orders WHERE o_orderkey % 11 = 0
 UNION ALL SELECT 'reject', 'f' || o_orderkey, 'page' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'reject', 'f' || o_orderkey, 'category' FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def truth_tables(spark, folder):

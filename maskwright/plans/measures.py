@@ -339,6 +339,22 @@ def parsed_replies(spark, folder):
     )
 
 
+@query(
+    "rendered_steps",
+    """SELECT event_id, CAST(event_id % 20 + 1 AS VARCHAR) || '. ' || CASE event_type WHEN 'view' THEN '{"type":"wait"}' WHEN 'signup' THEN '{"type":"click","target":"e1"}' ELSE '{"note":"no \\"reason\\":\\"x\\"","type":"go"}' END
+ || ' -> ' || CASE WHEN user_id % 2 = 0 THEN 'verified' ELSE 'NOT verified: n' END AS step,
+ CASE WHEN user_id % 3 = 0 THEN '' ELSE 'Blacked-out image regions: ' || array_to_string(list_transform(range(user_id % 3), lambda i: CASE WHEN i = 0 THEN 'FACE' ELSE 'CARD' END || ' at [' || (user_id + i) || ',2,3.5,4]'), '; ') || chr(10) END AS regions FROM events""",
+)
+def rendered_steps(spark, folder):
+    """History lines without the reasons of their actions, and the line on hidden image regions."""
+    action = """CASE event_type WHEN 'view' THEN '{"reason":"why \\\\"so\\\\"","type":"wait"}' WHEN 'signup' THEN '{"type":"click","reason":"r","target":"e1"}' ELSE '{"note":"no \\\\"reason\\\\":\\\\"x\\\\"","type":"go","reason":"last"}' END"""
+    steps = table(spark, folder, "events").selectExpr(
+        "event_id", f"named_struct('action', {action}, 'verified', user_id % 2 = 0, 'note', if(user_id % 2 = 0, NULL, 'n')) AS s",
+        "transform(slice(array(0, 1), 1, cast(user_id % 3 AS int)), i -> named_struct('category', if(i = 0, 'FACE', 'CARD'), 'bbox', named_struct('x', cast(user_id + i AS double), 'y', 2D, 'w', 3.5D, 'h', 4D))) AS regions",
+    )
+    return steps.selectExpr("event_id", budget.render_step("s", "cast(event_id % 20 + 1 AS string)") + " AS step", budget.render_regions("regions") + " AS regions")
+
+
 @query(
     "usage_totals",
     "SELECT cast(floor(event_id / 3) AS BIGINT) AS step_id, CAST(sum(user_id) AS BIGINT) AS prompt_tokens, CAST(sum(user_id % 7) AS BIGINT) AS completion_tokens, CAST(count(*) - 1 AS BIGINT) AS repairs FROM events GROUP BY 1",

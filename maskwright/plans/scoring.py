@@ -139,12 +139,14 @@ def _frames(spark, folder):
     _SCORE + """SELECT CAST((SELECT count(*) FROM src) AS BIGINT) AS pages, CAST(i.pii AS BIGINT) AS pii, CAST(i.seen AS BIGINT) AS seen, CAST(i.caught AS BIGINT) AS caught,
  CAST(i.partial AS BIGINT) AS partial, CAST(i.cr AS BIGINT) AS category_right, round(i.caught / i.pii, 6) AS recall, round(i.caught / i.seen, 6) AS recall_in_text,
  round((h.n - f.n) / h.n, 6) AS precision, round(i.iou, 6) AS iou, CAST(h.n AS BIGINT) AS spans, CAST(f.n AS BIGINT) AS false_positives,
- CAST(m.n AS BIGINT) AS near_misses, CAST(m.h AS BIGINT) AS near_misses_hidden, round(o.o / o.c, 6) AS over_redaction, CAST(0 AS BIGINT) AS unaligned
+ CAST(m.n AS BIGINT) AS near_misses, CAST(m.h AS BIGINT) AS near_misses_hidden, round(o.o / o.c, 6) AS over_redaction, CAST(0 AS BIGINT) AS unaligned,
+ (SELECT CAST(sum(text_id % 3) AS BIGINT) FROM src WHERE text_id % 4 = 0) AS faces_expected, (SELECT CAST(sum(text_id % 2 + 1) AS BIGINT) FROM src WHERE text_id % 4 = 0) AS faces_found
 FROM (SELECT count(*) AS pii, count(*) FILTER (seen) AS seen, count(*) FILTER (caught) AS caught, count(*) FILTER (partial) AS partial, count(*) FILTER (category_right) AS cr, avg(iou) FILTER (seen) AS iou FROM scored) i,
  (SELECT count(*) AS n FROM hid) h, (SELECT count(*) AS n FROM fp) f, (SELECT count(*) AS n, count(*) FILTER (hidden) AS h FROM miss) m, (SELECT sum(over_redacted) AS o, sum(outside_chars) AS c FROM over_) o""",
 )
 def score_totals(spark, folder):
-    totals = score.totals(*_frames(spark, folder))
+    pages = documents(spark, folder).where("text_id % 4 = 0").selectExpr("text_id AS page", "text_id % 3 AS faces_expected", "text_id % 2 + 1 AS faces_found")
+    totals = score.totals(*_frames(spark, folder), pages)
     return totals.withColumns({c: F.round(c, 6) for c in ("recall", "recall_in_text", "precision", "iou", "over_redaction")})
 
 

@@ -9,7 +9,7 @@ from maskwright.functions import patterns as P
 from maskwright.functions.sql import lits
 from maskwright.operators import leaks
 
-TRUTH = "page STRING, about STRING, pii ARRAY<STRUCT<category: STRING, value: STRING, `where`: STRING>>, notPii ARRAY<STRING>, faces DOUBLE"
+TRUTH = "page STRING, about STRING, pii ARRAY<STRUCT<category: STRING, value: STRING, `where`: STRING>>, notPii ARRAY<STRING>, faces VARIANT"
 STUDY = (
     "provider STRING, model STRING, label STRING, repeats INT, date STRING, serverErrors MAP<STRING, BIGINT>, "
     "runs ARRAY<STRUCT<task: STRING, repeat: INT, passed: BOOLEAN, endedRight: BOOLEAN, overreach: BOOLEAN, refused: INT, leaked: INT, "
@@ -39,12 +39,13 @@ def truth_tables(raw: DataFrame) -> dict[str, DataFrame]:
         "value": "forall(pii, i -> coalesce(i.value, '') <> '')",
         "place": f"forall(pii, i -> coalesce(i.`where` IN ({lits(P.PLACES)}), false))",
         "look-alikes": "forall(notPii, v -> coalesce(v, '') <> '')",
+        "faces": "faces IS NULL OR schema_of_variant(faces) RLIKE '^(BIGINT|DOUBLE|DECIMAL)'",
     }
     checks = ", ".join(f"if(coalesce({rule}, false), NULL, '{name}')" for name, rule in rules.items())
     judged = raw.withColumn("issues", F.expr(f"array_compact(array({checks}))"))
     good = judged.where("size(issues) = 0")
     return {
-        "pages": good.selectExpr("page", "about", "faces"),
+        "pages": good.selectExpr("page", "about", "cast(faces AS double) AS faces"),
         "items": good.selectExpr("page", "posexplode(pii) AS (item_no, i)").selectExpr(
             "page", "item_no", "i.category AS category", "i.value AS value", "i.`where` AS place"
         ),
