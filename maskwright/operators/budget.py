@@ -14,9 +14,9 @@ from maskwright.functions.spans import find
 from maskwright.functions.sql import fresh, let, lit, lits
 from maskwright.operators.traces import json_string
 
-# The line that tells a page was cut, and the numbers of notes kept.
 # Fixed value: how a request names the hidden parts of images.
 REGIONS = "Blacked-out image regions: "
+# The line that tells a page was cut, and the numbers of notes kept.
 SHORTENED = (
     'This page was too long to send whole: text ending in "…" is cut short, and some elements far from the view are left '
     "out. Open or scroll to an item to read it in full."
@@ -107,7 +107,7 @@ def render_regions(regions: str) -> str:
 
 
 def render_request(shortened: str = "false", regions: str | None = None) -> str:
-    """The whole request as text, from a row of goal, title, origin, path_template, has_query, vw, vh, elements, above,
+    """The whole request as text (its fixed words are the format, and stand here in the order they come in), from a row of goal, title, origin, path_template, has_query, vw, vh, elements, above,
     below, tokens (array), known_values (map), history (array of action, verified, note)."""
     e, s, i, k = fresh("e"), fresh("s"), fresh("i"), fresh("k")
     lines = f"if(size(elements) = 0, '(none found)\\n', array_join(transform(elements, {e} -> concat({render_element(e)}, '\\n')), ''))"

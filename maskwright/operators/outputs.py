@@ -10,8 +10,9 @@ from maskwright.functions.sql import fresh, let, lit
 
 MAX_THEN = 6
 DEFAULT_REST_MS = 60000
-NOT_JSON = "That was not valid JSON. Reply with only the JSON object for one action."
-NOT_ACTION = "That JSON is not a valid action. Reply with only a corrected JSON object."
+# What the model is told about a reply that cannot be used.
+NOT_JSON = "No JSON could be read from this reply: send one action as a JSON object and nothing else."
+NOT_ACTION = "The JSON in this reply is no known action: send it again, corrected, and nothing else."
 
 
 def parse_output(raw: str) -> str:

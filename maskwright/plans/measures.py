@@ -328,14 +328,14 @@ _REPLY = (
     "parsed_replies",
     """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'click' WHEN 1 THEN 'click' WHEN 2 THEN 'click' WHEN 3 THEN 'wait' WHEN 4 THEN 'wait' WHEN 5 THEN 'done' END AS action_type,
  CASE WHEN event_id % 8 IN (0, 1, 2) THEN 'e' || user_id END AS target, CAST(CASE event_id % 8 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 6 ELSE 0 END AS BIGINT) AS followups,
- CASE event_id % 8 WHEN 6 THEN 'That was not valid JSON' WHEN 7 THEN 'That JSON is not a valid' END AS error FROM events""",
+ CASE event_id % 8 WHEN 6 THEN 'No JSON' WHEN 7 THEN 'The JSON' END AS error FROM events""",
 )
 def parsed_replies(spark, folder):
     """Replies as models write them: bare, wrapped in prose or thinking, as lists, with good and bad follow-ups."""
     replies = table(spark, folder, "events").selectExpr("event_id", f"{_REPLY} AS raw").selectExpr("event_id", f"{outputs.parse_output('raw')} AS p")
     return replies.selectExpr(
         "event_id", "get_json_object(p.action, '$.type') AS action_type", "get_json_object(p.action, '$.target') AS target",
-        "cast(size(p.then) AS bigint) AS followups", "if(startswith(p.error, 'That was'), left(p.error, 23), left(p.error, 24)) AS error",
+        "cast(size(p.then) AS bigint) AS followups", "regexp_extract(p.error, '^(No|The) JSON', 0) AS error",
     )
 
 
