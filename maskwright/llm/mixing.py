@@ -118,10 +118,11 @@ def _rate(multiplier: Column) -> Column:
 def multipliers(hist: DataFrame, sources: DataFrame) -> DataFrame:
     """The dual's solution: ``multiplier`` for each source."""
     ratio = F.col("target") / F.col("source_size")
+    full = F.lit(math.log(MAX_COPIES)) * F.col("scale") / F.col("least")  # here even the shortest document is at the cap
     tilts = sources.where("source_size > 0").select(
-        "key", "scale", "target", F.lit(0.0).alias("multiplier"),
+        "key", "scale", "target", F.when(ratio >= MAX_COPIES * (1 - 1e-12), full).otherwise(F.lit(0.0)).alias("multiplier"),
         F.when(ratio < 1, F.ln(ratio) * F.col("scale") / F.col("least")).otherwise(F.lit(0.0)).alias("low"),
-        F.when(ratio > 1, F.lit(math.log(MAX_COPIES)) * F.col("scale") / F.col("least")).otherwise(F.lit(0.0)).alias("high"),
+        F.when(ratio > 1, full).otherwise(F.lit(0.0)).alias("high"),
     )
     narrow = hist.where("size > 0").select("key", "size", "n")
     for _ in range(MAX_STEPS):
