@@ -242,7 +242,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
                 [batch.column("doc_id"), batch.column("same"), pa.array([f[0] for f in found], pa.float64()), pa.array(evidence, evidence_type)], ["doc_id", "same", "score", "evidence"]
             )
 
-    return counts.mapInArrow(run, f"doc_id {kind}, same bigint, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
+    # Rows are a few bytes now, so a file of them would be very many for one task to score: dealt out anew.
+    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "same")
+    return dealt.mapInArrow(run, f"doc_id {kind}, same bigint, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
 
 
 @query("op2_toxicity")
