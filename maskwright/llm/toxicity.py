@@ -243,7 +243,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
             )
 
     # Rows are a few bytes now, so a file of them would be very many for one task to score: dealt out anew.
-    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "same")
+    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "same")
     return dealt.mapInArrow(run, f"doc_id {kind}, same bigint, score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
 
 
