@@ -64,5 +64,49 @@ def test_crowded_entries_lose_no_link(spark):
         assert all(roots.get(i, i) == r for i, r in want.items())
 
 
+def plain_copies(texts, size=5):
+    """Roots (places) of the groups that Jaccard >= 0.8 over word shingles links."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset() for w in words]
+    above = list(range(len(sets)))
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for k, a in enumerate(sets):
+        for m in range(k):
+            if a == sets[m] or 5 * len(a & sets[m]) >= 4 * len(a | sets[m]) > 0:
+                x, y = root(k), root(m)
+                above[max(x, y)] = min(x, y)
+    return [root(k) for k in range(len(sets))]
+
+
+def edited(text, draw, n):
+    words = text.split()
+    for _ in range(n):
+        words[draw.randrange(len(words))] = f"new{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_stage_takes_five_word_shingles(spark):
+    draw = random.Random(5)
+    base = [" ".join(f"b{draw.randrange(3000)}" for _ in range(150)) for _ in range(12)]
+    texts = base + [edited(draw.choice(base), draw, draw.randint(1, 8)) for _ in range(150)] + ["one two three", "One  two three", None, "", " "]
+    roots = plain_copies(texts)
+    prints = [plain_fingerprint(t) for t in texts]
+    near = plain_roots(list(range(len(texts))), prints)
+    assert sum(near[k] != near[roots[k]] for k in range(len(texts))) > 20  # 3 bits of 64 leave these
+    docs = frames.documents(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])
+    for hot in (op.HOT, 3):
+        groups = {}
+        for r in op.near_copies(docs, hot=hot).collect():
+            groups.setdefault(r.root, []).append(r.doc_id)
+        assert sorted(sorted(g) for g in groups.values()) == sorted([k for k in range(len(texts)) if roots[k] == p] for p in set(roots))
+    assert sorted(r.doc_id for r in op.stage(spark, docs, "").collect()) == sorted(set(roots))
+    assert op.stage(spark, frames.empty(spark), "").count() == 0
+
+
 def test_empty_table(spark):
     assert op.near_duplicates(frames.empty(spark)).count() == 0
