@@ -326,9 +326,9 @@ def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, hot: int = HOT) -> Da
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id (of rows with that id, one text)."""
+    """Of each group of near copies one row: that of the smallest id, null only where there is no other (of rows with that id, one text; of repeated rows, one)."""
     found = near_copies(docs)
-    gone = found.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("kept"))
+    gone = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("kept"))
     kept = gone.select(F.col("kept.doc_id").alias("_doc"), F.col("kept.same").alias("_same"))
     met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_same"]), "left_semi")
-    return met
+    return met.withColumn("__same", F.xxhash64("text")).dropDuplicates(["doc_id", "__same"]).drop("__same")

@@ -108,5 +108,13 @@ def test_stage_takes_five_word_shingles(spark):
     assert op.stage(spark, frames.empty(spark), "").count() == 0
 
 
+def test_stage_keeps_one_row_of_a_group(spark):
+    rows = [(3, frames.SHARED, "en", "a", 1)] * 4 + [(None, frames.SHARED, "en", "a", 1)] * 5 + [(7, frames.SHARED, "en", "a", 1)] + [(None, "text without any id", "en", "a", 1)] * 3 + [(8, "another", "en", "a", 1)] * 2
+    docs = frames.documents(spark, rows)
+    kept = op.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 3, frames.SHARED), (False, 8, "another"), (True, 0, "text without any id")]
+
+
 def test_empty_table(spark):
     assert op.near_duplicates(frames.empty(spark)).count() == 0
