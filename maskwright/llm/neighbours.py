@@ -19,8 +19,8 @@ asked again without one, which is exact.
 Defined results: vectors that are null, zero, hold null or non-finite parts, or
 are not of the table's usual length (the commonest; of equals the longest) take
 no part, nor do rows without an id; rows with a query's id are its own and not
-its neighbours; equal vectors tie and come by id; an empty table gives none;
-other columns are not read.
+its neighbours; equal vectors tie and come by id; an id that stands in several
+rows takes one rank, with its nearest vector; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -130,11 +130,18 @@ def cosines(vectors: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids, each once with its best score: repeated rows take one place."""
+
+    def first(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores))
+        once = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+        return ids[once], scores[once]
+
     if len(ids) > k:
         stay = scores >= np.partition(scores, -k)[-k]
-        ids, scores = ids[stay], scores[stay]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+        if len((found := first(ids[stay], scores[stay]))[0]) == k:
+            return found
+    return first(ids, scores)
 
 
 def _pass(segments: DataFrame, index: Index, asked: list, k: int, exact: bool) -> DataFrame:
@@ -176,13 +183,13 @@ def search(segments: DataFrame, index: Index, queries: DataFrame, k: int = K, ex
     for number in range(blocks):
         asked = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).collect()
         if asked:
-            found = cut_lineage(_pass(segments, index, asked, k, exact).distinct().withColumn("rank", rank).where(F.col("rank") <= k))
+            found = cut_lineage(_pass(segments, index, asked, k, exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k))
             passes.append(found)
             if not exact:
                 full = {r.query_id for r in found.groupBy("query_id").count().where(F.col("count") >= k).collect()}
                 if short := [r for r in asked if r.id not in full]:
                     passes[-1] = found.join(F.broadcast(segments.sparkSession.createDataFrame([(r.id,) for r in short], "query_id bigint")), "query_id", "left_anti")
-                    passes.append(_pass(segments, index, short, k, True).distinct().withColumn("rank", rank).where(F.col("rank") <= k))
+                    passes.append(_pass(segments, index, short, k, True).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k))
     if not passes:
         return segments.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     out = passes[0]

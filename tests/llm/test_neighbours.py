@@ -38,6 +38,16 @@ def test_ties_go_to_smaller_ids(spark):
     assert [r for r in run(spark, rows) if r[0] < 40] == [r for r in plain(rows) if r[0] < 40]
 
 
+def test_repeated_rows_take_one_place(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(8)]
+    near = (100, rows[0][1])
+    assert run(spark, [*rows, *[near] * 6], every=100) == plain([*rows, near], 100)
+    assert run(spark, [*rows, *[rows[1]] * 6]) == plain(rows)
+    ids, scores = op._best(np.array([1] * 6 + [2, 3]), np.array([0.9] * 3 + [0.5] * 3 + [0.4, 0.3]), 3)
+    assert (ids.tolist(), scores.tolist()) == ([1, 2, 3], [0.9, 0.4, 0.3])
+
+
 def test_recall(spark):
     folder = "/root/testdata/sf0.01"
     table = pd.read_parquet(f"{folder}/embeddings.parquet")
