@@ -5,7 +5,7 @@ have it. Documents with one fingerprint are one class from the start, so copies
 never meet in pairs. Fingerprints within ``DISTANCE`` bits are found as follows:
 of ``SEGMENTS`` segments, one differs in at most DISTANCE // SEGMENTS bits; each
 fingerprint stands in a table under each of its segments, looks up the small
-Hamming ball around each segment (of two neighbours, the one with the 0 bit
+Hamming ball around each segment (at radius 1, of two neighbours the one with the 0 bit
 asks, so no link is found twice by a flip), and every fetched pair is verified
 on all 64 bits.
 
@@ -118,6 +118,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, ho
     cuts = [64 * s // segments for s in range(segments + 1)]
     ranges = [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     radius = distance // segments
+    up = radius < 2  # two bits may differ one up and one down, which only the full ball meets
     own = F.array(*[F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(F.lit(_mask(r))).alias("value")) for s, r in enumerate(ranges)])
     entries = cut_lineage(fps.select("fp", F.explode(own).alias("e")).select("fp", "e.segment", "e.value"))
     crowded = cut_lineage(entries.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"))
@@ -132,8 +133,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, ho
     calm = entries.join(crowded, ["segment", "value"], "left_anti")
     for s, r in enumerate(ranges):
         table_of = calm.where(F.col("segment") == s).select("value", F.col("fp").alias("b"))
-        asks = entries.where(F.col("segment") == s).select(F.explode(_ball(F.col("value"), r, radius, up=True)).alias("value"), F.col("fp").alias("a"), F.col("value").alias("self"))
-        met = asks.join(table_of, "value").where((F.col("self") != F.col("value")) | (F.col("a") < F.col("b")))
+        asks = entries.where(F.col("segment") == s).select(F.explode(_ball(F.col("value"), r, radius, up=up)).alias("value"), F.col("fp").alias("a"), F.col("value").alias("self"))
+        once = (F.col("self") != F.col("value")) | (F.col("a") < F.col("b")) if up else F.col("a") < F.col("b")
+        met = asks.join(table_of, "value").where(once)
         fetched.append(met.select("a", "b"))
     every = reduce(DataFrame.unionAll, fetched)
     return every.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))

@@ -108,6 +108,11 @@ def test_stage_takes_five_word_shingles(spark):
     assert op.stage(spark, frames.empty(spark), "").count() == 0
 
 
+def test_wider_distances_lose_no_link(spark):
+    fps = spark.createDataFrame([(0b01 | 0b01 << 32,), (0b10 | 0b10 << 32,)], "fp bigint")  # each half: one bit up, one down
+    assert op.links(fps, distance=4).distinct().count() == 1 and op.links(fps, distance=3).count() == 0
+
+
 def test_stage_keeps_one_row_of_a_group(spark):
     rows = [(3, frames.SHARED, "en", "a", 1)] * 4 + [(None, frames.SHARED, "en", "a", 1)] * 5 + [(7, frames.SHARED, "en", "a", 1)] + [(None, "text without any id", "en", "a", 1)] * 3 + [(8, "another", "en", "a", 1)] * 2
     docs = frames.documents(spark, rows)
