@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import cut_lineage, fair_batches, slim, table
+from maskwright.llm.components import components
+from maskwright.llm.jaccard import near_copies
 from maskwright.llm.registry import query
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
@@ -43,10 +45,6 @@ SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 HOT = 256
 #: Shingle hashes counted at a time: bounds memory for texts of any length.
 CHUNK = 1 << 16
-#: The pipeline's rule: near copies share four fifths of their five-word shingles (Jaccard).
-COPY_SHINGLE, COPY_PART = 5, (4, 5)
-#: Documents whose shingles are counted to put rare ones first, and how many counts are kept.
-ORDER_DOCS, ORDER_TOKENS = 20_000, 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -141,23 +139,6 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, ho
     return every.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches. Large-star and small-star steps in turn until nothing changes."""
-    both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        around = both(edges)
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut_lineage(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(down.select("a", F.col("m").alias("b"))).distinct()
-        small = cut_lineage(small)
-        if small.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
-            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = small
-
-
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, same, fp, component_id (the smallest doc_id that links lead to, its own included)."""
     prints = cut_lineage(fingerprints(docs, shingle))
@@ -175,162 +156,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sets(size: int):
-    """Text to its set of shingles: sorted 64-bit hashes. Word hashes are kept, so a shingle costs a few numpy steps."""
-    kept: dict[bytes, int] = {}
-
-    def found(text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []  # both know ASCII only
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(kept) > 1 << 19:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = xxhash.xxh64_intdigest(w, SEED)
-        hashes = np.array([kept[w] for w in words], np.uint64)
-        n = max(1, len(words) - size + 1)
-        mixed = np.zeros(n, np.uint64)
-        for k in range(min(size, len(words))):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return np.unique(mixed ^ (mixed >> np.uint64(29)))
-
-    return found
-
-
-def _tokens(shingles: np.ndarray) -> np.ndarray:
-    return shingles.astype(np.uint32).view(np.int32)
-
-
-def _class(shingles: np.ndarray) -> int:
-    digest = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
-    return digest - (1 << 64) if digest >> 63 else digest
-
-
-def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that are common in a sample, sorted, and their counts. Only the order of prefixes hangs on it: any order gives the same pairs."""
-    n = docs.count()
-    some = docs.sample(min(1.0, ORDER_DOCS / max(n, 1)), SEED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _sets(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                tokens = [_tokens(sets(t)) for t in batch.column("text").slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int32())], ["token"])
-
-    counted = some.mapInArrow(run, "token int").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counted.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).toArrow()
-    token, times = (found.column(c).to_numpy() for c in ("token", "n"))
-    by = np.argsort(token, kind="stable")
-    return token[by].astype(np.int32), times[by].astype(np.int64)
-
-
-def shingled(docs: DataFrame, size: int = COPY_SHINGLE) -> DataFrame:
-    """(doc_id, same, class, n, prefix, b0 to b3) per document: its set of shingles is named by ``class`` and has ``n`` members.
-
-    Two sets at ``COPY_PART`` or more of Jaccard share a token of their prefixes: the n - ceil(0.8 n) + 1 rarest.
-    b0 to b3: 256 parity bits; where two sets' bits differ in d places, the sets differ in d members at least.
-    """
-    fair_batches(docs.sparkSession)
-    rows = slim(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("same"), F.col("text").cast("binary").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(_common(rows, size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, times = sent.value
-        sets = _sets(size)
-        for batch in batches:
-            names, sizes, prefixes, bits = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                shingles = sets(text)
-                tokens, n = _tokens(shingles), len(shingles)
-                rate = np.zeros(n, np.int64)
-                if len(common) and n:
-                    place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    rate = np.where(common[place] == tokens, times[place], 0)
-                prefixes.append(np.unique(tokens[np.lexsort((shingles, rate))[: n - -(-n * COPY_PART[0] // COPY_PART[1]) + 1]]))
-                parity = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                names.append(_class(shingles))
-                sizes.append(n)
-            wide = np.array(bits, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("same"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int32())), *[pa.array(wide[:, k]) for k in range(4)]],
-                ["doc_id", "same", "class", "n", "prefix", "b0", "b1", "b2", "b3"],
-            )
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, class bigint, n bigint, prefix array<int>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
-
-
-def _may(a: str, b: str) -> Column:
-    """Whether two sets can be at ``COPY_PART``, by their sizes and parity bits; never false where they are."""
-    part, whole = COPY_PART
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(4)])
-    return (F.least(n, m) * whole >= F.greatest(n, m) * part) & (apart * (whole + part) <= (n + m) * (whole - part))
-
-
-def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are at ``COPY_PART`` or more."""
-    pairs = cut_lineage(pairs.distinct())
-    asked = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = cut_lineage(classes.join(asked, "class", "left_semi").select("same"))
-    rows = slim(docs, text="text").select(F.xxhash64("text").alias("same"), F.col("text").cast("binary").alias("text")).join(texts, "same", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, done = _sets(size), set()
-        for batch in batches:
-            fresh = {}
-            for same, text in zip(batch.column("same").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if same not in done:  # copies in one task
-                    done.add(same)
-                    found = sets(text)
-                    fresh[_class(found)] = found
-            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([s.view(np.int64) for s in fresh.values()], pa.list_(pa.int64()))], ["class", "set"])
-
-    held = cut_lineage(rows.mapInArrow(run, "class bigint, set array<bigint>").dropDuplicates(["class"]))
-    left, right = held.select(F.col("class").alias("a"), F.col("set").alias("left")), held.select(F.col("class").alias("b"), F.col("set").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    part, whole = COPY_PART
-    return cut_lineage(pairs.join(left, "a").join(right, "b").where(both * whole >= (F.size("left") + F.size("right") - both) * part).select("a", "b"))
-
-
-def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, same, root (the component of its set of shingles; links are pairs at ``COPY_PART`` or more of Jaccard, all of them).
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one row: that of the smallest id, null only where there is no other (of rows with that id, one text; of repeated rows, one).
 
-    Sets that share a token of their prefixes are compared. Where over ``hot`` sets share one, each is compared with one
-    of them first (another for each token), and then every pair that the links so far leave apart.
+    Groups are those of the Jaccard join (fingerprints within 3 bits miss most copies at four fifths of Jaccard, see
+    README); texts without words are one group. Whole rows are shuffled once, by the hash of their text and their id.
     """
-    ready = cut_lineage(shingled(docs, size))
-    numbers = ("n", "b0", "b1", "b2", "b3")
-    classes = cut_lineage(ready.groupBy("class").agg(F.min("same").alias("same"), *[F.first(c).alias(c) for c in ("prefix", *numbers)]))
-    posted = classes.select(F.explode("prefix").alias("token"), "class", *numbers)
-    shared = cut_lineage(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    met = cut_lineage(posted.join(shared, "token"))
-    calm, crowded = met.where(F.col("members") <= hot), met.where(F.col("members") > hot)
-    a, b = F.col("x.class").alias("a"), F.col("y.class").alias("b")
-    pairs = calm.alias("x").join(calm.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & _may("x", "y")).select(a, b)
-    any_crowded = not crowded.isEmpty()
-    if any_crowded:
-        one = crowded.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "class").alias("_order"), "class", *numbers)).alias("one")).select("token", "one.*")
-        pairs = pairs.unionAll(crowded.alias("x").join(one.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & _may("x", "y")).select(a, b))
-    edges = _alike(docs, classes, pairs, size)
-    roots = components(edges)
-    if any_crowded:
-        placed = cut_lineage(crowded.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")))
-        most = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("m")).select("token", F.col("m.root").alias("usual"))
-        rest = placed.join(most, "token").where("root <> usual")
-        apart = rest.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
-        more = _alike(docs, classes, apart.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")), size)
-        roots = components(edges.unionAll(more))
-    return ready.join(roots, ready["class"] == roots["node"], "left").select("doc_id", "same", F.coalesce("root", "class").alias("root"))
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row: that of the smallest id, null only where there is no other (of rows with that id, one text; of repeated rows, one)."""
     found = near_copies(docs)
-    gone = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("kept"))
-    kept = gone.select(F.col("kept.doc_id").alias("_doc"), F.col("kept.same").alias("_same"))
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_same"]), "left_semi")
-    return met.withColumn("__same", F.xxhash64("text")).dropDuplicates(["doc_id", "__same"]).drop("__same")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("kept"))
+    named = lambda doc_id: F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).alias("name")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["text"]).alias("same"), named(docs["doc_id"]))
+    met = rows.join(kept.select(F.col("kept.same").alias("same"), named(F.col("kept.doc_id"))), ["same", "name"], "left_semi")
+    return met.dropDuplicates(["same", "name"]).select("row.*")

@@ -5,7 +5,7 @@ from collections import Counter
 import pandas as pd
 
 import corpus_pipeline
-from maskwright.llm import mixing, sharding, toxicity
+from maskwright.llm import decontaminate, mixing, sharding, simhash, toxicity
 from tests.llm import frames, test_decontaminate, test_mixing, test_sharding, test_simhash
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,11 +17,16 @@ def test_run_is_the_plain_pipeline(spark):
     rows = [tuple(r) for r in docs.collect()]
     toxic = {r.doc_id for r in toxicity.scored(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).collect() if r.score >= toxicity.THRESHOLD}
     rows = [r for r in rows if r[0] not in toxic]
-    roots = test_simhash.plain_roots(sorted(r[0] for r in rows), [test_simhash.plain_fingerprint(r[1]) for r in sorted(rows)])
-    rows = [r for r in rows if roots[r[0]] == r[0]]
+    rows.sort()
+    roots = test_simhash.plain_copies([r[1] for r in rows])
+    rows = [r for k, r in enumerate(rows) if roots[k] == k]
+    deduped = simhash.stage(spark, docs.where(~docs["doc_id"].isin(list(toxic))), FOLDER)
+    assert sorted(r.doc_id for r in deduped.collect()) == [r[0] for r in rows]
     tests = pd.read_parquet(f"{FOLDER}/benchmark.parquet")
     bad = {r[0] for r in test_decontaminate.plain(rows, list(zip(tests.item_id, tests.text)), 13) if r[4]}
     rows = {r[0]: r for r in rows if r[0] not in bad}
+    clean = decontaminate.stage(spark, deduped, FOLDER)
+    assert {r.doc_id for r in clean.collect()} == set(rows)
     copies = Counter(got.doc_id)
     assert set(copies) <= set(rows) and max(copies.values()) <= mixing.MAX_COPIES
     size = {i: len(frames.words(r[1])) for i, r in rows.items()}
