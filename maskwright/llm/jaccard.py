@@ -3,14 +3,15 @@
 A document is the set of its five-word shingles; two sets link when they are at four fifths of Jaccard or more. Equal
 sets are one class from the start, so copies never meet in pairs. All sets are put in one order, rare shingles first.
 A set of n members shares at least t = ceil(0.8 n) of them with any partner, so two partners share at least l members
-among the first n - t + l of each. Every set chooses its own l (``need``): each step makes its prefix one member
-longer, which costs more matches, and lets it ask for one more shared member, which leaves fewer pairs to verify; the
-counts of common shingles over all documents tell which l is cheapest. A pair is verified when it shares as many
-prefix members as the smaller of the two l.
-
-Large groups of near copies are not compared all with all. In a few rounds (``ROUNDS``) each set is tried against one
-member of the lists it stands in (the one it shares most with); links found so join their sets into components. Only
-pairs that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
+among the first n - t + l of each. Every set chooses its own l: each step makes its prefix one member longer, which
+costs more matches, and lets it ask for one more shared member, which leaves fewer pairs to verify; the counts of
+common shingles over all documents tell which l is cheapest. How many shared prefix members a pair of sizes n and m
+needs before it is verified follows from both (:func:`needed`): never fewer than the smaller l, and more where the
+sizes are near each other.
+
+Large groups of near copies are not compared all with all. In rounds, each set in lists of over ``TRY`` sets is tried
+against one member of these lists (the one it shares most with); links found so join sets into components. Only pairs
+that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
 different components is opened by a second shared member, out of prefixes one longer: that is exact too.
 
 Verification reads the documents again, makes the sets of those in some pair, and compares whole sets (48-bit hashes
@@ -37,17 +38,16 @@ from maskwright.llm.components import components
 from maskwright.llm.registry import query
 
 SHINGLE, PART = 5, (4, 5)
-#: Lists of more open sets than this are opened by a second member.
-HOT = 256
-#: Rounds of single tries before the multi-match join.
-ROUNDS = 3
-#: The longest multi-match, and what verifying a pair costs next to one match of a prefix member and to posting it.
-MOST_NEED, VERIFY, MATCH, POST = 5, 40.0, 1.0, 4.0
+#: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first, in so many rounds.
+HOT, TRY, ROUNDS = 256, 8, 2
+#: The longest multi-match; what posting a member costs next to one match of it, and verifying a pair, for each member;
+#: and how often a member is shared that is not known to be common.
+MOST_NEED, POST, VERIFY, SHARED = 8, 4.0, 0.5, 0.05
 #: Shingles are counted in so many buckets over all documents; so many of the fullest ones are known to every task.
 BUCKETS, KNOWN = 1 << 22, 1 << 18
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
-NUMBERS = ("n", "need", "b0", "b1", "b2", "b3")
+NUMBERS = ("n", "rest")
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -184,15 +184,25 @@ def least_shared(n: int) -> int:
 def choose_need(rates: np.ndarray, base: int, most: int) -> int:
     """The cheapest l for a set whose members, in order, stand in about ``rates`` sets; ``base``: the length of the prefix at l = 1."""
     length = np.arange(base, base + most)
-    matches = np.cumsum(rates[: base + most - 1] - 1)[length - 1]
-    return int(np.argmin(POST * length + MATCH * matches + VERIFY * matches / np.arange(1, most + 1))) + 1
+    matches = np.cumsum(np.maximum(rates[: base + most - 1] - 1, SHARED))[length - 1]
+    return int(np.argmin(POST * length + matches + VERIFY * len(rates) * matches / np.arange(1, most + 1))) + 1
+
+
+def needed(n: Column, rest: Column, m: Column, more: Column) -> Column:
+    """Shared prefix members without which sets of sizes n and m, with ``rest`` and ``more`` members behind their prefixes, cannot be at ``PART``.
+
+    They must share 4/9 of n + m. Of the two prefixes, one ends first in the common order; what its set shares, it
+    shares within both prefixes or behind its own.
+    """
+    part, whole = PART
+    return F.ceil((n + m) * part / F.lit(part + whole)) - F.greatest(rest, more)
 
 
 def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, same, place, class, n, need, base, prefix, b0 to b3) per document. No shuffle.
+    """(doc_id, same, place, class, n, rest, base, prefix) per document. No shuffle.
 
-    ``class`` names the set, ``n`` is its size, ``prefix`` holds the first base + need members in order (one more than
-    ``need`` asks for), b0 to b3 are 256 parity bits: sets whose bits differ in d places differ in d members at least.
+    ``class`` names the set, ``n`` is its size, ``prefix`` holds its first n - rest members in order and the one after
+    them, ``base`` is the length of the prefix at l = 1.
     """
     fair_batches(docs.sparkSession)
     rows = _rows(docs)
@@ -202,39 +212,25 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         shingler, rate = Shingler(size), np.zeros(BUCKETS, np.int64)
         rate[sent.value[0]] = sent.value[1]
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("class", "n", "need", "base", "prefix")}
-            bits = np.zeros((batch.num_rows, 256), np.uint8)
-            for k, shingles in enumerate(shingler.sets(batch.column("text"))):
-                n = len(shingles)
-                tokens = _tokens(shingles)
+            names, sizes, rests, bases, prefixes = [], [], [], [], []
+            for shingles in shingler.sets(batch.column("text")):
+                n, tokens = len(shingles), _tokens(shingles)
                 rates = rate[tokens % BUCKETS]
                 order = np.lexsort((shingles, rates))
                 shared = least_shared(n)
                 base = n - shared + 1 if n else 0
-                need = choose_need(np.maximum(rates[order], 1), base, min(MOST_NEED, shared)) if n else 1
-                out["class"].append(_class(shingles) if n else None)
-                out["n"].append(n)
-                out["need"].append(need)
-                out["base"].append(base)
-                out["prefix"].append(tokens[order[: base + need]].view(np.int32))
-                bits[k] = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
-            wide = np.packbits(bits, axis=1).view(np.int64)
+                length = base + choose_need(rates[order], base, min(MOST_NEED, shared)) - 1 if n else 0
+                names.append(_class(shingles) if n else None)
+                sizes.append(n)
+                rests.append(n - length)
+                bases.append(base)
+                prefixes.append(tokens[order[: length + 1]].view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["need"], pa.int32()),
-                 pa.array(out["base"], pa.int32()), pa.array(out["prefix"], pa.list_(pa.int32())), *[pa.array(np.ascontiguousarray(wide[:, k])) for k in range(4)]],
-                ["doc_id", "same", "place", "class", "n", "need", "base", "prefix", "b0", "b1", "b2", "b3"],
+                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(bases, pa.int32()), pa.array(prefixes, pa.list_(pa.int32()))],
+                ["doc_id", "same", "place", "class", "n", "rest", "base", "prefix"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, same bigint, place bigint, class bigint, n bigint, need int, base int, prefix array<int>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
-
-
-def _may(a: str, b: str) -> Column:
-    """Whether two sets can be at ``PART``, by their sizes and parity bits; never false where they are."""
-    part, whole = PART
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(4)])
-    return (F.least(n, m) * whole >= F.greatest(n, m) * part) & (apart * (whole + part) <= (n + m) * (whole - part))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, place bigint, class bigint, n bigint, rest bigint, base int, prefix array<int>")
 
 
 def _packed(shingles: np.ndarray) -> bytes:
@@ -299,86 +295,104 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int =
     return cut_lineage(met.select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
+_POSTED = "slice(prefix, 1, CAST(n - rest AS INT))"
+
+
+def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that share enough prefix members to be verified."""
+    sides = [classes.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in NUMBERS], F.expr(_POSTED).alias(f"{s}_prefix")) for s in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix")) + 1  # one to spare: two members may have one 32-bit token
+    return met.where(shared >= needed(*[F.col(f"{s}_{c}") for s in "ab" for c in NUMBERS])).select("a", "b")
+
+
 def _opened(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     """(first, second, class, root, numbers): the lists of crowded members, parted by each second member after the first in a prefix one longer."""
     prefixed = crowded.join(classes.select("class", "base", F.expr("slice(prefix, 1, base + 1)").alias("prefix")), "class")
     after = F.expr("slice(prefix, array_position(prefix, token) + 1, size(prefix))")
-    first = prefixed.where(F.expr("array_position(prefix, token) <= base"))
+    first = prefixed.where(F.expr("array_position(prefix, token) BETWEEN 1 AND base"))
     return first.select(F.col("token").alias("first"), F.explode(after).alias("second"), "class", "root", *NUMBERS)
 
 
 def _apart(lists: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """(a, b, ...) of the rows with equal keys that are in different components and can be near; one row per key they share."""
+    """(a, b, ...) of the rows with equal keys that are in different components and near in size; one row per key they share."""
+    part, whole = PART
     x, y = lists.alias("x"), lists.alias("y")
     same = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
-    met = x.join(y, same & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
+    near = F.least("x.n", "y.n") * whole >= F.greatest("x.n", "y.n") * part
+    met = x.join(y, same & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & near)
     return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), *more)
 
 
-def _mixed_lists(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose sets are in more than one component, with their number of sets."""
-    return lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").drop("lo", "hi")
+def _open(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of those lists whose sets are in more than one component."""
+    mixed = lists.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*keys)
+    return lists.join(mixed, keys, "left_semi")
 
 
-def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame | None:
+def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``classes`` with their root: themselves where nothing links them."""
+    if roots is None:
+        return classes.withColumn("root", F.col("class"))
+    named = roots.select(F.col("node").alias("class"), F.col("root"))
+    return classes.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame | None:
     """(node, root): the component of every class that has a link; None without any."""
-    one = F.min(F.struct("same", "place")).alias("one")
-    classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(one, *[F.first(c).alias(c) for c in ("base", "prefix", *NUMBERS)]).select("*", "one.place").drop("one"))
-    posted = classes.select("class", F.explode(F.expr("slice(prefix, 1, base + need - 1)")).alias("token"))
-    twice = posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", *NUMBERS)]
+    classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(*firsts))
+    posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
+    twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
     met = cut_lineage(posted.join(twice, "token"))
-    numbers = classes.join(met.select("class").distinct(), "class", "left_semi").select("class", *NUMBERS)
-    edges, roots = None, None
-    for turn in range(rounds + 1):
-        rooted = numbers.withColumn("root", F.col("class")) if roots is None else numbers.join(roots, numbers["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-        placed = met.join(rooted, "class")
-        if roots is not None:
-            placed = placed.join(_mixed_lists(placed, ["token"]).select("token"), "token", "left_semi")
-        placed = cut_lineage(placed)
-        if turn == rounds:
-            break
+    edges, roots, tried = None, None, None
+    for turn in range(rounds):
+        large = met.where(F.col("members") > most).select("token", "class")
+        large = _rooted(large, roots) if roots is None else cut_lineage(_open(_rooted(large, roots), ["token"]))
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
         order = F.xxhash64("class", F.pmod("token", F.lit(4)), F.lit(turn))
-        hub = placed.groupBy("token").agg(F.min(F.struct(order.alias("order"), "class", "root", *NUMBERS)).alias("hub")).select("token", "hub.*")
-        tries = placed.alias("x").join(hub.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
-        shared = tries.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        hub = large.groupBy("token").agg(F.min(F.struct(order.alias("order"), F.col("class").alias("b"), F.col("root").alias("other"))).alias("hub")).select("token", "hub.b", "hub.other")
+        shared = large.join(hub, "token").where("root <> other").groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
         best = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        found = verified(docs, classes, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), size)
+        pairs = _promising(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes)
+        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verified(docs, classes, pairs, size)
         if found is None:
             break
+        tried = pairs if tried is None else tried.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges)
-    lists = _mixed_lists(placed, ["token"])
-    sized = placed.join(lists, "token")
-    crowds = sized.where(F.col("members") > hot).groupBy("class").agg(F.count(F.lit(1)).alias("crowds"))
-    calm = sized.where(F.col("members") <= hot).join(crowds, "class", "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
-    need = F.least(F.col("x.need") - F.least("x.crowds", "y.crowds"), F.col("y.need") - F.least("x.crowds", "y.crowds")).alias("need")
-    shared = _apart(calm, ["token"], need).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = shared.where("shared >= need").select("a", "b")  # members of crowded lists may be shared too: they count as if they were
-    crowded = cut_lineage(sized.where(F.col("members") > hot).drop("members"))
-    if not crowded.isEmpty():
-        opened = _opened(crowded, classes)
-        opened = opened.join(_mixed_lists(opened, ["first", "second"]).drop("members"), ["first", "second"], "left_semi")
-        pairs = pairs.unionAll(_apart(opened, ["first", "second"]))
-    found = verified(docs, classes, pairs, size)
+    placed = met.join(_rooted(classes.select("class", *NUMBERS), roots), "class")
+    placed = cut_lineage(placed if roots is None else _open(placed, ["token"]))
+    large, calm = placed.where(F.col("members") > hot), placed.where(F.col("members") <= hot)
+    # Members of crowded lists may be shared too: they count as if they were.
+    crowds = large.groupBy("class").agg(F.count(F.lit(1)).alias("crowds"))
+    calm = calm.join(crowds, "class", "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
+    need = needed(*[F.col(f"{s}.{c}") for s in "xy" for c in NUMBERS]) - F.least("x.crowds", "y.crowds")
+    shared = _apart(calm, ["token"], need.alias("need")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    pairs = shared.where("shared >= need").select("a", "b")
+    if not large.isEmpty():
+        opened = _open(_opened(large.drop("members"), classes), ["first", "second"])
+        pairs = pairs.unionAll(_promising(_apart(opened, ["first", "second"]).distinct(), classes))
+    found = verified(docs, classes, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), size)
     if found is None:
         return roots
     return components(found if edges is None else edges.unionAll(found))
 
 
-def near_copies(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame:
     """Per document: doc_id, same (hash of the text), n (members of its set), root (equal for linked sets; null for empty ones)."""
     ready = cut_lineage(prints(docs, size))
-    roots = class_roots(docs, ready, size, hot, rounds)
+    roots = class_roots(docs, ready, size, hot, rounds, most)
     narrow = ready.select("doc_id", "same", "n", "class")
     if roots is None:
         return narrow.withColumnRenamed("class", "root")
     return narrow.join(roots, narrow["class"] == roots["node"], "left").select("doc_id", "same", "n", F.coalesce("root", "class").alias("root"))
 
 
-def linked(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+def linked(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included)."""
-    found = cut_lineage(near_copies(docs, size, hot, rounds))
+    found = cut_lineage(near_copies(docs, size, hot, rounds, most))
     named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return found.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
