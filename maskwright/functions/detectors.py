@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from maskwright.functions import patterns as P
-from maskwright.functions.spans import NO_SPANS, SPAN_TYPE, find, in_blocks, resolve_overlaps, span, without_marks
+from maskwright.functions.spans import NO_SPANS, SPAN_TYPE, apart, find, in_blocks, resolve_overlaps, span, without_marks
 from maskwright.functions.sql import fresh, let, lit, lookup
 
 
@@ -158,26 +158,38 @@ def detect_in_context(text: str, context: str, detectors: Sequence[Detector] = A
 def first_wins(spans: str) -> str:
     """Single-kind merge: a span is dropped when one kept from an earlier place in the list touches it.
 
-    Only spans that touch through each other can decide on each other, so the list is first cut, in order of
-    position, into runs that touch; each run is then merged by place in the list.
+    Disjoint spans are only sorted. Else, as only spans that touch through each other can decide on each other, the list
+    is cut, in order of position, into runs that touch; each run is then merged by place in the list.
     """
-    a, s, k, i, c = fresh("a"), fresh("s"), fresh("k"), fresh("i"), fresh("c")
-    placed = f"array_sort(transform({spans}, ({s}, {i}) -> named_struct('start', {s}.start, 'i', {i}, 's', {s})))"
     entry = f"struct<start:int,i:int,s:{SPAN_TYPE[6:-1]}>"
-    runs = in_blocks(
-        placed, f"named_struct('reach', -1, 'open', cast(array() AS array<{entry}>))", f"array<array<{entry}>>",
-        lambda f, x: (
-            f"if({x}.start < {f}.state.reach, named_struct('state', named_struct('reach', greatest({f}.state.reach, {x}.s.end), "
-            f"'open', concat({f}.state.open, array({x}))), 'kept', {f}.kept), named_struct('state', named_struct('reach', {x}.s.end, "
-            f"'open', array({x})), 'kept', concat({f}.kept, array({f}.state.open))))"
-        ),
-        lambda state: f"array({state}.open)",
-    )
-    merged = (
-        f"aggregate(array_sort(transform({c}, {s} -> named_struct('i', {s}.i, 's', {s}.s))), {NO_SPANS}, ({a}, {s}) -> "
-        f"if(exists({a}, {k} -> {s}.s.start < {k}.end AND {k}.start < {s}.s.end), {a}, concat({a}, array({s}.s))))"
-    )
-    return f"array_sort(flatten(transform({runs}, {c} -> {merged})))"
+
+    def merged(placed: str) -> str:
+        a, s, k, c = fresh("a"), fresh("s"), fresh("k"), fresh("c")
+        runs = in_blocks(
+            placed, f"named_struct('reach', -1, 'open', cast(array() AS array<{entry}>))", f"array<array<{entry}>>",
+            lambda f, x: (
+                f"if({x}.start < {f}.state.reach, named_struct('state', named_struct('reach', greatest({f}.state.reach, {x}.s.end), "
+                f"'open', concat({f}.state.open, array({x}))), 'kept', {f}.kept), named_struct('state', named_struct('reach', {x}.s.end, "
+                f"'open', array({x})), 'kept', concat({f}.kept, array({f}.state.open))))"
+            ),
+            lambda state: f"array({state}.open)",
+        )
+        each = (
+            f"aggregate(array_sort(transform({c}, {s} -> named_struct('i', {s}.i, 's', {s}.s))), {NO_SPANS}, ({a}, {s}) -> "
+            f"if(exists({a}, {k} -> {s}.s.start < {k}.end AND {k}.start < {s}.s.end), {a}, concat({a}, array({s}.s))))"
+        )
+        return f"array_sort(flatten(transform({runs}, {c} -> {each})))"
+
+    def sort(v: str) -> str:
+        s, i = fresh("s"), fresh("i")
+        return f"array_sort(transform({v}, ({s}, {i}) -> named_struct('start', {s}.start, 'i', {i}, 's', {s})))"
+
+    def choose(placed: str) -> str:
+        s = fresh("s")
+        sorted_spans = f"cast(transform({placed}, {s} -> {s}.s) AS {SPAN_TYPE})"
+        return f"if({apart(f'transform({placed}, {s} -> {s}.s)')}, {sorted_spans}, {merged(placed)})"
+
+    return let(spans, lambda v: let(sort(v), choose))
 
 
 def detect_one(text: str, kind: str) -> str:

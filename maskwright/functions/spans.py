@@ -144,25 +144,31 @@ def in_blocks(items: str, state: str, kept: str, step: Callable[[str, str], str]
     return let(items, folded)
 
 
+def apart(placed: str) -> str:
+    """Whether spans in order of their starts are disjoint: each starts where the one before it ends, or later."""
+    x, i = fresh("x"), fresh("i")
+    return let(placed, lambda v: f"NOT exists(transform({v}, ({x}, {i}) -> coalesce(get({v}, {i} - 1).end, 0) > {x}.start), {x} -> {x})")
+
+
 def resolve_overlaps(spans: str) -> str:
     """Keep the earliest, then longest, then first-listed of overlapping spans.
 
-    Kept spans are disjoint and in order, so a candidate need only be compared
-    with the last one kept.
+    Kept spans are disjoint and in order, so a candidate need only be compared with the last one kept. Most texts have
+    no overlaps at all: theirs are only sorted. Short lists are folded plainly, long ones in blocks.
     """
 
     def fold(v: str) -> str:
+        a, x = fresh("a"), fresh("x")
+        step = lambda f, y: f"if({y}.start >= {f}.state, named_struct('state', {y}.end, 'kept', concat({f}.kept, array({y}))), {f})"
+        plain = f"aggregate({v}, named_struct('state', -1, 'kept', {NO_SPANS}), ({a}, {x}) -> {step(a, x)}, {a} -> {a}.kept)"
+        return f"CASE WHEN {apart(v)} THEN {v} WHEN size({v}) <= {FOLD_BLOCK} THEN {plain} ELSE {in_blocks(v, '-1', SPAN_TYPE, step)} END"
+
+    def sort(v: str) -> str:
         s = fresh("s")
-        ordered = (
-            f"array_sort(transform({v}, {s} -> named_struct("
-            f"'at', {s}.start, 'far', -{s}.end, 'p', {s}.priority, 's', {s})))"
-        )
-        return in_blocks(
-            ordered, "-1", SPAN_TYPE,
-            lambda a, x: f"if({x}.at >= {a}.state, named_struct('state', -{x}.far, 'kept', concat({a}.kept, array({x}.s))), {a})",
-        )
+        keyed = f"array_sort(transform({v}, {s} -> named_struct('at', {s}.start, 'far', -{s}.end, 'p', {s}.priority, 's', {s})))"
+        return f"cast(transform({keyed}, {s} -> {s}.s) AS {SPAN_TYPE})"
 
-    return let(spans, lambda v: f"if(size({v}) < 2, cast({v} AS {SPAN_TYPE}), {fold(v)})")
+    return let(spans, lambda v: f"if(size({v}) < 2, cast({v} AS {SPAN_TYPE}), {let(sort(v), fold)})")
 
 
 def replace_spans(text: str, replacements: str) -> str:

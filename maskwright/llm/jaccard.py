@@ -9,8 +9,9 @@ common shingles over all documents tell which l is cheapest. How many shared pre
 needs before it is verified follows from both (:func:`needed`): never fewer than the smaller l, and more where the
 sizes are near each other.
 
-Large groups of near copies are not compared all with all. In rounds, each set in lists of over ``TRY`` sets is tried
-against one member of these lists (the one it shares most with); links found so join sets into components. Only pairs
+Large groups of near copies are not compared all with all. Each set in lists of over ``TRY`` sets is tried against one
+member of these lists (the one it shares most with), in lists of over ``HOT`` sets in several rounds; links found so
+join sets into components. Only pairs
 that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
 different components is opened by a second shared member, out of prefixes one longer: that is exact too.
 
@@ -38,7 +39,8 @@ from maskwright.llm.components import components
 from maskwright.llm.registry import query
 
 SHINGLE, PART = 5, (4, 5)
-#: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first, in so many rounds.
+#: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first,
+#: those in lists of more than HOT in so many rounds.
 HOT, TRY, ROUNDS = 256, 8, 2
 #: The longest multi-match; what posting a member costs next to one match of it, and verifying a pair, for each member;
 #: and how often a member is shared that is not known to be common.
@@ -347,7 +349,7 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
     met = cut_lineage(posted.join(twice, "token"))
     edges, roots, tried = None, None, None
     for turn in range(rounds):
-        large = met.where(F.col("members") > most).select("token", "class")
+        large = met.where(F.col("members") > (most if turn == 0 else max(hot, most))).select("token", "class")
         large = _rooted(large, roots) if roots is None else cut_lineage(_open(_rooted(large, roots), ["token"]))
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
         order = F.xxhash64("class", F.pmod("token", F.lit(4)), F.lit(turn))

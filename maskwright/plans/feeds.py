@@ -52,8 +52,8 @@ WHERE epoch_ms(coalesce(nxt, (SELECT max(ts) FROM events))) - epoch_ms(ts) > 216
 def liveness_gaps(spark, folder):
     """Silences per user of over six hours (the feed's rule, on a slower clock), up to the last message of all; a hot user is cut by the day."""
     events = _events(spark, folder)
-    until = events.agg(F.expr("unix_micros(max(sent_at))")).first()[0] or 0
-    gaps = feed.liveness(events, "user_id", 6 * 3600 * 1000, "cast(floor(unix_seconds(sent_at) / 86400) AS bigint)", f"timestamp_micros({until})")
+    last = events.agg(F.max("sent_at").alias("last_sent"))  # one row
+    gaps = feed.liveness(events.crossJoin(F.broadcast(last)), "user_id", 6 * 3600 * 1000, "cast(floor(unix_seconds(sent_at) / 86400) AS bigint)", "last_sent")
     return gaps.selectExpr("user_id", "cast(disconnected_at AS timestamp_ntz) AS disconnected_at", "cast(back_at AS timestamp_ntz) AS back_at")
 
 

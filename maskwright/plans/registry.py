@@ -22,3 +22,9 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Narrow rows about to be made wide and costly, over all cores: a table of one small file would be one task. A table with a split for every core stays as it lies."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,13 +112,13 @@ def task_feed_batch(events: DataFrame) -> DataFrame:
     )
 
 
-def liveness(events: DataFrame, key: str = "task_id", silence_ms: int = DISCONNECTED_MS, bucket: str | None = None, until: str = "current_timestamp()") -> DataFrame:
-    """Gaps longer than the allowed silence between messages of one key, and after its last one up to ``until`` (then never back).
+def liveness(events: DataFrame, key: str = "task_id", silence_ms: int = DISCONNECTED_MS, bucket: str | None = None, until: str | None = None) -> DataFrame:
+    """Gaps longer than the allowed silence between messages of one key; with ``until``, after its last one up to then too (never back).
 
     ``bucket`` rises with ``sent_at``.
     """
     seen = ordered(events, [key], "sent_at", {"_next": ("lead", "sent_at")}, bucket)
-    gap = f"unix_millis(coalesce(_next, {until})) - unix_millis(sent_at)"
+    gap = f"unix_millis({'_next' if until is None else f'coalesce(_next, {until})'}) - unix_millis(sent_at)"
     return seen.where(f"{gap} > {silence_ms}").selectExpr(key, f"sent_at + make_interval(0, 0, 0, 0, 0, 0, {silence_ms / 1000}) AS disconnected_at", "_next AS back_at")
 
 
@@ -180,11 +180,20 @@ def resource_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def gated_sink(write: Callable[[DataFrame, int], Any]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that only ever passes on rows the gate lets through."""
+def gated_sink(write: Callable[[DataFrame, int], Any], dropped: Callable[[dict[str, int], int], Any] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that only ever passes on rows the gate lets through.
+
+    ``dropped`` is told, batch by batch, how many rows came, how many were invalid and how many held private data:
+    counted by observed metrics while the batch is written, not by a second pass.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        clean, _ = gated_feed(batch)
-        write(clean, number)
+        came, passed, valid = Observation(), Observation(), Observation()
+        checked, _ = contracts.validate(batch.observe(came, F.count(F.lit(1)).alias("n")), contracts.EVENT)
+        clean, _ = leaks.outbound_split(checked.observe(valid, F.count(F.lit(1)).alias("n")))
+        write(clean.observe(passed, F.count(F.lit(1)).alias("n")), number)
+        if dropped is not None:
+            counts = [o.get["n"] for o in (came, valid, passed)]
+            dropped({"came": counts[0], "invalid": counts[0] - counts[1], "private data": counts[1] - counts[2]}, number)
 
     return run

@@ -96,6 +96,8 @@ def test_liveness_and_totals(spark, tmp_path):
     events = spark.read.schema(files.EVENT).json(_feed_file(tmp_path, "1.json", EVENTS)).withColumn("sent_at", F.to_timestamp("sent_at"))
     gaps = feed.liveness(events).collect()
     assert [(g.task_id, g.disconnected_at.second, g.back_at.second) for g in sorted(gaps)] == [("a", 9, 20), ("b", 10, 21)]
+    still = feed.liveness(events, until="timestamp'2024-01-01 00:01:00'").collect()
+    assert sorted((g.task_id, g.disconnected_at.second) for g in still if g.back_at is None) == [("a", 26), ("b", 27)]
     for bucket in (None, "cast(floor(seq / 2) AS bigint)"):
         totals = {r.seq: (r.total_steps, r.total_prompt, r.latest_latency) for r in feed.running_totals(events, bucket=bucket).collect()}
         assert totals[1] == (0, 0, None) and totals[2] == (1, 7, 5.0) and totals[5] == (1, 7, 5.0)
@@ -108,5 +110,9 @@ def test_gate_drops_private_and_broken_events(spark, tmp_path):
     assert {r.seq for r in clean.collect()} == {0, 1, 2, 3, 4, 5}
     assert {(r.reason, r.findings) for r in dropped.collect()} == {("private data", 1), ("invalid", 1)}
     seen = []
-    feed.gated_sink(lambda rows, number: seen.append(rows.count()))(events, 0)
-    assert seen == [6]
+    counts = []
+    sink = feed.gated_sink(lambda rows, number: seen.append(len(rows.collect())), lambda n, number: counts.append((number, n)))
+    sink(events, 0)
+    sink(events.where("seq > 5"), 1)
+    assert seen[0] == 6
+    assert counts[0] == (0, {"came": 8, "invalid": 1, "private data": 1}) and counts[1][1]["came"] == 2
