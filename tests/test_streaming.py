@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.detectors import detect
 from maskwright.operators import vault
 from maskwright.sources import files
-from maskwright.streaming import feed, redact
+from maskwright.streaming import feed, redact, scopes
 
 LINES = [
     [(0, "s", 0, "write a.b@x.com or c.d@x.com"), (1, "s", 1, "again C.D@x.com")],
@@ -116,3 +116,27 @@ def test_gate_drops_private_and_broken_events(spark, tmp_path):
     sink(events.where("seq > 5"), 1)
     assert seen[0] == 6
     assert counts[0] == (0, {"came": 8, "invalid": 1, "private data": 1}) and counts[1][1]["came"] == 2
+
+
+def test_scopes_keep_their_tokens_in_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    lines = [*LINES, [(6, "t", 6, "new h.i@x.com, old E.F@x.com")], [(7, "t", 7, "last j.k@x.com done"), (8, "s", 8, "g.h@x.com 4111 1111 1111 1111")], [(9, "t", 9, "after e.f@x.com"), (10, "s", 10, None)]]
+    for k, rows in enumerate(lines):  # one run per file: each is a restart, and finds no vault to read
+        _write(spark, rows, src)
+        stream = spark.readStream.schema("text_id long, scope_id string, seq long, text string").parquet(src)
+        query = scopes.stream_redact_scopes(stream, str(tmp_path / f"vault{k}"), out, check, ["seq"], finished="text LIKE '%done'")
+        assert query.awaitTermination(120)
+    got = {r.text_id: r.redacted for r in spark.read.parquet(out).collect()}
+    twin = spark.createDataFrame([r for rows in lines[:-1] for r in rows], "text_id long, scope_id string, seq long, text string")
+    done, _ = vault.redact(twin.withColumn("spans", F.expr(detect("text"))), ["scope_id"], ["seq"])
+    assert {k: v for k, v in got.items() if k < 9} == {r.text_id: r.redacted for r in done.collect()}
+    assert got[9] == "after <PII:EMAIL:1>" and got[10] is None  # t was over: its state is gone
+    added = [(r.scope_id, r.token, r.first_value) for k in range(len(lines)) for r in spark.read.parquet(str(tmp_path / f"vault{k}")).collect()]
+    assert ("s", "<PII:EMAIL:4>", "g.h@x.com") in added and added.count(("t", "<PII:EMAIL:1>", "e.f@x.com")) == 2 and len(added) == 9
+
+
+def test_unicode_values_share_a_key_with_the_batch(spark):
+    values = ["Ａｂ－１（２）", "A.b, C", "ﬁne", "x y", "É-é"]
+    want = [r.value_key for r in vault.value_key(spark.createDataFrame([(v,) for v in values], "text string")).collect()]
+    assert [scopes.value_key(v) for v in values] == want
