@@ -10,8 +10,8 @@ needs before it is verified follows from both (:func:`needed`): never fewer than
 sizes are near each other.
 
 Large groups of near copies are not compared all with all. Each set in lists of over ``TRY`` sets is tried against one
-member of these lists (the one it shares most with), in lists of over ``HOT`` sets in several rounds; links found so
-join sets into components. Only pairs
+member of these lists (the one it shares most with), in rounds, as long as links are found; a try whose least hashes
+tell that it would fail is not verified. Links found so join sets into components. Only pairs
 that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
 different components is opened by a second shared member, out of prefixes one longer: that is exact too.
 
@@ -39,9 +39,10 @@ from maskwright.llm.components import components
 from maskwright.llm.registry import query
 
 SHINGLE, PART = 5, (4, 5)
-#: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first,
-#: those in lists of more than HOT in so many rounds.
-HOT, TRY, ROUNDS = 256, 8, 2
+#: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first, in so many rounds.
+HOT, TRY, ROUNDS = 256, 8, 4
+#: Tries are worth a verification from this Jaccard on, as estimated from the least members of each set.
+SKETCH, LIKELY = 64, 0.68
 #: The longest multi-match; what posting a member costs next to one match of it, and verifying a pair, for each member;
 #: and how often a member is shared that is not known to be common.
 MOST_NEED, POST, VERIFY, SHARED = 8, 4.0, 0.5, 0.05
@@ -201,10 +202,10 @@ def needed(n: Column, rest: Column, m: Column, more: Column) -> Column:
 
 
 def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, same, place, class, n, rest, base, prefix) per document. No shuffle.
+    """(doc_id, same, place, class, n, rest, base, prefix, least) per document. No shuffle.
 
     ``class`` names the set, ``n`` is its size, ``prefix`` holds its first n - rest members in order and the one after
-    them, ``base`` is the length of the prefix at l = 1.
+    them, ``base`` is the length of the prefix at l = 1, ``least`` holds the ``SKETCH`` least hashes of the set.
     """
     fair_batches(docs.sparkSession)
     rows = _rows(docs)
@@ -214,7 +215,7 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         shingler, rate = Shingler(size), np.zeros(BUCKETS, np.int64)
         rate[sent.value[0]] = sent.value[1]
         for batch in batches:
-            names, sizes, rests, bases, prefixes = [], [], [], [], []
+            names, sizes, rests, bases, prefixes, least = [], [], [], [], [], []
             for shingles in shingler.sets(batch.column("text")):
                 n, tokens = len(shingles), _tokens(shingles)
                 rates = rate[tokens % BUCKETS]
@@ -227,12 +228,13 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 rests.append(n - length)
                 bases.append(base)
                 prefixes.append(tokens[order[: length + 1]].view(np.int32))
+                least.append((shingles[:SKETCH] >> np.uint64(33)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(bases, pa.int32()), pa.array(prefixes, pa.list_(pa.int32()))],
-                ["doc_id", "same", "place", "class", "n", "rest", "base", "prefix"],
+                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(bases, pa.int32()), pa.array(prefixes, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int32()))],
+                ["doc_id", "same", "place", "class", "n", "rest", "base", "prefix", "least"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, place bigint, class bigint, n bigint, rest bigint, base int, prefix array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, place bigint, class bigint, n bigint, rest bigint, base int, prefix array<int>, least array<int>")
 
 
 def _packed(shingles: np.ndarray) -> bytes:
@@ -308,6 +310,15 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.where(shared >= needed(*[F.col(f"{s}_{c}") for s in "ab" for c in NUMBERS])).select("a", "b")
 
 
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose Jaccard, as their least hashes estimate it, is worth a verification. For tries only: the multi-match join is exact without it."""
+    sides = [classes.select(F.col("class").alias(s), F.col("least").alias(f"{s}_least")) for s in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    least = F.slice(F.array_sort(F.array_union("a_least", "b_least")), 1, SKETCH)
+    both = F.size(F.array_intersect(least, F.array_intersect("a_least", "b_least")))
+    return met.where(both >= F.size(least) * LIKELY).select("a", "b")
+
+
 def _opened(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     """(first, second, class, root, numbers): the lists of crowded members, parted by each second member after the first in a prefix one longer."""
     prefixed = crowded.join(classes.select("class", "base", F.expr("slice(prefix, 1, base + 1)").alias("prefix")), "class")
@@ -342,21 +353,20 @@ def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame | None:
     """(node, root): the component of every class that has a link; None without any."""
-    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", *NUMBERS)]
+    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "least", *NUMBERS)]
     classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(*firsts))
     posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
     twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
-    met = cut_lineage(posted.join(twice, "token"))
+    lists = cut_lineage(posted.join(twice, "token").select("token", "class", "members"))
     edges, roots, tried = None, None, None
     for turn in range(rounds):
-        large = met.where(F.col("members") > (most if turn == 0 else max(hot, most))).select("token", "class")
-        large = _rooted(large, roots) if roots is None else cut_lineage(_open(_rooted(large, roots), ["token"]))
+        large = (_rooted(lists, None) if roots is None else lists).where(F.col("members") > most)
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
         order = F.xxhash64("class", F.pmod("token", F.lit(4)), F.lit(turn))
         hub = large.groupBy("token").agg(F.min(F.struct(order.alias("order"), F.col("class").alias("b"), F.col("root").alias("other"))).alias("hub")).select("token", "hub.b", "hub.other")
         shared = large.join(hub, "token").where("root <> other").groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
         best = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        pairs = _promising(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes)
+        pairs = _likely(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes)
         pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(docs, classes, pairs, size)
         if found is None:
@@ -364,8 +374,10 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
         tried = pairs if tried is None else tried.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges)
-    placed = met.join(_rooted(classes.select("class", *NUMBERS), roots), "class")
-    placed = cut_lineage(placed if roots is None else _open(placed, ["token"]))
+        lists = cut_lineage(_open(_rooted(lists.drop("root"), roots), ["token"]))  # what lies in one component is done
+        if found.isEmpty():
+            break
+    placed = cut_lineage((_rooted(lists, None) if roots is None else lists).join(classes.select("class", *NUMBERS), "class"))
     large, calm = placed.where(F.col("members") > hot), placed.where(F.col("members") <= hot)
     # Members of crowded lists may be shared too: they count as if they were.
     crowds = large.groupBy("class").agg(F.count(F.lit(1)).alias("crowds"))
