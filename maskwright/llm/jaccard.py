@@ -10,8 +10,9 @@ needs before it is verified follows from both (:func:`needed`): never fewer than
 sizes are near each other.
 
 Large groups of near copies are not compared all with all. Each set in lists of over ``TRY`` sets is tried against one
-member of these lists (the one it shares most with), in rounds, as long as links are found; a try whose least hashes
-tell that it would fail is not verified. Links found so join sets into components. Only pairs
+member of these lists (the one it shares most with), in rounds, as long as the tries move at least a share ``LIVE`` of
+a list's open sets; a try whose least hashes tell that it would fail is not verified. Links found so join sets into
+components. Only pairs
 that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
 different components is opened by a second shared member, out of prefixes one longer: that is exact too.
 
@@ -41,6 +42,8 @@ from maskwright.llm.registry import query
 SHINGLE, PART = 5, (4, 5)
 #: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first, in so many rounds.
 HOT, TRY, ROUNDS = 256, 8, 4
+#: A list is tried again where the last round moved this share of its open sets to another root. What is left goes through the join.
+LIVE = 1 / 8
 #: Tries are worth a verification from this Jaccard on, as estimated from the least members of each set.
 SKETCH, LIKELY = 64, 0.68
 #: The longest multi-match; what posting a member costs next to one match of it, and verifying a pair, for each member;
@@ -337,10 +340,10 @@ def _apart(lists: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), *more)
 
 
-def _open(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of those lists whose sets are in more than one component."""
-    mixed = lists.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*keys)
-    return lists.join(mixed, keys, "left_semi")
+def _open(lists: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The rows of those lists whose sets are in more than one component, and what ``more`` aggregates of each list."""
+    mixed = lists.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo < hi").drop("lo", "hi")
+    return lists.join(mixed, keys)
 
 
 def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -359,8 +362,9 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
     twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
     lists = cut_lineage(posted.join(twice, "token").select("token", "class", "members"))
     edges, roots, tried = None, None, None
+    lists = _rooted(lists, None).withColumn("live", F.lit(True))
     for turn in range(rounds):
-        large = (_rooted(lists, None) if roots is None else lists).where(F.col("members") > most)
+        large = lists.where((F.col("members") > most) & F.col("live"))
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
         order = F.xxhash64("class", F.pmod("token", F.lit(4)), F.lit(turn))
         hub = large.groupBy("token").agg(F.min(F.struct(order.alias("order"), F.col("class").alias("b"), F.col("root").alias("other"))).alias("hub")).select("token", "hub.b", "hub.other")
@@ -374,10 +378,10 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
         tried = pairs if tried is None else tried.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges)
-        lists = cut_lineage(_open(_rooted(lists.drop("root"), roots), ["token"]))  # what lies in one component is done
-        if found.isEmpty():
-            break
-    placed = cut_lineage((_rooted(lists, None) if roots is None else lists).join(classes.select("class", *NUMBERS), "class"))
+        moved = _rooted(lists.drop("live").withColumnRenamed("root", "was"), roots)
+        live = F.avg((F.col("root") != F.col("was")).cast("int")) >= LIVE
+        lists = cut_lineage(_open(moved, ["token"], live.alias("live")).drop("was"))  # what lies in one component is done
+    placed = cut_lineage(lists.drop("live").join(classes.select("class", *NUMBERS), "class"))
     large, calm = placed.where(F.col("members") > hot), placed.where(F.col("members") <= hot)
     # Members of crowded lists may be shared too: they count as if they were.
     crowds = large.groupBy("class").agg(F.count(F.lit(1)).alias("crowds"))
