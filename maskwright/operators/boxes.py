@@ -1,10 +1,12 @@
 """Pixels as tables: which regions to read, boxes matched to elements, lines inserted, faces counted.
 
-Boxes meet elements within one view, which one screen bounds.
+Boxes meet elements within one view. Where a view has many of them, they meet by grid cell instead of all with all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ MATCH_ABOVE = 0.3
 TEXT_MATCH = 0.8
 MIN_LINE_CONFIDENCE = 0.5
 MAX_TARGETS = 4
+#: Over so many boxes of a role (or texts) in a view, only those of neighbouring cells are compared.
+CROWD = 32
+#: Key of the views below it, whose rows all share one cell.
+CALM = -1000
+CELL = ["_level", "_cx", "_cy"]
 
 
 def needs_pixels(elements: DataFrame) -> DataFrame:
@@ -44,27 +51,94 @@ def _text(column: str) -> str:
     return f"coalesce(lower(trim(regexp_replace({column}, {spaces}, ' '))), '')"
 
 
-def best_boxes(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE) -> DataFrame:
+def _level(b: str, base: float) -> str:
+    return f"cast(floor(ln(greatest({b}.w, {b}.h)) / {math.log(base)!r}D) AS int)"
+
+
+def _cell(x: str, y: str, level: str, base: float, dx: str = "0", dy: str = "0") -> str:
+    """The cell of a point in the grid of a level, whose cells are as wide as the largest side of the level."""
+    size = f"pow({base!r}D, {level} + 1)"
+    return (
+        f"named_struct('_level', {level}, '_cx', cast(floor({x} / {size}) AS bigint) + {dx}, "
+        f"'_cy', cast(floor({y} / {size}) AS bigint) + {dy})"
+    )
+
+
+def _celled(frame: DataFrame, crowds: DataFrame, keys: list[str], cells: str) -> DataFrame:
+    """Rows of crowded keys once for each of their cells, all others in the one calm cell."""
+    calm = f"array(named_struct('_level', {CALM}, '_cx', 0L, '_cy', 0L))"
+    return frame.join(crowds, keys, "left").selectExpr(*frame.columns, f"inline(if(_crowd IS NULL, {calm}, {cells}))")
+
+
+def _crowds(frame: DataFrame, keys: list[str], crowd: int) -> DataFrame:
+    return frame.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*keys, F.lit(True).alias("_crowd"))
+
+
+def box_pairs(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:
+    """Elements (a) beside the boxes (b) of their view and role that can score above ``above``.
+
+    An IoU above t needs the longer sides within 1 / t of each other, and centres nearer than the longer side. So the
+    sides are cut in levels of that ratio, and a pair meets once: in the grid of its larger level, where the centres
+    lie in neighbouring cells. An element is repeated 18 times for it and a box twice, whatever the view holds.
+    """
+    keys = ["view_id", "role"]
+    left = elements.select(*keys, "ordinal", F.col("bbox").alias("a"))
+    right = boxes.select(*keys, "box_no", F.col("bbox").alias("b"), F.col("confidence").alias("box_confidence"))
+    if not 0.1 <= above < 1:  # close centres alone can be enough
+        return left.join(right, keys)
+    base = 1.001 / above  # a little more, so that rounding parts no pair
+    l, i, j = fresh("l"), fresh("i"), fresh("j")
+    levels = "array({0}, {0} + 1)"
+    around = _cell("(a.x + a.w / 2)", "(a.y + a.h / 2)", l, base, i, j)
+    near = f"flatten(transform(array(-1, 0, 1), {i} -> transform(array(-1, 0, 1), {j} -> {around})))"
+    crowds = _crowds(boxes, keys, crowd)
+    asked = _celled(left, crowds, keys, f"flatten(transform({levels.format(_level('a', base))}, {l} -> {near}))")
+    held = _celled(right, crowds, keys, f"transform({levels.format(_level('b', base))}, {l} -> {_cell('(b.x + b.w / 2)', '(b.y + b.h / 2)', l, base)})")
+    met = asked.join(held, [*keys, *CELL])
+    return met.where(f"_level = {CALM} OR _level = greatest({_level('a', base)}, {_level('b', base)})").drop(*CELL)
+
+
+def best_boxes(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:
     """Per element the best box of its role, scored strictly above the threshold; ties to the first box.
 
     The best is kept while aggregating, so the pairs of a view are never held together.
     """
-    pairs = elements.select("view_id", "ordinal", "role", F.col("bbox").alias("a")).join(
-        boxes.select("view_id", "box_no", "role", F.col("bbox").alias("b"), F.col("confidence").alias("box_confidence")), ["view_id", "role"]
-    )
-    scored = pairs.withColumn("score", F.expr(B.match_score("a", "b"))).where(F.col("score") > above)
+    scored = box_pairs(elements, boxes, above, crowd).withColumn("score", F.expr(B.match_score("a", "b"))).where(F.col("score") > above)
     return scored.groupBy("view_id", "ordinal").agg(
         F.expr("max_by(struct(box_no, box_confidence), struct(score, -box_no))").alias("box")
     )
 
 
-def best_regions(elements: DataFrame, regions: DataFrame, threshold: float = TEXT_MATCH) -> DataFrame:
-    """Per labelled element the best text region: same or containing text, and some overlap."""
+def text_pairs(elements: DataFrame, regions: DataFrame, threshold: float = TEXT_MATCH, crowd: int = CROWD) -> DataFrame:
+    """Labelled elements (own, a) beside the text regions (read, b) of their view that can match.
+
+    Equal texts meet by text. A text that only contains the other must have over half of its region in the element, so
+    the region's centre is in it: the element stands in the few cells of its own size that it covers, the centre in its
+    cell of every size.
+    """
     labelled = elements.selectExpr("view_id", "ordinal", f"{_text('label')} AS own", "bbox AS a").where("own <> ''")
     read = regions.selectExpr("view_id", "region_no", f"{_text('text')} AS read", "bbox AS b", "confidence AS region_confidence").where("read <> ''")
-    pairs = labelled.join(read, "view_id")
+    if threshold < 0.78:  # less than half may be enough
+        return labelled.join(read, "view_id")
+    l, i, j = fresh("l"), fresh("i"), fresh("j")
+    size = f"pow(2D, {l} + 1)"
+    first, last = (f"cast(floor({{0}} / {size}) AS bigint)", f"cast(floor(({{0}} + {{1}}) / {size}) AS bigint)")
+    columns, rows = (f"sequence({first.format(p)}, {last.format(p, q)})" for p, q in (("a.x", "a.w"), ("a.y", "a.h")))
+    covered = f"flatten(transform({columns}, {i} -> transform({rows}, {j} -> named_struct('_level', {l}, '_cx', {i}, '_cy', {j}))))"
+    crowds = _crowds(read, ["view_id"], crowd)
+    asked = _celled(labelled.where("a.w > 0 AND a.h > 0"), crowds, ["view_id"], f"flatten(transform(array({_level('a', 2.0)}), {l} -> {covered}))")
+    sizes = labelled.where("a.w > 0 AND a.h > 0").groupBy("view_id").agg(F.expr(f"collect_set({_level('a', 2.0)})").alias("_sizes"))
+    centres = read.join(sizes, "view_id")
+    held = _celled(centres, crowds, ["view_id"], f"transform(_sizes, {l} -> {_cell('(b.x + b.w / 2)', '(b.y + b.h / 2)', l, 2.0)})").drop("_sizes")
+    inside = asked.join(held, ["view_id", *CELL]).where("own <> read AND (contains(own, read) OR contains(read, own))").drop(*CELL)
+    same = labelled.join(read.withColumn("own", F.col("read")), ["view_id", "own"])
+    return inside.unionByName(same)
+
+
+def best_regions(elements: DataFrame, regions: DataFrame, threshold: float = TEXT_MATCH, crowd: int = CROWD) -> DataFrame:
+    """Per labelled element the best text region: same or containing text, and some overlap."""
     alike = "CASE WHEN own = read THEN 1D WHEN contains(own, read) OR contains(read, own) THEN 0.9D ELSE 0D END"
-    scored = pairs.withColumns({"_alike": F.expr(alike), "_where": F.expr(B.text_score("a", "b"))}).where(
+    scored = text_pairs(elements, regions, threshold, crowd).withColumns({"_alike": F.expr(alike), "_where": F.expr(B.text_score("a", "b"))}).where(
         f"_alike >= {threshold} AND _where > 0"
     ).withColumn("score", F.expr("_alike * 0.7D + _where * 0.3D")).where(F.col("score") > threshold)
     return scored.groupBy("view_id", "ordinal").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.spans import MARK, find, in_blocks, pieces, running_lengths
 from maskwright.functions.sql import fresh, let, lit, lits
-from maskwright.operators.skew import join_salted
+from maskwright.operators.skew import join_salted, ordered
 
 HIDDEN_TYPE = "array<struct<start:int,end:int,categories:array<string>>>"
 # Truth items of one page that travel in one row; a page with more takes more rows.
@@ -295,3 +295,47 @@ def compare_runs(summary: DataFrame, config: str, metrics: list[str]) -> DataFra
         config, "inline(array(" + ", ".join(f"named_struct('metric', '{m}', 'value', cast({m} AS double))" for m in metrics) + "))"
     )
     return tall.groupBy("metric").pivot(config).agg(F.first("value"))
+
+
+def item_levels(places: DataFrame, span_score: str) -> DataFrame:
+    """Per item that stands somewhere: ``level``, the highest cutoff at which every place of it lies whole in one kept span; NULL if one never does.
+
+    ``places`` as :func:`item_occurrences` gives them; ``span_score``: SQL of a span's score, with the span as ``span``.
+    """
+    h = fresh("h")
+    whole = f"filter(touching, {h} -> {h}.start <= start AND {h}.end >= `end`)"
+    scores = f"array_max(transform({whole}, span -> {span_score}))"
+    each = places.selectExpr("page", "item_no", f"{scores} AS _score")
+    return each.groupBy("page", "item_no").agg(F.expr("if(count(*) = count(_score), min(_score), NULL)").alias("level"))
+
+
+def cutoff_sweep(spans: DataFrame, items: DataFrame, keys: list[str], cutoffs: list[float] | None = None, bucket: str = "floor(-score * 1000)") -> DataFrame:
+    """``keys, score, spans, right, caught, pii, precision, recall``: what each cutoff on the score would keep, all in one pass.
+
+    ``spans``: keys, score, private (whether it hides something of the truth). ``items``: keys, level (the highest
+    cutoff at which the item is still hidden, NULL for never). Rows are counted per distinct score first; running
+    counts from the highest score down are then what a run at each score finds, and only ``bucket`` of scores is in one
+    task. Without ``cutoffs`` every score that occurs is one. A ratio without rows is 1; rows with a null score count nowhere.
+    """
+    rows = spans.where("score IS NOT NULL").selectExpr(*keys, "cast(score AS double) AS score", "1L AS spans", "cast(coalesce(private, false) AS bigint) AS right", "0L AS caught")
+    hits = items.where("level IS NOT NULL").selectExpr(*keys, "cast(level AS double) AS score", "0L AS spans", "0L AS right", "1L AS caught")
+    sums = ("spans", "right", "caught")
+    counted = rows.unionByName(hits).groupBy(*keys, "score").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    one = counted.withColumn("_all", F.lit(1))  # a key even where the caller names none
+    running = ordered(one, [*keys, "_all"], "-score", {c: ("sum", f"_{c}") for c in sums}, bucket).select(*keys, "score", *sums)
+    if cutoffs is not None:
+        asked = "array(" + ", ".join(f"{float(c)!r}D" for c in cutoffs) + ")"
+        c = fresh("c")
+        # Counts rise as the score falls: what a cutoff keeps is the most that any score from it on has counted.
+        reached = running.selectExpr(*keys, f"explode(filter({asked}, {c} -> score >= {c})) AS cutoff", *sums).groupBy(*keys, "cutoff").agg(*[F.max(s).alias(s) for s in sums])
+        configs = spans.select(*keys).unionByName(items.select(*keys)).distinct() if keys else spans.sparkSession.range(1).select()
+        grid = configs.selectExpr(*keys, f"explode({asked}) AS cutoff")
+        running = grid.join(reached, [*keys, "cutoff"], "left").selectExpr(*keys, "cutoff AS score", *[f"coalesce({s}, 0L) AS {s}" for s in sums])
+    if keys:
+        sized = running.join(items.groupBy(*keys).agg(F.count("*").alias("pii")), keys, "left")
+    else:
+        sized = running.crossJoin(items.agg(F.count("*").alias("pii")))  # one row
+    return sized.selectExpr(
+        *keys, "score", "spans", "right", "caught", "coalesce(pii, 0L) AS pii", "if(spans > 0, right / spans, 1D) AS precision",
+        "if(coalesce(pii, 0L) > 0, caught / pii, 1D) AS recall",
+    )

@@ -122,22 +122,18 @@ def reverify(steps: DataFrame, bucket: str | None = None) -> DataFrame:
     )
 
 
-def stall_streak(steps: DataFrame) -> DataFrame:
+def stall_streak(steps: DataFrame, bucket: str | None = None) -> DataFrame:
     """Unverified steps in a row as the task counted them: a later re-verification takes one off, a verified step clears it.
 
-    ``steps``: task_id, cycle, verified (as first seen), reverified. At most 25 steps a task.
+    ``steps``: task_id, cycle, verified (as first seen), reverified. What a step does to the count is to clear it, to
+    leave it or to add one; so the count is a running sum less its value at the last clearing, and with ``bucket``
+    (see :func:`skew.ordered`) a task of any length is split, one row per bucket carrying what those before it did.
     """
-    a, s = fresh("a"), fresh("s")
-    after = f"if({s}.verified, 0, {a}.streak + 1)"
-    folded = (
-        f"aggregate(steps, named_struct('streak', 0, 'out', cast(array() AS array<struct<cycle:bigint,streak:int>>)), "
-        f"({a}, {s}) -> named_struct('streak', if({s}.reverified, greatest({after} - 1, 0), {after}), "
-        f"'out', concat({a}.out, array(named_struct('cycle', cast({s}.cycle AS bigint), 'streak', {after})))), {a} -> {a}.out)"
-    )
-    per_task = steps.groupBy("task_id").agg(
-        F.expr("array_sort(collect_list(struct(cycle, verified, reverified)))").alias("steps")
-    )
-    return per_task.selectExpr("task_id", f"inline({folded})").withColumn("stalled", F.col("streak") >= MAX_UNVERIFIED)
+    done = steps.selectExpr("task_id", "cast(cycle AS bigint) AS cycle", "coalesce(verified, false) AS _clear", "coalesce(reverified, false) AS _off")
+    summed = ordered(done, ["task_id"], "cycle", {"_sum": ("sum", "if(_clear OR _off, 0, 1)")}, bucket)
+    since = ordered(summed, ["task_id"], "cycle", {"_from": ("last", "if(_clear, _sum, NULL)")}, bucket)
+    streak = "if(_clear, 0, _sum - coalesce(_from, 0) + if(_off, 1, 0))"
+    return since.selectExpr("task_id", "cycle", f"cast({streak} AS int) AS streak").withColumn("stalled", F.col("streak") >= MAX_UNVERIFIED)
 
 
 def repeated_step(steps: DataFrame, bucket: str | None = None) -> DataFrame:

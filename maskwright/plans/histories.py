@@ -54,6 +54,21 @@ def stall_streaks(spark, folder):
     return traces.stall_streak(done).withColumn("streak", F.col("streak").cast("bigint"))
 
 
+@query(
+    "long_streaks",
+    """WITH e AS (SELECT event_type AS task_id, event_id AS cycle, user_id % 3 = 0 AS verified, user_id % 3 <> 0 AND user_id % 4 = 1 AS reverified FROM events),
+i AS (SELECT *, count(*) FILTER (verified) OVER (PARTITION BY task_id ORDER BY cycle) AS island FROM e),
+c AS (SELECT *, count(*) FILTER (NOT verified AND NOT reverified) OVER (PARTITION BY task_id, island ORDER BY cycle ROWS UNBOUNDED PRECEDING EXCLUDE CURRENT ROW) AS carried FROM i)
+SELECT task_id, cycle, CAST(CASE WHEN verified THEN 0 ELSE carried + 1 END AS BIGINT) AS streak, NOT verified AND carried + 1 >= 3 AS stalled FROM c""",
+)
+def long_streaks(spark, folder):
+    """Streaks where all events of a type are one task: a few tasks hold all rows, each cut in buckets."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_type AS task_id", "event_id AS cycle", "user_id % 3 = 0 AS verified", "user_id % 3 <> 0 AND user_id % 4 = 1 AS reverified"
+    )
+    return traces.stall_streak(events, "floor(cycle / 4096)").withColumn("streak", F.col("streak").cast("bigint"))
+
+
 _KEY = "state || '|' || CASE WHEN kind = 'view' THEN 'wait' ELSE kind || coalesce(regexp_extract(action, 'target\":\"(e[0-9]+)', 1), '') || coalesce(regexp_extract(action, 'value\":\"([^\"]*)', 1), '') END"
 
 

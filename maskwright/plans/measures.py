@@ -59,6 +59,28 @@ def box_matches(spark, folder):
     return boxes.best_boxes(frame, _seen(frame)).selectExpr("view_id", "ordinal", "box.box_no AS box_no")
 
 
+# Boards: the lines of two thousand orders on one large surface, so a view holds thousands of boxes.
+_BOARD = {
+    "view_id": "cast(floor(view_id / 2000) AS bigint)", "ordinal": "view_id * 100 + ordinal", "role": "role", "label": "label",
+    "x": "x * 4 + view_id % 2000", "y": "y * 4", "w": "w / 4", "h": "h / 4",
+}
+_BOARD_SQL = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _BOARD.items()) + f" FROM {LINES_SQL} WHERE NOT offscreen)"
+
+
+@query(
+    "board_matches",
+    f"""WITH e AS {_BOARD_SQL}, d AS (SELECT * REPLACE (x + 1 AS x, y + ordinal % 5 AS y) FROM {_BOARD_SQL}),
+s AS (SELECT *, CASE WHEN inter > 0 AND area_a + area_b - inter > 0 THEN inter / (area_a + area_b - inter) ELSE 0 END AS score FROM {_PAIR_SQL} WHERE a_role = b_role)
+SELECT view_id, a_no AS ordinal, arg_max(b_no, (score, -b_no)) AS box_no FROM s WHERE score > 0.3 GROUP BY view_id, a_no""",
+)
+def board_matches(spark, folder):
+    """Boxes matched on crowded views: by grid cells."""
+    board = lines(spark, folder).where("NOT offscreen").selectExpr(*[f"{e} AS {c}" for c, e in _BOARD.items()])
+    elements = board.selectExpr("view_id", "ordinal", "role", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox")
+    seen = board.selectExpr("view_id", "ordinal AS box_no", "role", "named_struct('x', x + 1, 'y', y + ordinal % 5, 'w', w, 'h', h) AS bbox", "0.5D AS confidence")
+    return boxes.best_boxes(elements, seen).selectExpr("view_id", "ordinal", "box.box_no AS box_no")
+
+
 @query(
     "fused_elements",
     f"""WITH e AS {LINES_SQL}, d AS {_SEEN_SQL},

@@ -194,3 +194,38 @@ def compared_runs(spark, folder):
             )
         )
     return score.compare_runs(parts[0].unionByName(parts[1]), "config", ["caught", "pii", "spans"])
+
+
+CUTOFFS = [0.2, 0.4, 0.6, 0.8, 1.1]
+# A score for each hidden span, as a model would give one.
+_SPAN_SCORE = "cast((span.end - span.start) * 7 % 11 AS double) / 10"
+_SCORED_SPANS = _SCORE + """, sc AS (SELECT page, start, "end", CAST(("end" - start) * 7 % 11 AS DOUBLE) / 10 AS score FROM hid),
+pr AS (SELECT s.*, EXISTS (SELECT 1 FROM occ o WHERE o.page = s.page AND s.start < o."end" AND o.start < s."end") AS private FROM sc s),
+pl AS (SELECT o.page, o.item_no, o.start, max(s.score) AS best FROM occ o LEFT JOIN sc s ON s.page = o.page AND s.start <= o.start AND s."end" >= o."end" GROUP BY ALL),
+lv AS (SELECT i.page, i.item_no, CASE WHEN count(p.page) > 0 AND count(p.best) = count(*) THEN min(p.best) END AS level FROM items i LEFT JOIN pl p ON p.page = i.page AND p.item_no = i.item_no GROUP BY ALL),
+cnt AS (SELECT c.score, (SELECT count(*) FROM pr WHERE pr.score >= c.score) AS spans, (SELECT count(*) FROM pr WHERE private AND pr.score >= c.score) AS rt,
+  (SELECT count(*) FROM lv WHERE level >= c.score) AS caught, (SELECT count(*) FROM items) AS pii FROM (@cutoffs) c)
+SELECT score, CAST(spans AS BIGINT) AS spans, CAST(rt AS BIGINT) AS "right", CAST(caught AS BIGINT) AS caught, CAST(pii AS BIGINT) AS pii,
+  round(CASE WHEN spans > 0 THEN rt / spans ELSE 1 END, 6) AS precision, round(CASE WHEN pii > 0 THEN caught / pii ELSE 1 END, 6) AS recall FROM cnt"""
+
+
+def _swept(spark, folder, cutoffs):
+    texts, items, _ = scored_inputs(spark, folder)
+    places = cut_lineage(score.item_occurrences(texts, items))
+    touched = places.selectExpr("page", "inline(touching)").select("page", "start", F.lit(True).alias("private")).distinct()
+    hidden = texts.selectExpr("page", "explode(hidden) AS span").selectExpr("page", "span.start AS start", f"{_SPAN_SCORE} AS score")
+    levels = items.select("page", "item_no").join(score.item_levels(places, _SPAN_SCORE), ["page", "item_no"], "left")
+    table = score.cutoff_sweep(hidden.join(touched, ["page", "start"], "left"), levels, [], cutoffs)
+    return table.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
+@query("cutoff_table", _SCORED_SPANS.replace("@cutoffs", "SELECT unnest([" + ", ".join(map(str, CUTOFFS)) + "])::DOUBLE AS score"))
+def cutoff_table(spark, folder):
+    """What each of a few cutoffs on the span score would keep, right and wrong."""
+    return _swept(spark, folder, CUTOFFS)
+
+
+@query("cutoff_curve", _SCORED_SPANS.replace("@cutoffs", "SELECT score FROM sc UNION SELECT level FROM lv WHERE level IS NOT NULL"))
+def cutoff_curve(spark, folder):
+    """The same at every score that occurs."""
+    return _swept(spark, folder, None)
