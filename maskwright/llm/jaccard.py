@@ -11,11 +11,16 @@ sizes are near each other.
 
 Large groups of near copies are not compared all with all. Each set in lists of over ``TRY`` sets is tried against one
 member of these lists (the one it shares most with), in rounds, as long as the tries move at least a share ``LIVE`` of
-a list's open sets; a try whose least hashes tell that it would fail is not verified. Links found so join sets into
-components. Only pairs
+a list's open sets. Links found so join sets into components. Only pairs
 that are still in different components go through the multi-match join. A list of over ``HOT`` sets that lie in
 different components is opened by a second shared member, out of prefixes one longer: that is exact too.
 
+Every set has ``BITS`` parities: one for each part of the hashes, odd where an odd number of its members falls. Each
+member that only one of two sets has turns one of them, so two sets differ in at least as many members as parities.
+Pairs that differ in too many are left out before any set is read (:func:`_parted`), in crowded lists within the join
+itself, where near copies would else meet under each of their common keys. That is exact; it tells most pairs of up
+to some 1,500 members and lets longer ones through.
+
 Verification reads the documents again, makes the sets of those in some pair, and compares whole sets (48-bit hashes
 of shingles; classes are told apart by 64 bits).
 
@@ -44,8 +49,8 @@ SHINGLE, PART = 5, (4, 5)
 HOT, TRY, ROUNDS = 256, 8, 4
 #: A list is tried again where the last round moved this share of its open sets to another root. What is left goes through the join.
 LIVE = 1 / 8
-#: Tries are worth a verification from this Jaccard on, as estimated from the least members of each set.
-SKETCH, LIKELY = 64, 0.68
+#: Parities of a set, held as 64 to a number.
+BITS = 1024
 #: The longest multi-match; what posting a member costs next to one match of it, and verifying a pair, for each member;
 #: and how often a member is shared that is not known to be common.
 MOST_NEED, POST, VERIFY, SHARED = 8, 4.0, 0.5, 0.05
@@ -204,11 +209,17 @@ def needed(n: Column, rest: Column, m: Column, more: Column) -> Column:
     return F.ceil((n + m) * part / F.lit(part + whole)) - F.greatest(rest, more)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` ranges of the hashes, whether an odd number of members falls in it, as 64-bit numbers."""
+    places = (shingles >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, same, place, class, n, rest, base, prefix, least) per document. No shuffle.
+    """(doc_id, same, place, class, n, rest, base, prefix, bits) per document. No shuffle.
 
     ``class`` names the set, ``n`` is its size, ``prefix`` holds its first n - rest members in order and the one after
-    them, ``base`` is the length of the prefix at l = 1, ``least`` holds the ``SKETCH`` least hashes of the set.
+    them, ``base`` is the length of the prefix at l = 1, ``bits`` holds the ``BITS`` parities of the set.
     """
     fair_batches(docs.sparkSession)
     rows = _rows(docs)
@@ -218,7 +229,7 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         shingler, rate = Shingler(size), np.zeros(BUCKETS, np.int64)
         rate[sent.value[0]] = sent.value[1]
         for batch in batches:
-            names, sizes, rests, bases, prefixes, least = [], [], [], [], [], []
+            names, sizes, rests, bases, prefixes, bits = [], [], [], [], [], []
             for shingles in shingler.sets(batch.column("text")):
                 n, tokens = len(shingles), _tokens(shingles)
                 rates = rate[tokens % BUCKETS]
@@ -231,13 +242,13 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 rests.append(n - length)
                 bases.append(base)
                 prefixes.append(tokens[order[: length + 1]].view(np.int32))
-                least.append((shingles[:SKETCH] >> np.uint64(33)).astype(np.int32))
+                bits.append(parities(shingles))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(bases, pa.int32()), pa.array(prefixes, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int32()))],
-                ["doc_id", "same", "place", "class", "n", "rest", "base", "prefix", "least"],
+                [*[batch.column(c) for c in ("doc_id", "same", "place")], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(bases, pa.int32()), pa.array(prefixes, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "same", "place", "class", "n", "rest", "base", "prefix", "bits"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, place bigint, class bigint, n bigint, rest bigint, base int, prefix array<int>, least array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, same bigint, place bigint, class bigint, n bigint, rest bigint, base int, prefix array<int>, bits array<bigint>")
 
 
 def _packed(shingles: np.ndarray) -> bytes:
@@ -313,30 +324,35 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.where(shared >= needed(*[F.col(f"{s}_{c}") for s in "ab" for c in NUMBERS])).select("a", "b")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose Jaccard, as their least hashes estimate it, is worth a verification. For tries only: the multi-match join is exact without it."""
-    sides = [classes.select(F.col("class").alias(s), F.col("least").alias(f"{s}_least")) for s in "ab"]
+def _parted(left: Column, n: Column, right: Column, m: Column) -> Column:
+    """Whether the parities of sets of n and m members alone tell that they are not at ``PART``."""
+    part, whole = PART
+    differ = reduce(Column.__add__, [F.bit_count(left[k].bitwiseXOR(right[k])) for k in range(BITS // 64)])
+    return differ * (whole + part) > (n + m) * (whole - part)
+
+
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that their parities leave open."""
+    sides = [classes.select(F.col("class").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
-    least = F.slice(F.array_sort(F.array_union("a_least", "b_least")), 1, SKETCH)
-    both = F.size(F.array_intersect(least, F.array_intersect("a_least", "b_least")))
-    return met.where(both >= F.size(least) * LIKELY).select("a", "b")
+    return met.where(~_parted(F.col("a_bits"), F.col("a_n"), F.col("b_bits"), F.col("b_n"))).select("a", "b")
 
 
 def _opened(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(first, second, class, root, numbers): the lists of crowded members, parted by each second member after the first in a prefix one longer."""
-    prefixed = crowded.join(classes.select("class", "base", F.expr("slice(prefix, 1, base + 1)").alias("prefix")), "class")
+    """(first, second, class, root, numbers, bits): the lists of crowded members, parted by each second member after the first in a prefix one longer."""
+    prefixed = crowded.join(classes.select("class", "base", "bits", F.expr("slice(prefix, 1, base + 1)").alias("prefix")), "class")
     after = F.expr("slice(prefix, array_position(prefix, token) + 1, size(prefix))")
     first = prefixed.where(F.expr("array_position(prefix, token) BETWEEN 1 AND base"))
-    return first.select(F.col("token").alias("first"), F.explode(after).alias("second"), "class", "root", *NUMBERS)
+    return first.select(F.col("token").alias("first"), F.explode(after).alias("second"), "class", "root", "bits", *NUMBERS)
 
 
-def _apart(lists: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """(a, b, ...) of the rows with equal keys that are in different components and near in size; one row per key they share."""
+def _apart(lists: DataFrame, keys: list[str], *more: Column, but: Column | None = None) -> DataFrame:
+    """(a, b, ...) of the rows with equal keys that are in different components and near in size, without those that ``but`` tells; one row per key they share."""
     part, whole = PART
     x, y = lists.alias("x"), lists.alias("y")
     same = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
     near = F.least("x.n", "y.n") * whole >= F.greatest("x.n", "y.n") * part
-    met = x.join(y, same & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & near)
+    met = x.join(y, same & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & near & (F.lit(True) if but is None else ~but))
     return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), *more)
 
 
@@ -356,7 +372,7 @@ def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame | None:
     """(node, root): the component of every class that has a link; None without any."""
-    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "least", *NUMBERS)]
+    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "bits", *NUMBERS)]
     classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(*firsts))
     posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
     twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
@@ -370,7 +386,7 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
         hub = large.groupBy("token").agg(F.min(F.struct(order.alias("order"), F.col("class").alias("b"), F.col("root").alias("other"))).alias("hub")).select("token", "hub.b", "hub.other")
         shared = large.join(hub, "token").where("root <> other").groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
         best = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        pairs = _likely(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes)
+        pairs = _close(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes)
         pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verified(docs, classes, pairs, size)
         if found is None:
@@ -388,10 +404,11 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
     calm = calm.join(crowds, "class", "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
     need = needed(*[F.col(f"{s}.{c}") for s in "xy" for c in NUMBERS]) - F.least("x.crowds", "y.crowds")
     shared = _apart(calm, ["token"], need.alias("need")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = shared.where("shared >= need").select("a", "b")
+    pairs = _close(shared.where("shared >= need").select("a", "b"), classes)
     if not large.isEmpty():
         opened = _open(_opened(large.drop("members"), classes), ["first", "second"])
-        pairs = pairs.unionAll(_promising(_apart(opened, ["first", "second"]).distinct(), classes))
+        parted = _parted(F.col("x.bits"), F.col("x.n"), F.col("y.bits"), F.col("y.n"))
+        pairs = pairs.unionAll(_promising(_apart(opened, ["first", "second"], but=parted).distinct(), classes))
     found = verified(docs, classes, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), size)
     if found is None:
         return roots

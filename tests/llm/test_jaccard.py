@@ -65,6 +65,23 @@ def test_sets_are_those_of_words(spark):
     assert all((op._unpacked(op._packed(s)) >> np.uint64(16) == s >> np.uint64(16)).all() for s in sets)
 
 
+def test_parities_leave_every_link_open(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    sets = []
+    for n in (1, 4, 9, 60, 500, 3000):
+        base = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
+        sets += [base, *[np.unique(np.concatenate([base[k:], draw.integers(0, 1 << 64, k, np.uint64)])) for k in range(1, n, max(1, n // 12))]]
+    rows = [(k, len(s), op.parities(s).tolist()) for k, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "class long, n long, bits array<bigint>")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    left = {(r.a, r.b) for r in op._close(spark.createDataFrame(pairs, "a long, b long"), classes).collect()}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    links = {(a, b) for (a, b), both in shared.items() if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)}
+    assert len(links) > 20 and links <= left and len(left) < len(pairs) / 2
+
+
 def test_longer_prefixes_where_they_pay():
     import numpy as np
 
