@@ -47,7 +47,8 @@ from maskwright.llm.registry import query
 SHINGLE, PART = 5, (4, 5)
 #: Lists of more open sets than HOT are opened by a second member; sets in lists of more than TRY are tried first, in so many rounds.
 HOT, TRY, ROUNDS = 256, 8, 4
-#: A list is tried again where the last round moved this share of its open sets to another root. What is left goes through the join.
+#: A list is tried again where the last round moved this share of its open sets to another root, and rounds go on while each
+#: finds this share of all links found so far. What is left goes through the join.
 LIVE = 1 / 8
 #: Parities of a set, held as 64 to a number.
 BITS = 1024
@@ -377,7 +378,7 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
     posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
     twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
     lists = cut_lineage(posted.join(twice, "token").select("token", "class", "members"))
-    edges, roots, tried = None, None, None
+    edges, roots, tried, known = None, None, None, 0
     lists = _rooted(lists, None).withColumn("live", F.lit(True))
     for turn in range(rounds):
         large = lists.where((F.col("members") > most) & F.col("live"))
@@ -397,6 +398,10 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
         moved = _rooted(lists.drop("live").withColumnRenamed("root", "was"), roots)
         live = F.avg((F.col("root") != F.col("was")).cast("int")) >= LIVE
         lists = cut_lineage(_open(moved, ["token"], live.alias("live")).drop("was"))  # what lies in one component is done
+        new = found.count()
+        known += new
+        if new < LIVE * known:
+            break
     placed = cut_lineage(lists.drop("live").join(classes.select("class", *NUMBERS), "class"))
     large, calm = placed.where(F.col("members") > hot), placed.where(F.col("members") <= hot)
     # Members of crowded lists may be shared too: they count as if they were.

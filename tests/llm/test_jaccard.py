@@ -72,7 +72,7 @@ def test_parities_leave_every_link_open(spark):
     sets = []
     for n in (1, 4, 9, 60, 500, 3000):
         base = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
-        sets += [base, *[np.unique(np.concatenate([base[k:], draw.integers(0, 1 << 64, k, np.uint64)])) for k in range(1, n, max(1, n // 12))]]
+        sets += [base, *[np.unique(np.concatenate([base[k:], draw.integers(0, 1 << 64, k, np.uint64)])) for k in range(1, n, max(1, n // 40))]]
     rows = [(k, len(s), op.parities(s).tolist()) for k, s in enumerate(sets)]
     classes = spark.createDataFrame(rows, "class long, n long, bits array<bigint>")
     pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
