@@ -289,6 +289,41 @@ def report(items: DataFrame, texts: DataFrame, misses: DataFrame) -> DataFrame:
     return rows
 
 
+def summary_sections(items: DataFrame, summary: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """What a report begins with, as rows (section, key, metric, value): the metrics, then caught items by category and by place.
+
+    ``summary``: the one row of :func:`totals`; ``timings``: the one row of :func:`median_timings`. Counts are whole
+    numbers, ratios have four places; unaligned texts and faces are named only where there are any.
+    """
+    def entry(metric: str, value: str, given: str = "true") -> str:
+        return f"if({given}, named_struct('metric', '{metric}', 'value', cast({value} AS string)), NULL)"
+
+    counts = ("pages", "pii", "seen", "caught", "partial", "category_right", "spans", "false_positives", "near_misses", "near_misses_hidden")
+    ratios = ("recall", "recall_in_text", "precision", "iou", "over_redaction")
+    entries = [entry(c, c) for c in counts] + [entry(c, f"cast(round({c}, 4) AS decimal(9,4))") for c in ratios]
+    entries.append(entry("unaligned", "unaligned", "unaligned > 0"))
+    if "faces_expected" in summary.columns:
+        entries += [entry(c, c, "faces_expected > 0") for c in ("faces_expected", "faces_found")]
+
+    def metrics(one: DataFrame, key: str, rows: list[str]) -> DataFrame:
+        return one.selectExpr("'metrics' AS section", f"'{key}' AS key", f"inline(array_compact(array({', '.join(rows)})))")
+
+    rows = metrics(summary, "all", entries)
+    if timings is not None:
+        rows = rows.unionByName(metrics(timings, "median ms", [entry(c.removesuffix("_ms"), f"round({c})") for c in timings.columns]))
+    parts = by_category_and_place(items).selectExpr(
+        "concat('by ', section) AS section", "key",
+        f"inline(array({entry('caught', 'caught')}, {entry('pii', 'pii')}))",
+    )
+    return rows.unionByName(parts)
+
+
+def full_report(items: DataFrame, texts: DataFrame, misses: DataFrame, pages: DataFrame | None = None, timings: DataFrame | None = None) -> DataFrame:
+    """All sections of the report in one table, keys as text."""
+    head = summary_sections(items, totals(items, texts, misses, pages), timings)
+    return head.unionByName(report(items, texts, misses).withColumn("key", F.expr("cast(key AS string)")))
+
+
 def compare_runs(summary: DataFrame, config: str, metrics: list[str]) -> DataFrame:
     """One column per run, one row per metric. The runs compared are few and named."""
     tall = summary.selectExpr(

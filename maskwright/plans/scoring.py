@@ -134,6 +134,10 @@ def _frames(spark, folder):
     return score.score_items(items, places), score.text_scores(texts, places), score.near_misses(texts, misses)
 
 
+def _faces(spark, folder):
+    return documents(spark, folder).where("text_id % 4 = 0").selectExpr("text_id AS page", "text_id % 3 AS faces_expected", "text_id % 2 + 1 AS faces_found")
+
+
 @query(
     "score_totals",
     _SCORE + """SELECT CAST((SELECT count(*) FROM src) AS BIGINT) AS pages, CAST(i.pii AS BIGINT) AS pii, CAST(i.seen AS BIGINT) AS seen, CAST(i.caught AS BIGINT) AS caught,
@@ -145,8 +149,7 @@ FROM (SELECT count(*) AS pii, count(*) FILTER (seen) AS seen, count(*) FILTER (c
  (SELECT count(*) AS n FROM hid) h, (SELECT count(*) AS n FROM fp) f, (SELECT count(*) AS n, count(*) FILTER (hidden) AS h FROM miss) m, (SELECT sum(over_redacted) AS o, sum(outside_chars) AS c FROM over_) o""",
 )
 def score_totals(spark, folder):
-    pages = documents(spark, folder).where("text_id % 4 = 0").selectExpr("text_id AS page", "text_id % 3 AS faces_expected", "text_id % 2 + 1 AS faces_found")
-    totals = score.totals(*_frames(spark, folder), pages)
+    totals = score.totals(*_frames(spark, folder), _faces(spark, folder))
     return totals.withColumns({c: F.round(c, 6) for c in ("recall", "recall_in_text", "precision", "iou", "over_redaction")})
 
 
@@ -173,6 +176,36 @@ def score_report(spark, folder):
     return score.report(items, texts, misses).withColumnRenamed("key", "page")
 
 
+_COUNTS = (
+    ("pages", "(SELECT count(*) FROM src)"), ("pii", "i.pii"), ("seen", "i.seen"), ("caught", "i.caught"), ("partial", "i.partial"),
+    ("category_right", "i.cr"), ("spans", "h.n"), ("false_positives", "f.n"), ("near_misses", "m.n"), ("near_misses_hidden", "m.h"),
+    ("faces_expected", "faces.expected"), ("faces_found", "faces.found"),
+)
+_RATIOS = (
+    ("recall", "i.caught / i.pii"), ("recall_in_text", "i.caught / i.seen"), ("precision", "(h.n - f.n) / h.n"), ("iou", "i.iou"),
+    ("over_redaction", "o.o / o.c"),
+)
+
+
+@query(
+    "report_summary",
+    _SCORE + """SELECT 'metrics' AS section, 'all' AS key, unnest(r).metric AS metric, unnest(r).value AS value FROM (SELECT [@rows] AS r
+FROM (SELECT count(*) AS pii, count(*) FILTER (seen) AS seen, count(*) FILTER (caught) AS caught, count(*) FILTER (partial) AS partial, count(*) FILTER (category_right) AS cr, avg(iou) FILTER (seen) AS iou FROM scored) i,
+ (SELECT count(*) AS n FROM hid) h, (SELECT count(*) AS n FROM fp) f, (SELECT count(*) AS n, count(*) FILTER (hidden) AS h FROM miss) m, (SELECT sum(over_redacted) AS o, sum(outside_chars) AS c FROM over_) o,
+ (SELECT CAST(sum(text_id % 3) AS BIGINT) AS expected, CAST(sum(text_id % 2 + 1) AS BIGINT) AS found FROM src WHERE text_id % 4 = 0) faces) t
+UNION ALL SELECT section, key, metric, CAST(CASE metric WHEN 'pii' THEN pii ELSE caught END AS VARCHAR) FROM (
+ SELECT CASE WHEN grouping(category) = 0 THEN 'by category' ELSE 'by place' END AS section, coalesce(category, place) AS key, count(*) AS pii, count(*) FILTER (caught) AS caught
+ FROM scored GROUP BY GROUPING SETS ((category), (place))) g, (SELECT unnest(['caught', 'pii']) AS metric) n""".replace("@rows", ", ".join(
+        [f"{{'metric': '{name}', 'value': CAST({value} AS VARCHAR)}}" for name, value in _COUNTS]
+        + [f"{{'metric': '{name}', 'value': CAST(CAST(round({value}, 4) AS DECIMAL(9,4)) AS VARCHAR)}}" for name, value in _RATIOS]
+    )),
+)
+def report_summary(spark, folder):
+    """The report's first sections: metrics, by category, by place."""
+    items, texts, misses = _frames(spark, folder)
+    return score.summary_sections(items, score.totals(items, texts, misses, _faces(spark, folder)))
+
+
 @query(
     "compared_runs",
     _SCORE + """SELECT m.metric, CASE m.metric WHEN 'caught' THEN (SELECT count(*) FROM scored WHERE caught) WHEN 'pii' THEN (SELECT count(*) FROM scored) ELSE (SELECT count(*) FROM hid) END::DOUBLE AS all_kinds,

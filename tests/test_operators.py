@@ -228,3 +228,37 @@ def test_files_round_trip(spark, tmp_path):
         raise AssertionError("private data was written")
     except Exception as error:
         assert "unredacted PII" in str(error) and "a.b@x.com" not in str(error).split("Caused")[0][:300]
+
+
+def test_report_is_written_by_section_and_read_back(spark, tmp_path):
+    raw = spark.createDataFrame([("a", 0, "mail ann@x.org or 12345678"), ("b", 1, "nothing private"), ("b", 2, "")], "page string, text_id int, text string")
+    shown = spark.createDataFrame([("a", 0, "mail <PII:EMAIL:1> or 12345678"), ("b", 1, "nothing <PII:PHONE:2>")], "page string, text_id int, text string")
+    pairs = score.text_pairs(raw, shown, ["page", "text_id"])
+    assert sorted((r.page, r.raw, [(h.start, h.end) for h in r.hidden], r.unaligned) for r in pairs.collect()) == [
+        ("a", "mail ann@x.org or 12345678", [(5, 14)], False), ("b", "nothing private", [(8, 15)], False),
+    ]
+    truth = [("a", 0, "EMAIL", "ann@x.org", "text"), ("a", 1, "ACCOUNT", "12345678", "text"), ("b", 0, "EMAIL", "gone@x.org", "image")]
+    items = spark.createDataFrame(truth, "page string, item_no long, category string, value string, place string")
+    places = score.item_occurrences(pairs, items)
+    judged = score.score_items(items, places)
+    misses = score.near_misses(pairs, spark.createDataFrame([("b", 0, "private")], "page string, miss_no int, value string"))
+    timings = score.median_timings(spark.createDataFrame([(1.0, 2.0, 3.0, 4.0), (3.0, 2.0, 5.0, 4.0)], "observe_ms double, vision_ms double, names_ms double, redact_ms double"))
+    files.write_report(score.full_report(judged, score.text_scores(pairs, places), misses, timings=timings), str(tmp_path / "report"))
+    back = {(r.section, r.key, r.metric): r.value for r in spark.read.parquet(str(tmp_path / "report")).collect()}
+    assert back["metrics", "all", "pii"] == "3" and back["metrics", "all", "caught"] == "1" and back["metrics", "all", "recall"] == "0.3333"
+    assert back["metrics", "all", "precision"] == "0.5000" and back["metrics", "all", "near_misses_hidden"] == "1"
+    assert ("metrics", "all", "unaligned") not in back and float(back["metrics", "median ms", "names"]) == 4
+    assert (back["by category", "EMAIL", "caught"], back["by category", "EMAIL", "pii"]) == ("1", "2")
+    assert (back["by place", "image", "caught"], back["by place", "text", "pii"]) == ("0", "2")
+    assert back["missed", "a", "ACCOUNT #1"] == "readable" and back["missed", "b", "EMAIL #0"] == "not in the text (image)"
+    assert back["per page", "b", "false positives"] == "1"
+
+
+def test_audit_is_written_in_order(spark, tmp_path):
+    events = spark.createDataFrame([("t", k, f"e{k}") for k in (3, 0, 2, 1)] + [("u", 0, "x")], "task_id string, seq int, type string")
+    goals = spark.createDataFrame([("t", "buy <PII:NAME:1>"), ("u", None)], "task_id string, redacted_goal string")
+    files.write_audit(files.audit_rows(events, goals), str(tmp_path / "audit"), day="DATE '2026-01-02'")
+    assert [p.name for p in (tmp_path / "audit").glob("day=*")] == ["day=2026-01-02"]
+    lines = [json.loads(x) for f in sorted((tmp_path / "audit" / "day=2026-01-02").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [(r["task_id"], r["seq"]) for r in lines] == [("t", -1), ("t", 0), ("t", 1), ("t", 2), ("t", 3), ("u", -1), ("u", 0)]
+    assert json.loads(lines[0]["event"])["redacted_goal"] == "buy <PII:NAME:1>" and json.loads(lines[2]["event"])["type"] == "e1"
