@@ -27,7 +27,9 @@ def _known(spark: SparkSession, path: str, before: int) -> DataFrame:
     """The vault's rows of earlier batches. A vault that does not exist yet is begun with an empty folder."""
     try:
         return read_vault(spark, path).where(F.col("batch") < before)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a vault that is there but cannot be read must not be numbered anew
+            raise
         spark.createDataFrame([], VAULT).drop("batch").write.mode("ignore").parquet(f"{path}/batch=-1")
         return spark.createDataFrame([], VAULT)
 

@@ -262,3 +262,16 @@ def test_audit_is_written_in_order(spark, tmp_path):
     lines = [json.loads(x) for f in sorted((tmp_path / "audit" / "day=2026-01-02").glob("*.json")) for x in f.read_text().splitlines()]
     assert [(r["task_id"], r["seq"]) for r in lines] == [("t", -1), ("t", 0), ("t", 1), ("t", 2), ("t", 3), ("u", -1), ("u", 0)]
     assert json.loads(lines[0]["event"])["redacted_goal"] == "buy <PII:NAME:1>" and json.loads(lines[2]["event"])["type"] == "e1"
+
+
+def test_studies_are_read_from_files(spark, tmp_path):
+    call = {"latencyMs": 900, "repairs": 1, "promptTokens": 50, "completionTokens": 5}
+    run = {"task": "buy", "repeat": 0, "passed": True, "endedRight": True, "overreach": False, "leaked": 0, "steps": 3, "unverified": 0, "rateLimitWaits": 0, "errors": 0, "seconds": 7.5}
+    one = {"provider": "p", "model": "m", "label": "", "repeats": 1, "date": "2026-01-01", "serverErrors": 0, "runs": [{**run, "calls": [call, call]}]}
+    two = {**one, "label": "long", "runs": [{**run, "calls": []}, {**run, "repeat": 1, "refused": 2, "calls": [call]}]}
+    for k, study_file in enumerate((one, two)):
+        (tmp_path / f"{k}.json").write_text(json.dumps(study_file, indent=1))
+    parts = files.read_studies(spark, str(tmp_path))
+    assert sorted(r.study for r in parts["studies"].collect()) == ["p: m", "p: m (long)"]
+    assert sorted((r.study, r.repeat, r.refused) for r in parts["runs"].collect()) == [("p: m", 0, 0), ("p: m (long)", 0, 0), ("p: m (long)", 1, 2)]
+    assert sorted((r.study, r.repeat, r.call_no, r.latency_ms) for r in parts["calls"].collect()) == [("p: m", 0, 0, 900), ("p: m", 0, 1, 900), ("p: m (long)", 1, 0, 900)]

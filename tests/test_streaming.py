@@ -140,3 +140,16 @@ def test_unicode_values_share_a_key_with_the_batch(spark):
     values = ["Ａｂ－１（２）", "A.b, C", "ﬁne", "x y", "É-é"]
     want = [r.value_key for r in vault.value_key(spark.createDataFrame([(v,) for v in values], "text string")).collect()]
     assert [scopes.value_key(v) for v in values] == want
+
+
+def test_an_unreadable_vault_stops_the_stream(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from maskwright.streaming import redact
+
+    assert redact._known(spark, str(tmp_path / "new"), 0).count() == 0 and (tmp_path / "new" / "batch=-1").is_dir()
+    for name in ("batch=0", "other=0"):  # folders that do not agree on their columns
+        spark.range(1).write.parquet(str(tmp_path / "odd" / name))
+    with pytest.raises(PySparkException):
+        redact._known(spark, str(tmp_path / "odd"), 1).count()
