@@ -39,3 +39,13 @@ def test_same_as_sql(spark, kind):
 def test_records_are_read_in_batches(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_vault_of_is_the_vault_of_redact(spark):
+    from maskwright.operators import vault
+    from maskwright.plans.derived import records
+
+    texts = with_spans(records(spark, "/root/testdata/sf0.001").limit(200))
+    redacted, whole = vault.redact(texts, ["scope_id"], ["seq"], unicode_values=False)
+    assert sorted(map(str, vault.vault_of(texts, ["scope_id"], ["seq"], unicode_values=False).collect())) == sorted(map(str, whole.collect()))
+    assert all(len(r.spans) == len(r.replacements) for r in redacted.collect())
