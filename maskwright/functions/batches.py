@@ -178,3 +178,10 @@ def with_spans(df: DataFrame, text: str = "text", detectors: Sequence[D.Detector
     slow = found if merge is None else D.resolve_overlaps(found) if merge == "earliest" else D.first_wins(found)
     quick = df.withColumn(name, _column(text, detectors, merge, slow))
     return quick.withColumn(name, F.when(F.col(name).isNull(), F.expr(slow)).otherwise(F.col(name)))
+
+
+def with_candidates_in_context(df: DataFrame, text: str = "text", context: str = "context", name: str = "found") -> DataFrame:
+    """``df`` with the column ``name``: what ``candidates_in_context`` gives."""
+    prefix = D.context_prefix(context)
+    whole = with_spans(df.withColumn("_whole", F.expr(f"concat({prefix}, {text})")), "_whole", merge=None, name=name).drop("_whole")
+    return whole.withColumn(name, F.expr(f"if(coalesce({context}, '') = '', {name}, {D.out_of_context(name, f'length({prefix})')})"))

@@ -133,9 +133,8 @@ def detect(text: str, detectors: Sequence[Detector] = ALL) -> str:
     return resolve_overlaps(candidates(text, detectors))
 
 
-def candidates_in_context(text: str, context: str, detectors: Sequence[Detector] = ALL) -> str:
-    """Candidates of ``text`` read as "context: text". A match starting in the context is dropped whole."""
-    prefix = f"if(coalesce({context}, '') = '', '', concat({context}, ': '))"
+def out_of_context(found: str, shift: str) -> str:
+    """Candidates of "context: text" as candidates of the text, which begins at ``shift``; a match starting before it is dropped whole."""
     s = fresh("s")
 
     def moved(v: str) -> str:
@@ -145,10 +144,17 @@ def candidates_in_context(text: str, context: str, detectors: Sequence[Detector]
         )
         return f"transform(filter({v}.found, {s} -> {s}.start >= {v}.shift), {s} -> {one})"
 
-    def both(whole: str) -> str:
-        return let(f"named_struct('found', {candidates(whole, detectors)}, 'shift', length({prefix}))", moved)
+    return let(f"named_struct('found', {found}, 'shift', {shift})", moved)
+
+
+def context_prefix(context: str) -> str:
+    return f"if(coalesce({context}, '') = '', '', concat({context}, ': '))"
 
-    return let(f"concat({prefix}, {text})", both)
+
+def candidates_in_context(text: str, context: str, detectors: Sequence[Detector] = ALL) -> str:
+    """Candidates of ``text`` read as "context: text". A match starting in the context is dropped whole."""
+    prefix = context_prefix(context)
+    return let(f"concat({prefix}, {text})", lambda whole: out_of_context(candidates(whole, detectors), f"length({prefix})"))
 
 
 def detect_in_context(text: str, context: str, detectors: Sequence[Detector] = ALL) -> str:

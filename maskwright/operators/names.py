@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.detectors import candidates, field_category, rlike
+from maskwright.functions.batches import with_spans
+from maskwright.functions.detectors import EMAIL, field_category, rlike
 from maskwright.functions.spans import NO_SPANS, find, resolve_overlaps, span
 from maskwright.functions.sql import fresh, lit, once
 from maskwright.functions.urls import url_template
@@ -16,18 +17,22 @@ from maskwright.operators import vault as tokens
 from maskwright.operators.entities import NAME_PRIORITY
 from maskwright.operators.skew import join_salted
 from maskwright.operators.views import detect_view_texts, neighbour_label, view_texts
+from maskwright.session import cut_lineage
 
 GOAL_SEQ = -1
 
 
 def personal_views(texts: DataFrame, elements: DataFrame, faces: DataFrame | None = None) -> DataFrame:
     """``view_id, personal``: a face, a structured detection, a labelled one, or a filled-in private field."""
-    by_text = texts.selectExpr("view_id", f"size({candidates('text')}) > 0 AS hit")
-    near = neighbour_label(elements)
-    labelled = near.where("neighbour IS NOT NULL").selectExpr(
-        # The label itself was read with the texts; here only "neighbour: label" counts, prefix and all.
-        "view_id", f"size({candidates('concat(neighbour, chr(58), chr(32), label)')}) > 0 AS hit",
-    )
+    return _personal(with_spans(texts.select("view_id", "text"), merge=None), elements, faces)
+
+
+def _personal(read: DataFrame, elements: DataFrame, faces: DataFrame | None) -> DataFrame:
+    """:func:`personal_views` of texts whose candidates are known, as ``spans``."""
+    by_text = read.selectExpr("view_id", "size(spans) > 0 AS hit")
+    # The label itself was read with the texts; here only "neighbour: label" counts, prefix and all.
+    near = neighbour_label(elements).where("neighbour IS NOT NULL").selectExpr("view_id", "concat(neighbour, ': ', label) AS text")
+    labelled = with_spans(near, merge=None).selectExpr("view_id", "size(spans) > 0 AS hit")
     fields = elements.where("trim(value) <> ''").selectExpr(
         "view_id", f"(coalesce(input_type = 'password', false) OR {field_category('input_type', 'autocomplete')} IS NOT NULL) AS hit"
     )
@@ -75,9 +80,12 @@ def known_key(value: str) -> str:
 
 def email_names(texts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, value, category`` of names spelled out by addresses in the texts."""
-    from maskwright.functions.detectors import EMAIL
+    return _spelled(with_spans(texts.select(*keys, "text"), detectors=(EMAIL,), merge=None), keys)
+
 
-    found = texts.selectExpr(*keys, f"explode({once(candidates('text', (EMAIL,)))}) AS s")
+def _spelled(read: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`email_names` of texts whose candidates are known, as ``spans``."""
+    found = read.selectExpr(*keys, f"explode(filter(spans, s -> s.category = {lit(EMAIL.category)})) AS s")
     return found.selectExpr(*keys, f"{name_from_email('s.text')} AS value", "'NAME' AS category").where("value IS NOT NULL")
 
 
@@ -226,14 +234,18 @@ def redact_private(
     texts = shown.withColumn("view_seq", F.expr("cast(view_seq AS bigint)")).unionByName(asked).where("text IS NOT NULL").selectExpr(
         "*", "concat_ws('|', view_id, ordinal, part) AS text_id", "cast(ordinal AS bigint) * 4 + part_order AS text_order"
     )
+    # Read once for all that follows: the texts, their patterns and what the finder says.
+    read = cut_lineage(with_spans(texts, merge=None).withColumn("found", F.expr(once(finder("text")))))
+    texts = read.drop("spans", "found")
     # What an address or a field spells out is learned before the names of the same view.
-    spelled = email_names(texts, ["task_id", "view_seq"]).unionByName(
+    spelled = _spelled(read, ["task_id", "view_seq"]).unionByName(
         field_names(texts.where("part = 'value'").withColumnRenamed("text", "value"), ["task_id", "view_seq"])
     ).withColumn("learn_order", F.lit(0).cast("bigint"))
-    personal = personal_views(texts.where("part NOT IN ('goal', 'after', 'extract')"), parts, faces)
-    found = texts.selectExpr("text_id", f"{finder('text')} AS found")
-    chosen, learned = choose_and_learn(texts, personal, found, spelled)
-    spans = detect_view_texts(with_names(chosen, learned), "names").drop("names", "personal")
+    personal = _personal(read.where("part NOT IN ('goal', 'after', 'extract')"), parts, faces)
+    chosen, learned = choose_and_learn(texts, personal, read.select("text_id", "found"), spelled)
+    chosen, learned = cut_lineage(chosen), cut_lineage(learned)
+    # Redaction reads the texts twice: the joins that found their spans are not to run again for it.
+    spans = cut_lineage(detect_view_texts(with_names(chosen, learned), "names").drop("names", "personal"))
     redacted, vault = tokens.redact(spans, ["task_id"], ["view_seq", "text_order"], bucket_rows=1)
     urls = own.selectExpr("view_id AS url_id", "task_id", "cast(view_seq AS bigint) AS view_seq", f"{url_template('url')} AS u")
     paths = hide_names_in_path(urls.selectExpr("url_id", "task_id", "view_seq", "u.path_template AS path_template"), learned)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.detectors import candidates_in_context, field_spans, normalize_ocr
+from maskwright.functions.batches import with_candidates_in_context
+from maskwright.functions.detectors import field_spans, normalize_ocr
 from maskwright.functions.spans import SPAN_TYPE, resolve_overlaps
 from maskwright.functions.sql import let, once
 from maskwright.functions.urls import url_template
@@ -132,11 +133,12 @@ def detect_view_texts(texts: DataFrame, names: str | None = None) -> DataFrame:
     """Resolved spans of each text: the field's own word first, else patterns in context, with names if given."""
     from maskwright.operators.entities import extend_address
 
-    patterns = candidates_in_context("text", "context")
+    patterns = "_patterns"
     if names:
         patterns = f"concat({patterns}, coalesce({names}, cast(array() AS {SPAN_TYPE})))"
     found = let(resolve_overlaps(patterns), lambda v: extend_address("text", v)) if names else resolve_overlaps(patterns)
-    return texts.withColumn("spans", F.expr(once(f"coalesce({field_spans('text', 'input_type', 'autocomplete')}, {found})")))
+    read = with_candidates_in_context(texts, name="_patterns")
+    return read.withColumn("spans", F.expr(once(f"coalesce({field_spans('text', 'input_type', 'autocomplete')}, {found})"))).drop("_patterns")
 
 
 def redact_view(

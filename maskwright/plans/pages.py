@@ -11,7 +11,7 @@ from maskwright.functions.sql import lit, once
 from maskwright.operators import entities, names, views as view_ops
 from maskwright.plans import checks as C
 from maskwright.plans.derived import LINES_SQL, VIEWS_SQL, as_sql, documents, lines, select, views
-from maskwright.plans.registry import query, table
+from maskwright.plans.registry import query, spread, table
 from maskwright.sources import html
 
 # --- pages to elements ---------------------------------------------------------
@@ -303,7 +303,7 @@ _NAMES_SQL = as_sql(_NAMES, "orders")
 
 
 def _named(spark, folder):
-    return select(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), _NAMES)
+    return select(spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")), _NAMES)
 
 
 @query("cue_texts", f"SELECT DISTINCT text FROM {_NAMES_SQL} WHERE view_id % 5 IN (0, 2)")
@@ -402,7 +402,7 @@ def private_views(spark, folder):
     nothing = [f"cast(NULL AS string) AS {c}" for c in ("value", "hint", "input_type", "autocomplete")]
     elements = raw.selectExpr("view_id", "0 AS ordinal", "'text' AS role", "text AS label", *nothing, "'dom' AS source")
     goals = raw.select("task_id").distinct().selectExpr("task_id", f"{_GOAL} AS text")
-    late = table(spark, folder, "orders").selectExpr("o_orderkey AS view_id", "'after' AS part", f"{_AFTER} AS text")
+    late = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS view_id", "'after' AS part", f"{_AFTER} AS text")
     def finder(t):
         people = find(t, lit("Q[a-j]+ Rao"))
         person = "m -> named_struct('start', m.start, 'end', m.end, 'label', 'person', 'score', 0.9D, 'text', m.text)"

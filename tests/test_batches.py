@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as D
-from maskwright.functions.batches import with_spans
+from maskwright.functions.batches import with_candidates_in_context, with_spans
 from maskwright.functions.sql import once
 from maskwright.plans import catalog
 
@@ -49,3 +49,30 @@ def test_vault_of_is_the_vault_of_redact(spark):
     redacted, whole = vault.redact(texts, ["scope_id"], ["seq"], unicode_values=False)
     assert sorted(map(str, vault.vault_of(texts, ["scope_id"], ["seq"], unicode_values=False).collect())) == sorted(map(str, whole.collect()))
     assert all(len(r.spans) == len(r.replacements) for r in redacted.collect())
+
+
+def test_context_same_as_sql(spark):
+    contexts = [None, "", "Date of birth", "Account number 12345678", "Phone", "\x01", "K", "mail to a@b.co"]
+    rows = [(i, t, contexts[i % len(contexts)]) for i, t in enumerate(odd_texts())]
+    texts = spark.createDataFrame(rows, "text_id bigint, text string, context string")
+    both = with_candidates_in_context(texts).withColumn("want", F.expr(once(D.candidates_in_context("text", "context"))))
+    found = both.select("text", "context", "found", "want").collect()
+    assert any(r.want and r.context for r in found)
+    assert [(r.text, r.context) for r in found if (r.found or []) != (r.want or [])] == []
+
+
+@pytest.mark.parametrize("name", ["private_views"])
+def test_views_are_detected_in_batches_and_once(spark, monkeypatch, name):
+    """No detection is left in what is read after the texts were written with their spans."""
+    from maskwright.operators import names
+
+    plans = []
+
+    def keep(frame, cut=names.cut_lineage):
+        plans.append((set(frame.columns), frame._jdf.queryExecution().executedPlan().toString()))
+        return cut(frame)
+
+    monkeypatch.setattr(names, "cut_lineage", keep)
+    last = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert any("ArrowEvalPython [run(" in plan for _, plan in plans)
+    assert "ArrowEvalPython [run(" not in last and "spans" in set.union(*[columns for columns, _ in plans])
