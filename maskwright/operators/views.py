@@ -16,6 +16,7 @@ from maskwright.functions.spans import SPAN_TYPE, resolve_overlaps
 from maskwright.functions.sql import let, once
 from maskwright.functions.urls import url_template
 from maskwright.operators import vault as tokens
+from maskwright.session import cut_lineage
 
 # Elements farther than this share of the view past its edges are only counted, and at most this many are listed.
 VIEW_MARGIN = 0.25
@@ -151,7 +152,8 @@ def redact_view(
     the title last.
     """
     texts = detect_view_texts(view_texts(views, elements)).join(views.select("view_id", scope, order), "view_id")
-    keyed = texts.withColumn("text_id", F.expr("concat_ws('|', view_id, ordinal, part)"))
+    # Redaction reads the texts twice: neither their windows nor the join are to run again for it.
+    keyed = cut_lineage(texts.withColumn("text_id", F.expr("concat_ws('|', view_id, ordinal, part)")))
     done, vault = tokens.redact(keyed, [scope], [order, "ordinal", "part_order"], bucket_rows=1)  # each cycle is numbered by itself
     wide = done.where("part <> 'title'").groupBy("view_id", "ordinal").agg(
         *[F.expr(f"any_value(redacted) FILTER (WHERE part = '{p}')").alias(f"_{p}") for p in ("label", "value", "hint")]

@@ -61,17 +61,18 @@ def test_context_same_as_sql(spark):
     assert [(r.text, r.context) for r in found if (r.found or []) != (r.want or [])] == []
 
 
-@pytest.mark.parametrize("name", ["private_views"])
+@pytest.mark.parametrize("name", ["private_views", "redacted_views"])
 def test_views_are_detected_in_batches_and_once(spark, monkeypatch, name):
     """No detection is left in what is read after the texts were written with their spans."""
-    from maskwright.operators import names
+    from maskwright.operators import names, views
 
     plans = []
 
-    def keep(frame, cut=names.cut_lineage):
+    def keep(frame, cut=views.cut_lineage):
         plans.append((set(frame.columns), frame._jdf.queryExecution().executedPlan().toString()))
         return cut(frame)
 
+    monkeypatch.setattr(views, "cut_lineage", keep)
     monkeypatch.setattr(names, "cut_lineage", keep)
     last = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert any("ArrowEvalPython [run(" in plan for _, plan in plans)
