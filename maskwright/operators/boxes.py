@@ -22,6 +22,8 @@ MAX_TARGETS = 4
 CROWD = 32
 #: Key of the views below it, whose rows all share one cell.
 CALM = -1000
+#: Levels of widths are so far apart in the key of a grid that levels of heights fit between.
+LEVELS = 10000
 CELL = ["_level", "_cx", "_cy"]
 
 
@@ -77,25 +79,39 @@ def _crowds(frame: DataFrame, keys: list[str], crowd: int) -> DataFrame:
 def box_pairs(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:
     """Elements (a) beside the boxes (b) of their view and role that can score above ``above``.
 
-    An IoU above t needs the longer sides within 1 / t of each other, and centres nearer than the longer side. So the
-    sides are cut in levels of that ratio, and a pair meets once: in the grid of its larger level, where the centres
-    lie in neighbouring cells. An element is repeated 18 times for it and a box twice, whatever the view holds.
+    An IoU above t needs the same of the intervals on either axis alone: widths and heights each within 1 / t of each
+    other, and centres nearer, on each axis, than (1 - t) / (1 + t) of the mean side. So widths and heights are cut in
+    levels of that ratio, and a pair meets once: in the grid of its larger width and its larger height, whose cells are
+    twice that distance. An element is repeated 16 times for it at most and a box 4 times, whatever the view holds.
     """
     keys = ["view_id", "role"]
     left = elements.select(*keys, "ordinal", F.col("bbox").alias("a"))
     right = boxes.select(*keys, "box_no", F.col("bbox").alias("b"), F.col("confidence").alias("box_confidence"))
     if not 0.1 <= above < 1:  # close centres alone can be enough
         return left.join(right, keys)
-    base = 1.001 / above  # a little more, so that rounding parts no pair
-    l, i, j = fresh("l"), fresh("i"), fresh("j")
-    levels = "array({0}, {0} + 1)"
-    around = _cell("(a.x + a.w / 2)", "(a.y + a.h / 2)", l, base, i, j)
-    near = f"flatten(transform(array(-1, 0, 1), {i} -> transform(array(-1, 0, 1), {j} -> {around})))"
+    base, reach = 1.001 / above, 1.001 * (1 - above) / (1 + above)  # a little more, so that rounding parts no pair
+    l, i, u, v = fresh("l"), fresh("i"), fresh("u"), fresh("v")
+    far = f"({reach!r}D * pow({base!r}D, {l} + 1))"
+
+    def level(side: str) -> str:
+        return f"cast(floor(ln({side}) / {math.log(base)!r}D) AS int)"
+
+    def along(box: str, at: str, side: str, about: bool) -> str:
+        centre, own = f"({box}.{at} + {box}.{side} / 2)", level(f"{box}.{side}")
+        first, last = ((f"{centre} - {far}", f"{centre} + {far}") if about else (centre, centre))
+        cells = f"sequence(cast(floor(({first}) / (2.001D * {far})) AS bigint), cast(floor(({last}) / (2.001D * {far})) AS bigint))"
+        return f"flatten(transform(array({own}, {own} + 1), {l} -> transform({cells}, {i} -> named_struct('l', {l}, 'c', {i}))))"
+
+    def grid(box: str, about: bool) -> str:
+        cell = f"named_struct('_level', {u}.l * {LEVELS} + {v}.l, '_cx', {u}.c, '_cy', {v}.c)"
+        return f"flatten(transform({along(box, 'x', 'w', about)}, {u} -> transform({along(box, 'y', 'h', about)}, {v} -> {cell})))"
+
     crowds = _crowds(boxes, keys, crowd)
-    asked = _celled(left, crowds, keys, f"flatten(transform({levels.format(_level('a', base))}, {l} -> {near}))")
-    held = _celled(right, crowds, keys, f"transform({levels.format(_level('b', base))}, {l} -> {_cell('(b.x + b.w / 2)', '(b.y + b.h / 2)', l, base)})")
+    own = {f"_{b}{side}": F.expr(level(f"{b}.{side}")) for b in "ab" for side in "wh"}
+    asked = _celled(left.withColumns({k: e for k, e in own.items() if k[1] == "a"}), crowds, keys, grid("a", True))
+    held = _celled(right.withColumns({k: e for k, e in own.items() if k[1] == "b"}), crowds, keys, grid("b", False))
     met = asked.join(held, [*keys, *CELL])
-    return met.where(f"_level = {CALM} OR _level = greatest({_level('a', base)}, {_level('b', base)})").drop(*CELL)
+    return met.where(f"_level = {CALM} OR _level = greatest(_aw, _bw) * {LEVELS} + greatest(_ah, _bh)").drop(*CELL, *own)
 
 
 def best_boxes(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:

@@ -51,6 +51,15 @@ def test_a_crowded_view_compares_neighbours_only(spark):
     assert boxes.best_regions(grid, read).where("region.region_no = ordinal").count() == 10_000
 
 
+def test_flat_boxes_meet_by_their_height_too(spark):
+    rows = spark.range(4000).selectExpr(
+        "'v' AS view_id", "cast(id AS int) AS ordinal", "cast(id AS int) AS box_no", "'link' AS role", "0.5D AS confidence",
+        "named_struct('x', 0D, 'y', id * 3D, 'w', 120D, 'h', 2D) AS bbox",
+    )
+    assert boxes.box_pairs(rows, rows).count() < 4000 * 10
+    assert boxes.best_boxes(rows, rows).where("box.box_no = ordinal").count() == 4000
+
+
 def test_stall_streaks_of_one_long_task(spark):
     draw = random.Random(5)
     steps = [("t", k, draw.random() < 0.2, draw.random() < 0.3) for k in range(3000)]
