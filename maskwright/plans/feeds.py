@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskwright.functions.sql import once
 from maskwright.functions.tokens import describe_counts
 from maskwright.operators.study import study_report
-from maskwright.plans.registry import query, table
+from maskwright.plans.registry import query, spread, table
 from maskwright.sources import files
 from maskwright.streaming import feed
 
@@ -148,7 +149,8 @@ UNION ALL SELECT 'reject', 'f' || o_orderkey, 'page' FROM orders WHERE o_orderke
 )
 def truth_tables(spark, folder):
     """Truth documents to items, look-alikes and rejects."""
-    raw = table(spark, folder, "orders").selectExpr("concat('f', o_orderkey) AS file", f"from_json({_TRUTH_JSON}, '{files.TRUTH}') AS d").selectExpr("file", "d.*")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+    raw = orders.selectExpr("concat('f', o_orderkey) AS file", once(f"from_json({_TRUTH_JSON}, '{files.TRUTH}')") + " AS d").selectExpr("file", "d.*")
     parts = files.truth_tables(raw)
     return (
         parts["items"].selectExpr("'item' AS kind", "page", "concat(category, ' ', value) AS detail")

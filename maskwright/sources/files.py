@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.sql import lits
 from maskwright.operators import leaks
+from maskwright.session import cut_lineage
 
 TRUTH = "page STRING, about STRING, pii ARRAY<STRUCT<category: STRING, value: STRING, `where`: STRING>>, notPii ARRAY<STRING>, faces VARIANT"
 STUDY = (
@@ -42,7 +43,8 @@ def truth_tables(raw: DataFrame) -> dict[str, DataFrame]:
         "faces": "faces IS NULL OR schema_of_variant(faces) RLIKE '^(BIGINT|DOUBLE|DECIMAL)'",
     }
     checks = ", ".join(f"if(coalesce({rule}, false), NULL, '{name}')" for name, rule in rules.items())
-    judged = raw.withColumn("issues", F.expr(f"array_compact(array({checks}))"))
+    # Four tables come out of it: documents are parsed and judged once.
+    judged = cut_lineage(raw.withColumn("issues", F.expr(f"array_compact(array({checks}))")))
     good = judged.where("size(issues) = 0")
     return {
         "pages": good.selectExpr("page", "about", "cast(faces AS double) AS faces"),

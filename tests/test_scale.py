@@ -93,3 +93,10 @@ def test_a_sweep_is_one_run_per_cutoff(spark):
     scores = {s for _, s, _ in spans if s is not None} | {v for _, v in items if v is not None}
     assert sorted(map(tuple, every)) == sorted(run(["a", "b", "only items"], s) for s in scores)
     assert score.cutoff_sweep(frames[0].limit(0), frames[1].limit(0), [], [0.5]).collect() == [(0.5, 0, 0, 0, 0, 1.0, 1.0)]
+
+
+def test_truth_documents_are_parsed_once(spark):
+    from maskwright.plans import catalog
+
+    plan = catalog.QUERIES["truth_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "schema_of_variant" not in plan
