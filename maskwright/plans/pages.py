@@ -21,7 +21,7 @@ _TAGS = (("link", "<a[ >]"), ("listitem", "<li[ >]"), ("list", "<(ul|ol)[ >]"),
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages").selectExpr("page_id AS view_id", "html")
+    return spread(table(spark, folder, "pages").selectExpr("page_id AS view_id", "html"))
 
 
 @query("page_elements")

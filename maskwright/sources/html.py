@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
 from maskwright.functions.sql import fresh, let, lit, lits, lookup, once
+from maskwright.session import cut_lineage
 
 # Tags without content, tags never rendered, and tags whose start closes an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -362,6 +363,7 @@ def html_elements(pages: DataFrame) -> DataFrame:
 
 def with_children(elements: DataFrame) -> DataFrame:
     """Each element with the ids of its children, from the nearest kept ancestor of every element."""
+    elements = cut_lineage(elements)  # read on both sides of the join: pages are parsed once
     children = (
         elements.where("parent_id IS NOT NULL")
         .groupBy("view_id", "parent_id")

@@ -100,3 +100,10 @@ def test_truth_documents_are_parsed_once(spark):
 
     plan = catalog.QUERIES["truth_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "from_json" not in plan and "schema_of_variant" not in plan
+
+
+def test_pages_are_parsed_once_for_children(spark):
+    from maskwright.plans import catalog
+
+    plan = catalog.QUERIES["list_children"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan
