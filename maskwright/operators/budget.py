@@ -66,14 +66,20 @@ def _number(value: str) -> str:
     return f"if({value} = floor({value}), cast(cast({value} AS bigint) AS string), cast({value} AS string))"
 
 
+def _box(b: str) -> str:
+    """x,y,w,h; a missing side is left out."""
+    sides = [f"{b}.{side}" for side in "xywh"]
+    numbers = [_number(side) for side in sides]
+    return f"if(isnull({' + '.join(sides)}), concat_ws(',', {', '.join(numbers)}), concat({", ',', ".join(numbers)}))"
+
+
 def render_element(e: str) -> str:
     """One line per element: id, role, name, value, hint, box, states."""
-    box = ", ".join(_number(f"{e}.bbox.{side}") for side in "xywh")
     return (
         f"concat({e}.id, ' ', {e}.role, if(coalesce({e}.label, '') <> '', concat(' ', {json_string(e + '.label')}), ''), "
         f"if(coalesce({e}.value, '') <> '' AND NOT {e}.value <=> {e}.label, concat(' = ', {json_string(e + '.value')}), ''), "
         f"if(coalesce({e}.hint, '') <> '', concat(' hint ', {json_string(e + '.hint')}), ''), "
-        f"' [', concat_ws(',', {box}), ']', if(size({e}.state) > 0, concat(' (', array_join({e}.state, ', '), ')'), ''), "
+        f"' [', {_box(e + '.bbox')}, ']', if(size({e}.state) > 0, concat(' (', array_join({e}.state, ', '), ')'), ''), "
         f"if({e}.source = 'vision', ' {{vision}}', ''))"
     )
 
@@ -81,7 +87,8 @@ def render_element(e: str) -> str:
 def without_reason(action: str) -> str:
     """An action's JSON without its reason: what was done, not why."""
     member = r'(?<!\\)"reason"\s*:\s*"(?:[^"\\]|\\.)*"'
-    return f"regexp_replace(regexp_replace({action}, {lit(member + r'\s*,\s*')}, ''), {lit(r',?\s*' + member)}, '')"
+    bare = f"regexp_replace(regexp_replace({action}, {lit(member + r'\s*,\s*')}, ''), {lit(r',?\s*' + member)}, '')"
+    return f"if(contains({action}, {lit(chr(34) + 'reason' + chr(34))}), {bare}, {action})"
 
 
 def render_step(s: str, number: str) -> str:
@@ -101,16 +108,15 @@ def _not_listed(above: str, below: str) -> str:
 def render_regions(regions: str) -> str:
     """The line on hidden parts of images. ``regions``: array of category and bbox (x, y, w, h)."""
     r = fresh("r")
-    box = ", ".join(_number(f"{r}.bbox.{side}") for side in "xywh")
-    each = f"concat({r}.category, ' at [', concat_ws(',', {box}), ']')"
+    each = f"concat({r}.category, ' at [', {_box(r + '.bbox')}, ']')"
     return f"if(size({regions}) > 0, concat({lit(REGIONS)}, array_join(transform({regions}, {r} -> {each}), '; '), '\\n'), '')"
 
 
-def render_request(shortened: str = "false", regions: str | None = None) -> str:
+def render_request(shortened: str = "false", regions: str | None = None, elements: str = "elements") -> str:
     """The whole request as text (its fixed words are the format, and stand here in the order they come in), from a row of goal, title, origin, path_template, has_query, vw, vh, elements, above,
     below, tokens (array), known_values (map), history (array of action, verified, note)."""
     e, s, i, k = fresh("e"), fresh("s"), fresh("i"), fresh("k")
-    lines = f"if(size(elements) = 0, '(none found)\\n', array_join(transform(elements, {e} -> concat({render_element(e)}, '\\n')), ''))"
+    lines = f"if(size({elements}) = 0, '(none found)\\n', array_join(transform({elements}, {e} -> concat({render_element(e)}, '\\n')), ''))"
     values = (
         f"if(size(known_values) > 0, concat('\\nKnown values:\\n', array_join(transform(array_sort(map_entries(known_values)), {k} -> concat({k}.key, ' = ', "
         f"{json_string(k + '.value')}, '\\n')), '')), '')"
@@ -137,11 +143,16 @@ def fit(requests: DataFrame, budget: str = "budget", system_chars: str = "system
     farthest first; old notes dropped; text to 100, then 60; controls out of
     view dropped, farthest first; text to 30. Controls in view always stay.
     """
-    e, a, s, i, x = fresh("e"), fresh("a"), fresh("s"), fresh("i"), fresh("x")
+    e, r, a, s, i, x = fresh("e"), fresh("r"), fresh("a"), fresh("s"), fresh("i"), fresh("x")
+    own = f"{r}.e"
 
-    def line_chars(elements: str) -> str:
+    # An element travels with the length of its line, so that only what a stage changes is written out again.
+    def measured(v: str) -> str:
+        return f"named_struct('e', {v}, 'n', length({render_element(v)}) + 1)"
+
+    def line_chars(rows: str) -> str:
         n = fresh("n")
-        return f"aggregate({elements}, 0, ({a}, {n}) -> {a} + length({render_element(n)}) + 1)"
+        return f"aggregate({rows}, 0, ({a}, {n}) -> {a} + {n}.n)"
 
     def step_chars(history: str) -> str:
         n = fresh("n")
@@ -153,41 +164,48 @@ def fit(requests: DataFrame, budget: str = "budget", system_chars: str = "system
     def fits(chars: str) -> str:
         return f"({estimate_tokens('_sys', chars)} <= _budget)"
 
-    start = requests.withColumns({"_budget": F.expr(budget), "_sys": F.expr(system_chars), "_user": F.expr(f"length({render_request()})")})
-    start = start.withColumn("trimmed", F.expr(f"NOT {fits('_user')}"))
-    plain = f"({line_chars('elements')} + if(size(elements) = 0, 13, 0) + length({_not_listed('above', 'below')}) + {step_chars('history')})"
+    plain = f"({line_chars('_rows')} + if(size(_rows) = 0, 13, 0))"
+    start = requests.withColumns(
+        {
+            "_budget": F.expr(budget), "_sys": F.expr(system_chars), "_rows": F.expr(f"transform(elements, {e} -> {measured(e)})"),
+            "_bare": F.expr(f"length({render_request(elements='slice(elements, 1, 0)')}) - 13"),
+        }
+    ).withColumn("_user", F.expr(f"_bare + {plain}"))
     df = start.withColumns(
-        {"_fixed": F.expr(f"_user - {plain} + {len(SHORTENED) + 1}"), "_cut": F.expr("cast(array() AS array<string>)"), "left_out": F.lit(0), "notes_dropped": F.lit(0)}
-    )
+        {
+            "trimmed": F.expr(f"NOT {fits('_user')}"), "_fixed": F.expr(f"_bare - length({_not_listed('above', 'below')}) - {step_chars('history')} + {len(SHORTENED) + 1}"),
+            "_cut": F.expr("cast(array() AS array<string>)"), "left_out": F.lit(0), "notes_dropped": F.lit(0),
+        }
+    ).drop("elements", "_bare", "_user")
     df = df.withColumn("_ok", F.expr("NOT trimmed"))
 
     def remeasure(frame: DataFrame) -> DataFrame:
-        chars = total(line_chars("elements"), "size(elements)", "above", "below", step_chars("history"))
+        chars = total(line_chars("_rows"), "size(_rows)", "above", "below", step_chars("history"))
         return frame.withColumn("_ok", F.expr(f"_ok OR {fits(chars)}"))
 
     def cap(frame: DataFrame, limit: int, everything: bool) -> DataFrame:
-        long = f"(length(coalesce({e}.label, '')) > {limit} OR length(coalesce({e}.value, '')) > {limit})"
-        chosen = long if everything else f"({long} AND NOT {is_control(e)})"
+        long = f"(length(coalesce({own}.label, '')) > {limit} OR length(coalesce({own}.value, '')) > {limit})"
+        chosen = long if everything else f"({long} AND NOT {is_control(own)})"
         new = (
-            f"if({chosen}, named_struct('id', {e}.id, 'role', {e}.role, 'label', {cut_text(e + '.label', limit)}, "
-            f"'value', {cut_text(e + '.value', limit)}, 'hint', {e}.hint, 'bbox', {e}.bbox, 'state', {e}.state, 'source', {e}.source), {e})"
+            f"named_struct('id', {own}.id, 'role', {own}.role, 'label', {cut_text(own + '.label', limit)}, "
+            f"'value', {cut_text(own + '.value', limit)}, 'hint', {own}.hint, 'bbox', {own}.bbox, 'state', {own}.state, 'source', {own}.source)"
         )
         return frame.withColumns(
             {
-                "_cut": F.expr(f"if(_ok, _cut, array_union(_cut, transform(filter(elements, {e} -> {chosen}), {e} -> {e}.id)))"),
-                "elements": F.expr(f"if(_ok, elements, transform(elements, {e} -> {new}))"),
+                "_cut": F.expr(f"if(_ok, _cut, array_union(_cut, transform(filter(_rows, {r} -> {chosen}), {r} -> {own}.id)))"),
+                "_rows": F.expr(f"if(_ok, _rows, transform(_rows, {r} -> if({chosen}, {let(new, measured)}, {r})))"),
             }
         )
 
     def leave_out(frame: DataFrame, keep: str) -> DataFrame:
         far = (
-            f"array_sort(transform(filter(transform(elements, ({e}, {i}) -> named_struct('i', {i}, 'e', {e})), {e} -> NOT ({keep.replace('@', e + '.e')})), "
-            f"{e} -> named_struct('d', -{distance_from_view(e + '.e', 'vh')}, 'i', {e}.i, 'chars', length({render_element(e + '.e')}) + 1, "
-            f"'up', {e}.e.bbox.y < 0)))"
+            f"array_sort(transform(filter(transform(_rows, ({r}, {i}) -> named_struct('i', {i}, 'r', {r})), {e} -> NOT ({keep.replace('@', e + '.r.e')})), "
+            f"{e} -> named_struct('d', -{distance_from_view(e + '.r.e', 'vh')}, 'i', {e}.i, 'chars', {e}.r.n, "
+            f"'up', {e}.r.e.bbox.y < 0)))"
         )
         now = total(f"{s}.chars", f"{s}.n", f"{s}.above", f"{s}.below", f"{s}.notes")
         dropped = (
-            f"aggregate({far}, named_struct('chars', {line_chars('elements')}, 'n', size(elements), 'above', cast(above AS bigint), 'below', cast(below AS bigint), "
+            f"aggregate({far}, named_struct('chars', {line_chars('_rows')}, 'n', size(_rows), 'above', cast(above AS bigint), 'below', cast(below AS bigint), "
             f"'notes', {step_chars('history')}, 'gone', cast(array() AS array<int>)), ({s}, {x}) -> if({fits(now)}, {s}, named_struct("
             f"'chars', {s}.chars - {x}.chars, 'n', {s}.n - 1, 'above', {s}.above + if({x}.up, 1, 0), 'below', {s}.below + if({x}.up, 0, 1), "
             f"'notes', {s}.notes, 'gone', concat({s}.gone, array({x}.i)))))"
@@ -195,7 +213,7 @@ def fit(requests: DataFrame, budget: str = "budget", system_chars: str = "system
         out = frame.withColumn("_drop", F.expr(f"if(_ok, NULL, {dropped})"))
         return out.withColumns(
             {
-                "elements": F.expr(f"if(_drop IS NULL, elements, filter(elements, ({e}, {i}) -> NOT array_contains(_drop.gone, {i})))"),
+                "_rows": F.expr(f"if(_drop IS NULL, _rows, filter(_rows, ({r}, {i}) -> NOT array_contains(_drop.gone, {i})))"),
                 "above": F.expr("coalesce(_drop.above, above)"), "below": F.expr("coalesce(_drop.below, below)"),
                 "left_out": F.expr("left_out + coalesce(size(_drop.gone), 0)"),
             }
@@ -217,5 +235,6 @@ def fit(requests: DataFrame, budget: str = "budget", system_chars: str = "system
     df = remeasure(cap(df, 60, False))
     df = remeasure(leave_out(df, in_view("@", height)))
     df = cap(df, 30, False)
-    kept = f"size(array_intersect(_cut, transform(elements, {e} -> {e}.id)))"
-    return df.withColumn("shortened", F.expr(kept)).drop("_budget", "_sys", "_user", "_fixed", "_cut", "_ok")
+    kept = f"size(array_intersect(_cut, transform(_rows, {r} -> {own}.id)))"
+    done = df.withColumns({"elements": F.expr(f"transform(_rows, {r} -> {own})"), "shortened": F.expr(kept)})
+    return done.select(*requests.columns, "trimmed", "left_out", "notes_dropped", "shortened")

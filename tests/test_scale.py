@@ -107,3 +107,12 @@ def test_pages_are_parsed_once_for_children(spark):
 
     plan = catalog.QUERIES["list_children"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan
+
+
+def test_fitting_writes_out_only_changed_lines(spark):
+    from maskwright.operators import budget
+    from maskwright.plans import measures
+
+    # Each stage that wrote all lines again held the line expression with its boxes once or more.
+    plan = budget.fit(measures._requests(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(" {vision}") <= 6
