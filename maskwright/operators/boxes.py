@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import boxes as B
 from maskwright.functions.patterns import SPACE
 from maskwright.functions.sql import fresh, lit
+from maskwright.session import cut_lineage
 
 MATCH_ABOVE = 0.3
 TEXT_MATCH = 0.8
@@ -20,8 +21,6 @@ MIN_LINE_CONFIDENCE = 0.5
 MAX_TARGETS = 4
 #: Over so many boxes of a role (or texts) in a view, only those of neighbouring cells are compared.
 CROWD = 32
-#: Key of the views below it, whose rows all share one cell.
-CALM = -1000
 #: Levels of widths are so far apart in the key of a grid that levels of heights fit between.
 LEVELS = 10000
 CELL = ["_level", "_cx", "_cy"]
@@ -67,13 +66,14 @@ def _cell(x: str, y: str, level: str, base: float, dx: str = "0", dy: str = "0")
 
 
 def _celled(frame: DataFrame, crowds: DataFrame, keys: list[str], cells: str) -> DataFrame:
-    """Rows of crowded keys once for each of their cells, all others in the one calm cell."""
-    calm = f"array(named_struct('_level', {CALM}, '_cx', 0L, '_cy', 0L))"
-    return frame.join(crowds, keys, "left").selectExpr(*frame.columns, f"inline(if(_crowd IS NULL, {calm}, {cells}))")
+    """Rows of crowded keys, once for each of their cells."""
+    return frame.join(crowds, keys).selectExpr(*frame.columns, f"inline({cells})")
 
 
-def _crowds(frame: DataFrame, keys: list[str], crowd: int) -> DataFrame:
-    return frame.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*keys, F.lit(True).alias("_crowd"))
+def _crowds(frame: DataFrame, keys: list[str], crowd: int) -> DataFrame | None:
+    """The keys of over ``crowd`` rows; None without any, so that rows which need no cells do not pass through them."""
+    crowds = cut_lineage(frame.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*keys))
+    return None if crowds.isEmpty() else crowds
 
 
 def box_pairs(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:
@@ -107,11 +107,14 @@ def box_pairs(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE,
         return f"flatten(transform({along(box, 'x', 'w', about)}, {u} -> transform({along(box, 'y', 'h', about)}, {v} -> {cell})))"
 
     crowds = _crowds(boxes, keys, crowd)
+    if crowds is None:
+        return left.join(right, keys)
     own = {f"_{b}{side}": F.expr(level(f"{b}.{side}")) for b in "ab" for side in "wh"}
     asked = _celled(left.withColumns({k: e for k, e in own.items() if k[1] == "a"}), crowds, keys, grid("a", True))
     held = _celled(right.withColumns({k: e for k, e in own.items() if k[1] == "b"}), crowds, keys, grid("b", False))
     met = asked.join(held, [*keys, *CELL])
-    return met.where(f"_level = {CALM} OR _level = greatest(_aw, _bw) * {LEVELS} + greatest(_ah, _bh)").drop(*CELL, *own)
+    crowded = met.where(f"_level = greatest(_aw, _bw) * {LEVELS} + greatest(_ah, _bh)").drop(*CELL, *own)
+    return left.join(crowds, keys, "left_anti").join(right, keys).unionByName(crowded)
 
 
 def best_boxes(elements: DataFrame, boxes: DataFrame, above: float = MATCH_ABOVE, crowd: int = CROWD) -> DataFrame:
@@ -142,13 +145,19 @@ def text_pairs(elements: DataFrame, regions: DataFrame, threshold: float = TEXT_
     columns, rows = (f"sequence({first.format(p)}, {last.format(p, q)})" for p, q in (("a.x", "a.w"), ("a.y", "a.h")))
     covered = f"flatten(transform({columns}, {i} -> transform({rows}, {j} -> named_struct('_level', {l}, '_cx', {i}, '_cy', {j}))))"
     crowds = _crowds(read, ["view_id"], crowd)
-    asked = _celled(labelled.where("a.w > 0 AND a.h > 0"), crowds, ["view_id"], f"flatten(transform(array({_level('a', 2.0)}), {l} -> {covered}))")
-    sizes = labelled.where("a.w > 0 AND a.h > 0").groupBy("view_id").agg(F.expr(f"collect_set({_level('a', 2.0)})").alias("_sizes"))
+    alike = "(contains(own, read) OR contains(read, own))"
+    calm = labelled if crowds is None else labelled.join(crowds, ["view_id"], "left_anti")
+    near = calm.join(read, "view_id").where(f"own = read OR (a.w > 0 AND a.h > 0 AND {alike})")
+    if crowds is None:
+        return near
+    busy = labelled.join(crowds, ["view_id"], "left_semi")
+    asked = _celled(busy.where("a.w > 0 AND a.h > 0"), crowds, ["view_id"], f"flatten(transform(array({_level('a', 2.0)}), {l} -> {covered}))")
+    sizes = busy.where("a.w > 0 AND a.h > 0").groupBy("view_id").agg(F.expr(f"collect_set({_level('a', 2.0)})").alias("_sizes"))
     centres = read.join(sizes, "view_id")
     held = _celled(centres, crowds, ["view_id"], f"transform(_sizes, {l} -> {_cell('(b.x + b.w / 2)', '(b.y + b.h / 2)', l, 2.0)})").drop("_sizes")
-    inside = asked.join(held, ["view_id", *CELL]).where("own <> read AND (contains(own, read) OR contains(read, own))").drop(*CELL)
-    same = labelled.join(read.withColumn("own", F.col("read")), ["view_id", "own"])
-    return inside.unionByName(same)
+    inside = asked.join(held, ["view_id", *CELL]).where(f"own <> read AND {alike}").drop(*CELL)
+    same = busy.join(read.withColumn("own", F.col("read")), ["view_id", "own"])
+    return near.select(*inside.columns).unionByName(inside).unionByName(same)
 
 
 def best_regions(elements: DataFrame, regions: DataFrame, threshold: float = TEXT_MATCH, crowd: int = CROWD) -> DataFrame:

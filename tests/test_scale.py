@@ -116,3 +116,10 @@ def test_fitting_writes_out_only_changed_lines(spark):
     # Each stage that wrote all lines again held the line expression with its boxes once or more.
     plan = budget.fit(measures._requests(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
     assert plan.count(" {vision}") <= 6
+
+
+def test_views_without_crowds_need_no_cells(spark):
+    from maskwright.plans import catalog
+
+    plan = catalog.QUERIES["fused_elements"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "inline" not in plan
