@@ -121,11 +121,12 @@ def known_in(texts: DataFrame, known: DataFrame) -> DataFrame:
     words, for the n the task knows of, and meets the known values in one
     equi-join on (task, words); the order test is a filter on the match.
     """
-    k = known.selectExpr(
+    # Met twice below: what was learned is not to be learned again for it.
+    k = cut_lineage(known.selectExpr(
         "task_id", "key", "category", "known_from", f"{_core('key')} AS core",
         f"regexp_extract(key, {lit(r'^[^\p{L}\p{N}]*')}, 0) AS lead",
         f"regexp_extract(key, {lit(r'[^\p{L}\p{N}]*$')}, 0) AS trail",
-    ).where("core <> ''")
+    ).where("core <> ''"))
     sizes = k.groupBy("task_id").agg(F.expr(f"array_sort(collect_set(regexp_count(core, {lit(_RUN)})))").alias("sizes"))
     words = join_salted(texts.select("text_id", "task_id", "view_seq", "text"), sizes, ["task_id"], ["text_id"])
     i, n = fresh("i"), fresh("n")
@@ -208,7 +209,8 @@ def policy(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: Da
     (spans). ``extra``: values known from fields and addresses, as for
     ``learn_names``. Names are learned before the same view is redacted.
     """
-    return with_names(*choose_and_learn(texts, personal, entities, extra))
+    chosen, learned = choose_and_learn(texts, personal, entities, extra)
+    return with_names(cut_lineage(chosen), learned)
 
 
 def redact_private(
@@ -264,15 +266,13 @@ def hide_names_in_path(urls: DataFrame, known: DataFrame) -> DataFrame:
 
     ``urls``: url_id, task_id, view_seq, path_template.
     """
-    parts = urls.selectExpr("url_id", "task_id", "view_seq", "posexplode(split(path_template, '/')) AS (pos, segment)")
+    keyed = urls.where("path_template IS NOT NULL").withColumn("_key", F.expr("concat_ws('|', url_id)"))
+    parts = keyed.selectExpr("_key", "task_id", "view_seq", "posexplode(split(path_template, '/')) AS (pos, segment)")
     spaced = "regexp_replace(coalesce(try_url_decode(segment), segment), '[-_+.]+', ' ')"
     texts = parts.where("segment <> '' AND NOT startswith(segment, '{')").selectExpr(
-        "concat_ws('|', url_id, pos) AS text_id", "task_id", "view_seq", f"{spaced} AS text"
-    )
-    named = known_in(texts, known.where("category = 'NAME'")).selectExpr("text_id", "true AS named")
-    masked = parts.withColumn("text_id", F.expr("concat_ws('|', url_id, pos)")).join(named, "text_id", "left")
-    return masked.groupBy("url_id").agg(
-        F.expr(
-            "array_join(transform(array_sort(collect_list(struct(pos, if(named, '{name}', segment) AS s))), x -> x.s), '/')"
-        ).alias("path")
+        "concat_ws('|', _key, pos) AS text_id", "task_id", "view_seq", f"{spaced} AS text"
     )
+    named = known_in(texts, known.where("category = 'NAME'")).selectExpr("text_id", "substring_index(text_id, '|', -1) AS pos")
+    hidden = named.groupBy(F.expr("left(text_id, length(text_id) - length(pos) - 1)").alias("_key")).agg(F.expr("collect_set(cast(pos AS int))").alias("_hidden"))
+    masked = "array_join(transform(split(path_template, '/'), (s, i) -> if(array_contains(_hidden, i), '{name}', s)), '/')"
+    return keyed.join(hidden, "_key", "left").selectExpr("url_id", f"{masked} AS path")

@@ -123,3 +123,16 @@ def test_views_without_crowds_need_no_cells(spark):
 
     plan = catalog.QUERIES["fused_elements"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "inline" not in plan
+
+
+def test_names_are_learned_once(spark):
+    from maskwright.operators import names
+    from maskwright.plans import catalog
+
+    for name in ("hidden_paths", "private_names"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "min_by" not in plan
+    urls = spark.createDataFrame([("a|1", "t", 2, "/u/jo-ray/x/jo.ray"), (None, "t", 2, "/jo_ray"), ("b", "t", 0, "/jo-ray"), ("c", "t", 2, None), ("", "v", 2, "")], "url_id string, task_id string, view_seq int, path_template string")
+    known = spark.createDataFrame([("t", "jo ray", "NAME", 1)], "task_id string, key string, category string, known_from int")
+    got = {r.url_id: r.path for r in names.hide_names_in_path(urls, known).collect()}
+    assert got == {"a|1": "/u/{name}/x/{name}", None: "/{name}", "b": "/jo-ray", "": ""}
