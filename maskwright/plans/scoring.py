@@ -47,7 +47,7 @@ def scored_inputs(spark, folder):
     docs = documents(spark, folder)
     done, _ = vault.redact(docs.withColumn("spans", F.expr(detect("text"))), ["scope_id"], ["seq"], unicode_values=False)
     texts = score.with_hidden(done.selectExpr("text_id AS page", "text_id", "text AS raw", "redacted"))
-    return cut_lineage(texts), truth_items(docs), lookalikes(docs)
+    return cut_lineage(texts), cut_lineage(truth_items(docs)), lookalikes(docs)
 
 
 _TRUTH_SQL = " UNION ALL ".join(
@@ -215,12 +215,12 @@ def report_summary(spark, folder):
 def compared_runs(spark, folder):
     """The same truth against two detector banks, side by side."""
     docs = documents(spark, folder)
-    items, misses = truth_items(docs), lookalikes(docs)
+    items, misses = cut_lineage(truth_items(docs)), cut_lineage(lookalikes(docs))  # the same for every bank
     parts = []
     for config, bank in (("all_kinds", D.ALL), ("email_only", (D.EMAIL,))):
         done, _ = vault.redact(docs.withColumn("spans", F.expr(detect("text", bank))), ["scope_id"], ["seq"], unicode_values=False)
         texts = cut_lineage(score.with_hidden(done.selectExpr("text_id AS page", "text_id", "text AS raw", "redacted")))
-        places = score.item_occurrences(texts, items)
+        places = cut_lineage(score.item_occurrences(texts, items))
         parts.append(
             score.totals(score.score_items(items, places), score.text_scores(texts, places), score.near_misses(texts, misses)).withColumn(
                 "config", F.lit(config)

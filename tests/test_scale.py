@@ -136,3 +136,11 @@ def test_names_are_learned_once(spark):
     known = spark.createDataFrame([("t", "jo ray", "NAME", 1)], "task_id string, key string, category string, known_from int")
     got = {r.url_id: r.path for r in names.hide_names_in_path(urls, known).collect()}
     assert got == {"a|1": "/u/{name}/x/{name}", None: "/{name}", "b": "/jo-ray", "": ""}
+
+
+def test_truth_items_are_found_once(spark):
+    from maskwright.plans import catalog
+
+    for name in ("item_scores", "compared_runs"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
