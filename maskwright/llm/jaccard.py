@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import cut_lineage, fair_batches, slim, table
+from maskwright.llm.common import cut_lineage, fair_batches, settled, slim, table
 from maskwright.llm.components import components
 from maskwright.llm.registry import query
 
@@ -432,7 +432,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: in
 
 def linked(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included)."""
-    found = cut_lineage(near_copies(docs, size, hot, rounds, most))
+    found = settled(docs.sparkSession, lambda: near_copies(docs, size, hot, rounds, most))
     named = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return found.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
