@@ -31,7 +31,7 @@ one unless all its members are null; an empty table gives an empty table; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -371,15 +371,26 @@ def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return classes.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame | None:
-    """(node, root): the component of every class that has a link; None without any."""
+def class_roots(
+    docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY, likely: DataFrame | None = None
+) -> DataFrame | None:
+    """(node, root): the component of every class that has a link; None without any.
+
+    ``likely``: pairs (a, b) of classes that another method found; they are verified first, and only what their links leave apart is joined.
+    """
     firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "bits", *NUMBERS)]
     classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(*firsts))
     posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
     twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
     lists = cut_lineage(posted.join(twice, "token").select("token", "class", "members"))
     edges, roots, tried, known = None, None, None, 0
-    lists = _rooted(lists, None).withColumn("live", F.lit(True))
+    if likely is not None:
+        tried = cut_lineage(_close(likely, classes))
+        edges = verified(docs, classes, tried, size)
+        roots = None if edges is None else components(edges)
+    lists = _rooted(lists, roots).withColumn("live", F.lit(True))
+    if roots is not None:
+        lists = cut_lineage(_open(lists, ["token"]))
     for turn in range(rounds):
         large = lists.where((F.col("members") > most) & F.col("live"))
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
@@ -420,10 +431,16 @@ def class_roots(docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int
     return components(found if edges is None else edges.unionAll(found))
 
 
-def near_copies(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY) -> DataFrame:
-    """Per document: doc_id, same (hash of the text), n (members of its set), root (equal for linked sets; null for empty ones)."""
+def near_copies(
+    docs: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY, likely: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Per document: doc_id, same (hash of the text), n (members of its set), root (equal for linked sets; null for empty ones).
+
+    ``likely`` makes the pairs that :func:`class_roots` verifies first, out of (same, class).
+    """
     ready = cut_lineage(prints(docs, size))
-    roots = class_roots(docs, ready, size, hot, rounds, most)
+    found = None if likely is None else likely(ready.where("n > 0").select("same", "class").distinct())
+    roots = class_roots(docs, ready, size, hot, rounds, most, found)
     narrow = ready.select("doc_id", "same", "n", "class")
     if roots is None:
         return narrow.withColumnRenamed("class", "root")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import cut_lineage, fair_batches, slim, table
+from maskwright.llm.common import cut_lineage, fair_batches, settled, slim, table
 from maskwright.llm.components import components
 from maskwright.llm.jaccard import near_copies
 from maskwright.llm.registry import query
@@ -156,14 +156,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def likely_pairs(docs: DataFrame, named: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): the classes of :mod:`jaccard` that fingerprints link, in the links of :func:`links` and within one fingerprint.
+
+    ``named``: same (hash of a text), class. Each fingerprint stands for the least of its classes.
+    """
+    texts = fingerprints(docs, shingle).select("same", "fp").distinct()
+    held = cut_lineage(texts.join(named, "same").select("fp", "class").distinct())
+    least = cut_lineage(held.groupBy("fp").agg(F.min("class").alias("least")))
+    own = held.join(least, "fp").select(F.col("least").alias("a"), F.col("class").alias("b"))
+    sides = [least.select(F.col("fp").alias(s), F.col("least").alias(f"{s}_least")) for s in "ab"]
+    other = links(least.select("fp"), distance).distinct().join(sides[0], "a").join(sides[1], "b").select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))
+    return own.unionAll(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row: that of the smallest id, null only where there is no other (of rows with that id, one text; of repeated rows, one).
 
-    Groups are those of the Jaccard join (fingerprints within 3 bits miss most copies at four fifths of Jaccard, see
-    README); texts without words are one group. Whole rows are shuffled once, by the hash of their text and their id.
+    Fingerprints within ``DISTANCE`` bits make the groups first, each link checked on whole sets of five-word shingles. They
+    miss most copies at four fifths of Jaccard (see README), so the Jaccard join links what they leave apart; texts
+    without words are one group. Whole rows are shuffled once, by the hash of their text and their id.
     """
-    found = near_copies(docs)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("kept"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("kept")
+    kept = settled(spark, lambda: near_copies(docs, likely=lambda named: likely_pairs(docs, named)).groupBy("root").agg(least).select("kept"))
     named = lambda doc_id: F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).alias("name")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["text"]).alias("same"), named(docs["doc_id"]))
     met = rows.join(kept.select(F.col("kept.same").alias("same"), named(F.col("kept.doc_id"))), ["same", "name"], "left_semi")

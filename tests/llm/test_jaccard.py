@@ -88,3 +88,15 @@ def test_longer_prefixes_where_they_pay():
     assert op.choose_need(np.ones(50), 11, 5) == 2  # hardly anything to verify
     assert op.choose_need(np.full(50, 40.0), 11, 5) == 5  # many candidates, cheap members follow
     assert op.choose_need(np.concatenate([np.full(11, 3.0), np.full(39, 1e6)]), 11, 5) == 1  # the next member is too common
+
+
+def test_only_the_result_stays_on_disk(spark):
+    import os
+
+    from maskwright.session import shared_folder
+
+    folder = shared_folder(spark).replace("file:", "")
+    before = set(os.listdir(folder))
+    got = op.linked(frames.documents(spark, crowd(5)))
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert found(got) == plain(crowd(5))

@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from maskwright.llm import jaccard
 from maskwright.llm import simhash as op
 from tests.llm import frames
 
@@ -103,6 +104,33 @@ def test_stage_takes_five_word_shingles(spark):
     assert op.stage(spark, frames.empty(spark), "").count() == 0
 
 
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    draw = random.Random(6)
+    base = [" ".join(f"b{draw.randrange(3000)}" for _ in range(400)) for _ in range(6)]
+    texts = base + [edited(draw.choice(base), draw, draw.randint(1, 3)) for _ in range(40)]
+    fps, roots, seen = [plain_fingerprint(t) for t in texts], plain_copies(texts), []
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert len(near) > 20
+    made = op.likely_pairs
+    monkeypatch.setattr(op, "likely_pairs", lambda *a: seen.append(op.cut_lineage(made(*a))) or seen[0])
+    monkeypatch.setattr(op, "settled", lambda spark, make: make())
+    docs = frames.documents(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in op.stage(spark, docs, "").collect()) == sorted(set(roots))
+    place = {n: k for k, n in enumerate(r["class"] for r in jaccard.prints(docs).orderBy("doc_id").collect())}
+    got = {tuple(sorted((place[r.a], place[r.b]))) for r in seen[0].collect()}
+    assert got and got <= near
+    joined = plain_roots(list(range(len(texts))), fps)
+    above = plain_union(len(texts), got)
+    assert all((above[a] == above[b]) == (joined[a] == joined[b]) for a in range(len(texts)) for b in range(a))
+
+
+def plain_union(n, pairs):
+    roots = list(range(n))
+    for a, b in pairs:
+        roots = [min(roots[a], roots[b]) if r in (roots[a], roots[b]) else r for r in roots]
+    return roots
+
+
 def test_wider_distances_lose_no_link(spark):
     fps = spark.createDataFrame([(0b01 | 0b01 << 32,), (0b10 | 0b10 << 32,)], "fp bigint")  # each half: one bit up, one down
     assert op.links(fps, distance=4).distinct().count() == 1 and op.links(fps, distance=3).count() == 0
