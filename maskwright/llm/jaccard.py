@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import cut_lineage, fair_batches, settled, slim, table
+from maskwright.llm.common import cut_lineage, drop, fair_batches, settled, slim, table
 from maskwright.llm.components import components
 from maskwright.llm.registry import query
 
@@ -57,6 +57,8 @@ BITS = 1024
 MOST_NEED, POST, VERIFY, SHARED = 8, 4.0, 0.5, 0.05
 #: Shingles are counted in so many buckets over all documents; so many of the fullest ones are known to every task.
 BUCKETS, KNOWN = 1 << 22, 1 << 18
+#: Large tables are shuffled in so many turns, one for this many prefix members, so the disk holds a part of them at a time.
+TURNS, TURN = 4, 1 << 23
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 NUMBERS = ("n", "rest")
@@ -371,18 +373,30 @@ def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return classes.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
+def _in_turns(make: Callable[[int], DataFrame], turns: int) -> DataFrame:
+    """What ``make`` gives for each turn, together; each turn's shuffle files go before the next."""
+    return reduce(DataFrame.unionAll, [cut_lineage(make(k)) for k in range(turns)])
+
+
+def _turn(column: str, turn: int, turns: int) -> Column:
+    return F.pmod(F.hash(column), F.lit(turns)) == turn
+
+
 def class_roots(
-    docs: DataFrame, ready: DataFrame, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY, likely: DataFrame | None = None
+    docs: DataFrame, classes: DataFrame, turns: int = 1, size: int = SHINGLE, hot: int = HOT, rounds: int = ROUNDS, most: int = TRY, likely: DataFrame | None = None
 ) -> DataFrame | None:
     """(node, root): the component of every class that has a link; None without any.
 
     ``likely``: pairs (a, b) of classes that another method found; they are verified first, and only what their links leave apart is joined.
     """
-    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "bits", *NUMBERS)]
-    classes = cut_lineage(ready.where("n > 0").groupBy("class").agg(*firsts))
     posted = classes.select("class", F.explode(F.expr(_POSTED)).alias("token"))
-    twice = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
-    lists = cut_lineage(posted.join(twice, "token").select("token", "class", "members"))
+
+    def shared_members(turn: int) -> DataFrame:
+        some = posted.where(_turn("token", turn, turns))
+        twice = some.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("members")).where("members > 1")
+        return some.join(twice, "token").select("token", "class", "members")
+
+    lists, before = _in_turns(shared_members, turns), []
     edges, roots, tried, known = None, None, None, 0
     if likely is not None:
         tried = cut_lineage(_close(likely, classes))
@@ -391,6 +405,7 @@ def class_roots(
     lists = _rooted(lists, roots).withColumn("live", F.lit(True))
     if roots is not None:
         lists = cut_lineage(_open(lists, ["token"]))
+        before = [lists]
     for turn in range(rounds):
         large = lists.where((F.col("members") > most) & F.col("live"))
         # One member of each list is tried: a few orders, so that sets with many lists in common meet the same one.
@@ -409,18 +424,26 @@ def class_roots(
         moved = _rooted(lists.drop("live").withColumnRenamed("root", "was"), roots)
         live = F.avg((F.col("root") != F.col("was")).cast("int")) >= LIVE
         lists = cut_lineage(_open(moved, ["token"], live.alias("live")).drop("was"))  # what lies in one component is done
+        drop(*before)
+        before = [lists]
         new = found.count()
         known += new
         if new < LIVE * known:
             break
     placed = cut_lineage(lists.drop("live").join(classes.select("class", *NUMBERS), "class"))
+    drop(*before)
     large, calm = placed.where(F.col("members") > hot), placed.where(F.col("members") <= hot)
     # Members of crowded lists may be shared too: they count as if they were.
     crowds = large.groupBy("class").agg(F.count(F.lit(1)).alias("crowds"))
     calm = calm.join(crowds, "class", "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
     need = needed(*[F.col(f"{s}.{c}") for s in "xy" for c in NUMBERS]) - F.least("x.crowds", "y.crowds")
-    shared = _apart(calm, ["token"], need.alias("need")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = _close(shared.where("shared >= need").select("a", "b"), classes)
+
+    def promising(turn: int) -> DataFrame:
+        met = _apart(calm, ["token"], need.alias("need"), but=None if turns == 1 else ~_turn("x.class", turn, turns))
+        shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+        return shared.where("shared >= need").select("a", "b")
+
+    pairs = _close(promising(0) if turns == 1 else _in_turns(promising, turns), classes)
     if not large.isEmpty():
         opened = _open(_opened(large.drop("members"), classes), ["first", "second"])
         parted = _parted(F.col("x.bits"), F.col("x.n"), F.col("y.bits"), F.col("y.n"))
@@ -439,9 +462,13 @@ def near_copies(
     ``likely`` makes the pairs that :func:`class_roots` verifies first, out of (same, class).
     """
     ready = cut_lineage(prints(docs, size))
-    found = None if likely is None else likely(ready.where("n > 0").select("same", "class").distinct())
-    roots = class_roots(docs, ready, size, hot, rounds, most, found)
-    narrow = ready.select("doc_id", "same", "n", "class")
+    narrow = cut_lineage(ready.select("doc_id", "same", "n", "class"))
+    turns = min(TURNS, 1 + (ready.agg(F.sum(F.col("n") - F.col("rest"))).first()[0] or 0) // TURN)
+    firsts = [F.first(c).alias(c) for c in ("place", "base", "prefix", "bits", *NUMBERS)]
+    classes = _in_turns(lambda turn: ready.where((F.col("n") > 0) & _turn("class", turn, turns)).groupBy("class").agg(*firsts), turns)
+    drop(ready)
+    found = None if likely is None else likely(narrow.where("n > 0").select("same", "class").distinct())
+    roots = class_roots(docs, classes, turns, size, hot, rounds, most, found)
     if roots is None:
         return narrow.withColumnRenamed("class", "root")
     return narrow.join(roots, narrow["class"] == roots["node"], "left").select("doc_id", "same", "n", F.coalesce("root", "class").alias("root"))

@@ -100,3 +100,9 @@ def test_only_the_result_stays_on_disk(spark):
     got = op.linked(frames.documents(spark, crowd(5)))
     assert len(set(os.listdir(folder)) - before) == 1
     assert found(got) == plain(crowd(5))
+
+
+def test_turns_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(op, "TURN", 1 << 8)
+    rows = crowd(7)
+    assert found(op.linked(frames.documents(spark, rows), hot=6, most=3)) == plain(rows)
