@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import boxes as B
 from maskwright.functions.patterns import SPACE
 from maskwright.functions.sql import fresh, lit
+from maskwright.operators.skew import dealt
 from maskwright.session import cut_lineage
 
 MATCH_ABOVE = 0.3
@@ -219,25 +220,27 @@ def suppress(boxes: DataFrame, conf: float = 0.15, overlap: float = 0.45) -> Dat
     return per_image.selectExpr("image_id", f"inline({kept})").selectExpr("image_id", "box_no", "bbox", "-worst AS confidence")
 
 
-def insert_lines(elements: DataFrame, lines: DataFrame, min_confidence: float = MIN_LINE_CONFIDENCE) -> DataFrame:
-    """Lines read from pixels as text elements after the element they were read from, under new ids."""
-    good = lines.where(F.col("confidence") >= min_confidence).join(
-        elements.selectExpr("view_id", "id AS target_id", "ordinal AS _at"), ["view_id", "target_id"]
-    )
-    top = elements.groupBy("view_id").agg(F.expr("max(coalesce(try_cast(substring(id, 2) AS int), 0))").alias("_top"))
-    numbered = good.join(top, "view_id").withColumn(
-        "_k", F.expr("row_number() OVER (PARTITION BY view_id ORDER BY _at, line_no)")
-    )
-    added = numbered.selectExpr(
-        "view_id", "_at", "line_no AS _line", "concat('e', _top + _k) AS id", "'text' AS role", "text AS label", "bbox",
-        "'vision' AS source", "round(confidence, 2) AS confidence",
-    )
-    both = elements.withColumns({"_at": F.col("ordinal"), "_line": F.lit(-1)}).drop("ordinal").unionByName(
-        added, allowMissingColumns=True
+def insert_lines(elements: DataFrame, lines: DataFrame, min_confidence: float = MIN_LINE_CONFIDENCE, rows: int = 0) -> DataFrame:
+    """Lines read from pixels as text elements after the element they were read from, under new ids.
+
+    Ids are unique within a view. Elements and lines are shuffled once, together, by view; ``rows``: how many there are
+    about, so that large tables go to more tasks (see :func:`skew.dealt`).
+    """
+    good = lines.where((F.col("confidence") >= min_confidence) & F.col("target_id").isNotNull()).selectExpr(
+        "view_id", "target_id AS id", "line_no AS _line", "'text' AS role", "text AS label", "bbox", "'vision' AS source",
+        "round(confidence, 2) AS confidence", "true AS _read",
     )
-    return both.withColumn(
-        "ordinal", F.expr("cast(row_number() OVER (PARTITION BY view_id ORDER BY _at, _line) - 1 AS int)")
-    ).drop("_at", "_line")
+    own = elements.withColumns({"_at": F.col("ordinal"), "_line": F.lit(-1), "_read": F.lit(False)}).drop("ordinal")
+    both = dealt(own.unionByName(good, allowMissingColumns=True), "view_id", rows)
+    placed = both.withColumns({
+        "_top": F.expr("max(if(_read, NULL, coalesce(try_cast(substring(id, 2) AS int), 0))) OVER (PARTITION BY view_id)"),
+        "_at": F.expr("if(_read, max(_at) OVER (PARTITION BY view_id, id), _at)"),
+    }).where("NOT _read OR _at IS NOT NULL")
+    numbered = placed.withColumns({
+        "_k": F.expr("sum(cast(_read AS int)) OVER (PARTITION BY view_id ORDER BY _at, _line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+        "ordinal": F.expr("cast(row_number() OVER (PARTITION BY view_id ORDER BY _at, _line) - 1 AS int)"),
+    })
+    return numbered.withColumn("id", F.expr("if(_read, concat('e', _top + _k), id)")).drop("_at", "_line", "_read", "_top", "_k")
 
 
 def face_counts(faces: DataFrame) -> DataFrame:

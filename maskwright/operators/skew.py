@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 # At most this many rows of the right side are broadcast, whatever the data: the keys used most on the left.
 HOT_KEYS = 512
 SALTS = 16
+#: A task sorts or windows at most about so many rows, whatever the number of shuffle partitions.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` (of about so many ``rows``) dealt out by ``key``, over more tasks than there are shuffle partitions where these would get over ``TASK_ROWS`` each."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def join_hot(

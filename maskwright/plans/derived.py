@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskwright.operators.skew import dealt
 from maskwright.plans.registry import spread, table
 
 
@@ -122,7 +123,8 @@ def views(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Element rows with their boxes."""
-    return select(table(spark, folder, "lineitem"), LINE).selectExpr(
+    rows = table(spark, folder, "lineitem")
+    return select(dealt(rows, "l_orderkey", rows.count()), LINE).selectExpr(
         "*", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox", "if(offscreen, array('offscreen'), array()) AS state",
         "concat('e', ordinal + 1) AS id",
     )

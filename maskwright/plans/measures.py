@@ -134,7 +134,7 @@ def inserted_lines(spark, folder):
     """Lines read from pixels, put after the element they were read from."""
     frame = lines(spark, folder)
     read = frame.where("value IS NOT NULL AND source = 'dom'").selectExpr("view_id", "id AS target_id", "0 AS line_no", "value AS text", "bbox", "0.8D AS confidence")
-    both = boxes.insert_lines(frame.select("view_id", "ordinal", "id", "role", "label", "bbox", "source"), read)
+    both = boxes.insert_lines(frame.select("view_id", "ordinal", "id", "role", "label", "bbox", "source"), read, rows=2 * table(spark, folder, "lineitem").count())
     return both.selectExpr("view_id", "id", "label", "cast(ordinal AS bigint) AS ordinal")
 
 

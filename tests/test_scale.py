@@ -144,3 +144,18 @@ def test_truth_items_are_found_once(spark):
     for name in ("item_scores", "compared_runs"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan
+
+
+def test_more_rows_get_more_tasks(spark, monkeypatch):
+    from maskwright.operators import skew
+    from maskwright.plans import catalog
+    from maskwright.plans.derived import lines
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.QUERIES["inserted_lines"](spark, folder).collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 200)
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert lines(spark, folder).rdd.getNumPartitions() == -(-rows // 200)
+    got = catalog.QUERIES["inserted_lines"](spark, folder)
+    assert got.rdd.getNumPartitions() == -(-2 * rows // 200)
+    assert sorted(map(tuple, got.collect())) == want
