@@ -159,3 +159,30 @@ def test_more_rows_get_more_tasks(spark, monkeypatch):
     got = catalog.QUERIES["inserted_lines"](spark, folder)
     assert got.rdd.getNumPartitions() == -(-2 * rows // 200)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def _broadcasts(monkeypatch, *modules):
+    """What is broadcast in the tables that these modules write on the way: for a given last one, lines of all plans."""
+    plans = []
+    for module in modules:
+        def cut(df, f=module.cut_lineage):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return f(df)
+
+        monkeypatch.setattr(module, "cut_lineage", cut)
+
+    def grown(last):
+        lines = "\n".join([*plans, last._jdf.queryExecution().executedPlan().toString()]).split("\n")
+        # The hottest keys are broadcast, at most 512 of them.
+        return sum("BroadcastExchange" in x for x in lines) - sum("TakeOrderedAndProject" in x for x in lines)
+
+    return grown
+
+
+def test_texts_and_tokens_are_not_broadcast(spark, monkeypatch):
+    from maskwright.operators import vault
+    from maskwright.plans import catalog
+
+    grown = _broadcasts(monkeypatch, vault)
+    for name in ("round_trip", "redacted_records", "resolved_values"):
+        assert grown(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
