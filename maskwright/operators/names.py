@@ -15,7 +15,7 @@ from maskwright.functions.sql import fresh, lit, once
 from maskwright.functions.urls import url_template
 from maskwright.operators import vault as tokens
 from maskwright.operators.entities import NAME_PRIORITY
-from maskwright.operators.skew import join_salted
+from maskwright.operators.skew import join_salted, shuffled
 from maskwright.operators.views import detect_view_texts, neighbour_label, view_texts
 from maskwright.session import cut_lineage
 
@@ -161,7 +161,7 @@ def known_in(texts: DataFrame, known: DataFrame) -> DataFrame:
         lead_at, trail_to, f"{s}.category", lit("ner"), "0.9D", str(NAME_PRIORITY + 1),
         f"substring(text, {lead_at} + 1, {trail_to} - {lead_at})",
     )
-    return texts.select("text_id", "text").join(found, "text_id").selectExpr(
+    return texts.select("text_id", "text").join(shuffled(found), "text_id").selectExpr(
         "text_id", f"{resolve_overlaps(f'transform(filter(found, {o} -> true AND {fits.replace(s + chr(46), o + chr(46))}), {s} -> {one})')} AS spans"
     ).where("size(spans) > 0")
 
@@ -275,4 +275,4 @@ def hide_names_in_path(urls: DataFrame, known: DataFrame) -> DataFrame:
     named = known_in(texts, known.where("category = 'NAME'")).selectExpr("text_id", "substring_index(text_id, '|', -1) AS pos")
     hidden = named.groupBy(F.expr("left(text_id, length(text_id) - length(pos) - 1)").alias("_key")).agg(F.expr("collect_set(cast(pos AS int))").alias("_hidden"))
     masked = "array_join(transform(split(path_template, '/'), (s, i) -> if(array_contains(_hidden, i), '{name}', s)), '/')"
-    return keyed.join(hidden, "_key", "left").selectExpr("url_id", f"{masked} AS path")
+    return keyed.join(shuffled(hidden), "_key", "left").selectExpr("url_id", f"{masked} AS path")

@@ -48,10 +48,10 @@ def join_hot(
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join whose hot left keys are cut in ``SALTS`` parts; the (small) right side is repeated for each."""
+    """Equi-join whose hot left keys are cut in ``SALTS`` parts; the right side is repeated for each, in the shuffle."""
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(shuffled(repeated), [*on, "_salt"], how).drop("_salt")
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, bucket: str, name: str) -> DataFrame:
@@ -107,7 +107,7 @@ def ordered(
     carry = summary.selectExpr(
         *keys, "_bucket", *[f"{carried[k].format(n=n)} AS _p_{n}" for n, (k, _) in specs.items()]
     )
-    joined = bucketed.join(carry, [*keys, "_bucket"])
+    joined = bucketed.join(shuffled(carry), [*keys, "_bucket"])
     out = joined.selectExpr(
         "*", *[f"{_local(k, v, part + ', _bucket', order, f'_p_{n}')} AS {n}" for n, (k, v) in specs.items()]
     )

@@ -186,3 +186,12 @@ def test_texts_and_tokens_are_not_broadcast(spark, monkeypatch):
     grown = _broadcasts(monkeypatch, vault)
     for name in ("round_trip", "redacted_records", "resolved_values"):
         assert grown(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_names_and_views_are_not_broadcast(spark, monkeypatch):
+    from maskwright.operators import names, vault
+    from maskwright.plans import catalog
+
+    grown = _broadcasts(monkeypatch, names, vault)
+    for name in ("hidden_paths", "private_names", "private_views"):
+        assert grown(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0, name
