@@ -181,7 +181,7 @@ def name_spans(chosen: str, known: str) -> str:
 
 def choose_and_learn(texts: DataFrame, personal: DataFrame, entities: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(``texts`` with the finder's ``chosen`` spans, the names each task knows): see :func:`policy`."""
-    flagged = texts.join(personal, "view_id", "left").join(entities, "text_id", "left")
+    flagged = texts.join(shuffled(personal), "view_id", "left").join(shuffled(entities), "text_id", "left")
     chosen = flagged.withColumn(
         "chosen",
         F.expr(
@@ -197,7 +197,7 @@ def choose_and_learn(texts: DataFrame, personal: DataFrame, entities: DataFrame,
 def with_names(chosen: DataFrame, known: DataFrame) -> DataFrame:
     """The chosen spans, and each known value wherever it stands from the view on that learned it, as ``names``."""
     seen = known_in(chosen, known).withColumnRenamed("spans", "known")
-    joined = chosen.join(seen, "text_id", "left")
+    joined = chosen.join(shuffled(seen), "text_id", "left")
     return joined.withColumn("names", F.expr(name_spans("chosen", f"coalesce(known, {NO_SPANS})"))).drop("chosen", "known")
 
 
