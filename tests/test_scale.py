@@ -1,7 +1,9 @@
 """Operators at sizes where their plain form would not do, against that form."""
 
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import boxes as B
@@ -195,3 +197,54 @@ def test_names_and_views_are_not_broadcast(spark, monkeypatch):
     grown = _broadcasts(monkeypatch, names, vault)
     for name in ("hidden_paths", "private_names", "private_views"):
         assert grown(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0, name
+
+
+TURNS = ["leaks_after_redaction", "redacted_records", "tokens_in_play", "board_matches", "resolved_values", "round_trip"]
+
+
+@pytest.mark.parametrize("name", TURNS)
+def test_large_tables_take_turns_on_disk(spark, monkeypatch, name):
+    from maskwright.operators import skew
+    from maskwright.plans import catalog
+    from maskwright.session import shared_folder
+
+    def run():
+        before = {*Path(shared_folder(spark)).glob("maskwright-*")}
+        return catalog.QUERIES[name](spark, "/root/testdata/sf0.001"), lambda: len({*Path(shared_folder(spark)).glob("maskwright-*")} - before)
+
+    def rows(f):
+        return sorted(map(tuple, f.collect()), key=repr)
+
+    whole, _ = run()
+    monkeypatch.setattr(skew, "TURN_ROWS", 700)
+    turned, left = run()
+    assert left() == turned._jdf.queryExecution().optimizedPlan().toString().count("Relation [") > 1  # results of turns alone
+    assert turned.dtypes == whole.dtypes and rows(turned) == rows(whole)
+
+
+def test_a_turn_reads_and_detects_its_own_rows_alone(spark, monkeypatch):
+    from maskwright.operators import skew, vault
+    from maskwright.plans import catalog
+    from maskwright import session
+
+    plans = []
+    for module in (session, vault):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, f=module.cut_lineage: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    monkeypatch.setattr(skew, "TURN_ROWS", 1000)
+    catalog.QUERIES["redacted_records"](spark, "/root/testdata/sf0.001")
+    detecting = [p for p in plans if "ArrowEvalPython" in p]
+    assert len(detecting) == 2 and len(plans) == 6
+    for plan in detecting:
+        assert plan.index("ArrowEvalPython") < plan.index("pmod")
+
+
+def test_values_are_counted_and_numbered_in_one_shuffle(spark, monkeypatch):
+    from maskwright.operators import vault
+    from maskwright.plans import catalog
+
+    tables = []
+    monkeypatch.setattr(vault, "cut_lineage", lambda df, f=vault.cut_lineage: tables.append(df) or f(df))
+    catalog.QUERIES["redacted_records"](spark, "/root/testdata/sf0.001")
+    tables[1].collect()
+    plan = tables[1]._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
