@@ -35,7 +35,7 @@ def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def in_turns(df: DataFrame, by: list[str], make: Callable[[DataFrame], DataFrame], rows: int | None = None) -> DataFrame:
-    """``make(df)``, which must not let rows of different ``by`` meet, for a share of the keys at a time.
+    """``make(df)``, which must not let rows of different ``by`` (SQL) meet, for a share of the keys at a time.
 
     A large table would fill the disk with the shuffle files of all its rows. Each turn takes about ``rows`` of them
     (``TURN_ROWS``), reads no others, and leaves its result in the shared folder and nothing else. A key is never
@@ -44,7 +44,7 @@ def in_turns(df: DataFrame, by: list[str], make: Callable[[DataFrame], DataFrame
     turns = -(-df.count() // (rows or TURN_ROWS))
     if turns < 2:
         return make(df)
-    share = F.pmod(F.xxhash64(*by), F.lit(turns))
+    share = F.pmod(F.xxhash64(*map(F.expr, by)), F.lit(turns))
     done = [settled(df.sparkSession, lambda t=t: make(df.where(share == t))) for t in range(turns)]
     return reduce(DataFrame.unionByName, done)
 

@@ -123,7 +123,11 @@ def views(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Element rows with their boxes."""
-    rows = table(spark, folder, "lineitem")
+    return lines_of(table(spark, folder, "lineitem"))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """:func:`lines` of these rows of lineitem; they hold all of an order or none."""
     return select(dealt(rows, "l_orderkey", rows.count()), LINE).selectExpr(
         "*", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox", "if(offscreen, array('offscreen'), array()) AS state",
         "concat('e', ordinal + 1) AS id",

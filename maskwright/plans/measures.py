@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import boxes as B
 from maskwright.operators import boxes, budget, outputs, study
+from maskwright.operators.skew import in_turns
 from maskwright.plans import checks as C
-from maskwright.plans.derived import LINES_SQL, lines
+from maskwright.plans.derived import LINES_SQL, lines, lines_of
 from maskwright.plans.registry import query, table
+from maskwright.session import cut_lineage
 
 # --- boxes -----------------------------------------------------------------
 
@@ -67,6 +69,10 @@ _BOARD = {
 _BOARD_SQL = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _BOARD.items()) + f" FROM {LINES_SQL} WHERE NOT offscreen)"
 
 
+# Lines of a turn. They meet by cells some ten times over, so most of a turn is shuffle files.
+BOARD_ROWS = 16_000_000
+
+
 @query(
     "board_matches",
     f"""WITH e AS {_BOARD_SQL}, d AS (SELECT * REPLACE (x + 1 AS x, y + ordinal % 5 AS y) FROM {_BOARD_SQL}),
@@ -75,10 +81,14 @@ SELECT view_id, a_no AS ordinal, arg_max(b_no, (score, -b_no)) AS box_no FROM s
 )
 def board_matches(spark, folder):
     """Boxes matched on crowded views: by grid cells."""
-    board = lines(spark, folder).where("NOT offscreen").selectExpr(*[f"{e} AS {c}" for c, e in _BOARD.items()])
-    elements = board.selectExpr("view_id", "ordinal", "role", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox")
-    seen = board.selectExpr("view_id", "ordinal AS box_no", "role", "named_struct('x', x + 1, 'y', y + ordinal % 5, 'w', w, 'h', h) AS bbox", "0.5D AS confidence")
-    return boxes.best_boxes(elements, seen).selectExpr("view_id", "ordinal", "box.box_no AS box_no")
+    def matched(rows):
+        # Read for elements, boxes and crowds: numbered once.
+        board = cut_lineage(lines_of(rows).where("NOT offscreen").selectExpr(*[f"{e} AS {c}" for c, e in _BOARD.items() if c != "label"]))
+        elements = board.selectExpr("view_id", "ordinal", "role", "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS bbox")
+        seen = board.selectExpr("view_id", "ordinal AS box_no", "role", "named_struct('x', x + 1, 'y', y + ordinal % 5, 'w', w, 'h', h) AS bbox", "0.5D AS confidence")
+        return boxes.best_boxes(elements, seen).selectExpr("view_id", "ordinal", "box.box_no AS box_no")
+
+    return in_turns(table(spark, folder, "lineitem"), [_BOARD["view_id"].replace("view_id", "l_orderkey")], matched, BOARD_ROWS)
 
 
 @query(

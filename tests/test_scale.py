@@ -205,7 +205,7 @@ TURNS = ["leaks_after_redaction", "redacted_records", "tokens_in_play", "board_m
 @pytest.mark.parametrize("name", TURNS)
 def test_large_tables_take_turns_on_disk(spark, monkeypatch, name):
     from maskwright.operators import skew
-    from maskwright.plans import catalog
+    from maskwright.plans import catalog, measures
     from maskwright.session import shared_folder
 
     def run():
@@ -217,6 +217,7 @@ def test_large_tables_take_turns_on_disk(spark, monkeypatch, name):
 
     whole, _ = run()
     monkeypatch.setattr(skew, "TURN_ROWS", 700)
+    monkeypatch.setattr(measures, "BOARD_ROWS", 3000)
     turned, left = run()
     assert left() == turned._jdf.queryExecution().optimizedPlan().toString().count("Relation [") > 1  # results of turns alone
     assert turned.dtypes == whole.dtypes and rows(turned) == rows(whole)
@@ -248,3 +249,15 @@ def test_values_are_counted_and_numbered_in_one_shuffle(spark, monkeypatch):
     tables[1].collect()
     plan = tables[1]._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_a_turn_of_boards_takes_its_own_lines_alone(spark, monkeypatch):
+    from maskwright.plans import catalog, measures
+
+    plans = []
+    monkeypatch.setattr(measures, "cut_lineage", lambda df, f=measures.cut_lineage: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    monkeypatch.setattr(measures, "BOARD_ROWS", 3000)
+    catalog.QUERIES["board_matches"](spark, "/root/testdata/sf0.001")
+    assert len(plans) > 1
+    for plan in plans:
+        assert plan.index("Window") < plan.index("pmod")
