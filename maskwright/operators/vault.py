@@ -153,7 +153,7 @@ def resolve_tokens(
     used = with_tokens.selectExpr(id_column, *[c for c in scope if c != id_column], f"explode(array_distinct({find_tokens(text)})) AS token")
     # The hottest tokens are those these texts use most, whatever the texts that filled the vault used.
     wanted = used.groupBy(*scope, "token").agg(F.count("*").alias("_here"))
-    asked = vault.select(*scope, "token", "first_value").join(shuffled(wanted), [*scope, "token"])
+    asked = cut_lineage(vault.select(*scope, "token", "first_value").join(shuffled(wanted), [*scope, "token"]))
     known = join_hot(used, asked, [*scope, "token"], ["first_value"], "_here", [id_column])
     per_text = known.groupBy(id_column).agg(
         F.expr("map_from_entries(collect_list(struct(token, first_value)) FILTER (WHERE first_value IS NOT NULL))").alias("values"),
