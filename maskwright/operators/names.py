@@ -228,7 +228,7 @@ def redact_private(
     none = "cast(NULL AS string)"
     bare = f"{none} AS context", f"{none} AS input_type", f"{none} AS autocomplete"
     after = late.selectExpr("cast(view_id AS string) AS view_id", "2147483647 AS ordinal", "part", "1 AS part_order", "text", *bare)
-    shown = view_texts(own, parts).unionByName(after).join(own.select("view_id", "task_id", "view_seq"), "view_id")
+    shown = view_texts(own, parts).unionByName(after).join(shuffled(own.select("view_id", "task_id", "view_seq")), "view_id")
     asked = goals.selectExpr(
         "concat('goal|', task_id) AS view_id", "0 AS ordinal", "'goal' AS part", "0 AS part_order", "text", *bare, "task_id",
         f"cast({GOAL_SEQ} AS bigint) AS view_seq",

@@ -16,6 +16,7 @@ from maskwright.functions.spans import SPAN_TYPE, resolve_overlaps
 from maskwright.functions.sql import let, once
 from maskwright.functions.urls import url_template
 from maskwright.operators import vault as tokens
+from maskwright.operators.skew import shuffled
 from maskwright.session import cut_lineage
 
 # Elements farther than this share of the view past its edges are only counted, and at most this many are listed.
@@ -151,7 +152,7 @@ def redact_view(
     Tokens of a view are numbered element by element (label, value, hint),
     the title last.
     """
-    texts = detect_view_texts(view_texts(views, elements)).join(views.select("view_id", scope, order), "view_id")
+    texts = detect_view_texts(view_texts(views, elements)).join(shuffled(views.select("view_id", scope, order)), "view_id")
     # Redaction reads the texts twice: neither their windows nor the join are to run again for it.
     keyed = cut_lineage(texts.withColumn("text_id", F.expr("concat_ws('|', view_id, ordinal, part)")))
     done, vault = tokens.redact(keyed, [scope], [order, "ordinal", "part_order"], bucket_rows=1)  # each cycle is numbered by itself
@@ -159,7 +160,7 @@ def redact_view(
         *[F.expr(f"any_value(redacted) FILTER (WHERE part = '{p}')").alias(f"_{p}") for p in ("label", "value", "hint")]
     )
     others = [c for c in elements.columns if c not in ("view_id", "ordinal", "label", "value", "hint")]
-    redacted_elements = elements.join(wide, ["view_id", "ordinal"], "left").selectExpr(
+    redacted_elements = elements.join(shuffled(wide), ["view_id", "ordinal"], "left").selectExpr(
         "view_id", "ordinal", *others, "_label AS label", "_value AS value", "_hint AS hint"
     )
     per_category = done.selectExpr("view_id", "explode(spans) AS s").groupBy("view_id", "s.category").agg(F.count("*").alias("n"))
@@ -168,7 +169,7 @@ def redact_view(
     )
     titles = done.where("part = 'title'").selectExpr("view_id", "redacted AS title")
     redacted_views = (
-        views.drop("title").join(titles, "view_id", "left").join(counts, "view_id", "left")
+        views.drop("title").join(shuffled(titles), "view_id", "left").join(shuffled(counts), "view_id", "left")
         .withColumn("_u", F.expr(url_template("url")))
         .selectExpr(
             "view_id", scope, order, "_u.origin AS origin", "_u.path_template AS path_template", "_u.has_query AS has_query",
